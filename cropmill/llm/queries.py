@@ -5,22 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropmill.llm import simhash, winnowing
+from cropmill.llm import packing, simhash, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, bits=4)
 
 
+def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048)
+
+
 def op8_winnow_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnowing.matched_runs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, k=5)
     return found.select("doc_id", "n_words", winnowing.hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_components, op8_winnow_contamination)}
+QUERIES = {f.__name__: f for f in (op3_simhash_components, op4_pack_sequences, op8_winnow_contamination)}
 
 ORACLE_SQL: dict[str, str] = {}
