@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropmill.llm import packing, simhash, winnowing
+from cropmill.llm import packing, quality, simhash, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +26,17 @@ def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048)
 
 
+def op5_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    forest = quality.learn(docs, table(spark, sf_dir, "labels"), label_col="quality", sample=20_000)
+    return quality.scored(docs, forest).select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_winnow_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnowing.matched_runs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, k=5)
     return found.select("doc_id", "n_words", winnowing.hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_components, op4_pack_sequences, op8_winnow_contamination)}
+QUERIES = {f.__name__: f for f in (op3_simhash_components, op4_pack_sequences, op5_quality_scores, op8_winnow_contamination)}
 
 ORACLE_SQL: dict[str, str] = {}
