@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropmill.llm import packing, quality, simhash, winnowing
+from cropmill.llm import packing, quality, secretscan, simhash, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +32,21 @@ def op5_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, forest).select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = secretscan.train(secretscan.labelled_samples(docs))
+    found = secretscan.secret_spans(docs, model)
+    spans = F.col("secrets")
+    counts = [F.size(secretscan.of_kind(spans, k)).cast("long").alias(f"n_{k}") for k in secretscan.KINDS]
+    base = F.filter(spans, lambda s: s["kind"] < 3)
+    return found.select("doc_id", *counts, F.sha2(secretscan.written(base), 256).alias("base_sha256"), secretscan.written(spans).alias("spans"))
+
+
 def op8_winnow_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnowing.matched_runs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, k=5)
     return found.select("doc_id", "n_words", winnowing.hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_components, op4_pack_sequences, op5_quality_scores, op8_winnow_contamination)}
+QUERIES = {f.__name__: f for f in (op3_simhash_components, op4_pack_sequences, op5_quality_scores, op7_secret_spans, op8_winnow_contamination)}
 
 ORACLE_SQL: dict[str, str] = {}
