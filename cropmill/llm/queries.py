@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropmill.llm import chat, packing, quality, secretscan, simhash, winnowing
+from cropmill.llm import chat, packing, quality, secretscan, simhash, vptree, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,11 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said_by, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_components, op4_pack_sequences, op5_quality_scores, op7_secret_spans, op8_winnow_contamination, op9_chat_formatting)}
+def op10_vptree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return vptree.nearest(rows, rows.where(F.col("vec_id") % 20 == 0), k=20, factor=1.0)
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash_components, op4_pack_sequences, op5_quality_scores, op7_secret_spans, op8_winnow_contamination, op9_chat_formatting, op10_vptree_neighbours)}
 
 ORACLE_SQL: dict[str, str] = {}
