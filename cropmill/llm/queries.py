@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropmill.llm import chat, packing, quality, secretscan, simhash, vptree, winnowing
+from cropmill.llm import chat, packing, quality, secretscan, simhash, vptree, warc, winnowing
+from cropmill.storage import fresh_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,12 @@ def op5_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, forest).select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).where("not gap").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = secretscan.train(secretscan.labelled_samples(docs))
@@ -62,6 +69,6 @@ def op10_vptree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(rows, rows.where(F.col("vec_id") % 20 == 0), k=20, factor=1.0)
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_components, op4_pack_sequences, op5_quality_scores, op7_secret_spans, op8_winnow_contamination, op9_chat_formatting, op10_vptree_neighbours)}
+QUERIES = {f.__name__: f for f in (op3_simhash_components, op4_pack_sequences, op5_quality_scores, op6_warc_round_trip, op7_secret_spans, op8_winnow_contamination, op9_chat_formatting, op10_vptree_neighbours)}
 
 ORACLE_SQL: dict[str, str] = {}
