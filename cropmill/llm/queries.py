@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropmill.llm import chat, licenses, packing, quality, secretscan, simhash, vptree, warc, winnowing
+from cropmill.llm import chat, licenses, packing, quality, secretscan, simhash, suffixes, vptree, warc, winnowing
 from cropmill.storage import fresh_path
 
 
@@ -23,6 +23,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), threshold=0.8)
 
 
+def op2_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"), span=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, bits=4)
 
@@ -73,6 +77,6 @@ def op10_vptree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(rows, rows.where(F.col("vec_id") % 20 == 0), k=20, factor=1.0)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_simhash_components, op4_pack_sequences, op5_quality_scores, op6_warc_round_trip, op7_secret_spans, op8_winnow_contamination, op9_chat_formatting, op10_vptree_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_repeated_strings, op3_simhash_components, op4_pack_sequences, op5_quality_scores, op6_warc_round_trip, op7_secret_spans, op8_winnow_contamination, op9_chat_formatting, op10_vptree_neighbours)}
 
 ORACLE_SQL: dict[str, str] = {}
