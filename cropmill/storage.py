@@ -40,3 +40,11 @@ def purge(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/cropmill")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let Arrow batches end at ``most`` bytes, so that long texts don't make long batches. A lower limit that is set stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(name, str(most))
