@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cropmill.storage import small_batches
+
 #: The end mark that follows each document's ids.
 END_ID = 1
 
@@ -153,6 +155,7 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     smaller power of two. ``group_tokens`` bounds a group (one longer document is a group by itself). Null and repeated document
     ids are packed like any other row; an empty table gives an empty table; columns other than the named ones are ignored.
     """
+    small_batches(docs.sparkSession)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)] + [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length")])
     dealt = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"), F.rand(seed).alias("at")).repartition("at").sortWithinPartitions("at")
 

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cropmill.storage import small_batches
+
 #: Names of the statistics, in the order of ``statistics``.
 NAMES = ("bytes", "words", "word_bytes", "longest_word", "distinct_words", "commonest_word", "lines", "line_bytes", "distinct_lines", "shortest_line", "stops", "upper", "lower", "digits", "spaces", "newlines", "high_bytes", "controls", "full_stops", "commas", "quotes", "brackets", "pipes", "stars", "hashes", "percents", "dollars", "ampersands", "exclamations", "questions", "colons", "dashes", "slashes", "other_marks", "upper_words", "marked_words")
 _SETS = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digits": b"0123456789", "spaces": b" \t", "newlines": b"\r\n", "high_bytes": bytes(range(128, 256)), "controls": bytes([*range(9), 11, 12, *range(14, 32), 127]), "full_stops": b".", "commas": b",", "quotes": b"\"'`", "brackets": b"()[]{}<>", "pipes": b"|", "stars": b"*", "hashes": b"#", "percents": b"%", "dollars": b"$", "ampersands": b"&", "exclamations": b"!", "questions": b"?", "colons": b":;", "dashes": b"-_", "slashes": b"/\\", "other_marks": b"+=@^~"}
@@ -127,6 +129,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     ``sample`` bounds what reaches the driver (36 numbers a row). Labels other than 0 and 1 are left out; repeated labels of an id are averaged.
     """
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("key")).agg(F.avg(F.col(label_col).cast("double")).alias("label"))
     chosen = known.orderBy(F.xxhash64("key"), "key").limit(sample)
     body = F.col(text_col).cast("string").cast("binary")
@@ -145,6 +148,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def scored(docs: DataFrame, forest: Forest, text_col: str = "text", out: str = "score") -> DataFrame:
     """All columns of ``docs`` and ``out``, the chance of label 1 (null and empty texts too). A column named ``out`` is replaced."""
+    small_batches(docs.sparkSession)
     rest = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(forest)
     at = rest.columns.index(text_col)

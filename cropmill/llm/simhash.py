@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cropmill.llm.wordhash import mix
 from cropmill.operators.graph import connected_components
-from cropmill.storage import settle
+from cropmill.storage import settle, small_batches
 
 #: Buckets up to this size are compared as one matrix.
 DENSE = 512
@@ -54,6 +55,7 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """``(id_col, fp)``; ``fp`` holds the 64 bits as a signed long."""
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("body"))
     kind = docs.schema[id_col].dataType
 
@@ -206,3 +208,129 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = linked.join(least, "root").select("fp", "root", "component_id")
     whole = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("component_fp"))
     return own.join(whole, "fp", "left").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_fp")
+
+
+def word_fingerprints(text: bytes | None, tables: int) -> np.ndarray:
+    """``tables`` independent fingerprints of a text's distinct words: few words differ between near copies, so few bits do."""
+    words = sorted(set((text or b"").lower().split()))
+    if not words:
+        return np.zeros(tables, np.uint64)
+    base = np.frombuffer(b"".join([xxhash.xxh64_digest(w, 42) for w in words]), ">u8").astype(np.uint64)
+    out = []
+    for t in range(tables):
+        h = mix(base * np.uint64(2 * t + 0x9E3779B97F4A7C15) + np.uint64(t))
+        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * bits > len(words)).tobytes(), "big"))
+    return np.array(out, np.uint64)
+
+
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles (fewer words: the whole sequence; none: empty)."""
+    words = (text or b"").lower().split()
+    k = min(shingle, len(words))
+    spans = [b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] if words else []
+    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, spans)), np.uint64))
+
+
+def similar_groups(sets: list[np.ndarray], similarity: float) -> list[int]:
+    """For each set the first member of its component over links of at least this Jaccard similarity (two empty sets are equal)."""
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    data = np.concatenate(sets) if n else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(n), sizes)
+    group = np.full(n, -1)
+    for seed in range(n):
+        if group[seed] >= 0:
+            continue
+        group[seed] = seed
+        queue = [seed]
+        while queue:
+            pivot = sets[queue.pop()]
+            rest = group < 0
+            if not rest.any():
+                break
+            live = rest[owner]
+            if not live.all():
+                data, owner = data[live], owner[live]
+            if len(pivot):
+                spot = np.minimum(np.searchsorted(pivot, data), len(pivot) - 1)
+                both = np.bincount(owner[pivot[spot] == data], minlength=n)
+            else:
+                both = np.zeros(n, np.int64)
+            alike = both >= similarity * (sizes + len(pivot) - both) - 1e-9
+            near = np.flatnonzero(rest & alike)
+            group[near] = seed
+            queue += near.tolist()
+    return group.tolist()
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 4, tables: int = 4, group_rows: int = 4_000, group_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of ``docs`` of which no other row of their group has a smaller id: one document of each group stays.
+
+    Groups are components over pairs whose word shingles have at least this Jaccard similarity, among pairs of which some of
+    ``tables`` fingerprints of distinct words differ in at most ``bits`` bits (found by the ring keys); exact copies always group.
+    A component of candidates that is larger than ``group_rows`` or ``group_bytes`` is dealt out at random and the survivors meet
+    again, until it is small or a round drops nothing. Null ids count as larger than any; of rows of equal ids the first read stays.
+    ``docs`` must be a table read from files, as rows are known by their place in it. Null texts are empty ones, which are copies of
+    each other. An empty table gives an empty table.
+    """
+    small_batches(docs.sparkSession)
+    place = docs.withColumn("row_at", F.monotonically_increasing_id())
+    body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    narrow = place.select("row_at", F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "row_at").alias("rank"), F.xxhash64(body).alias("node"), F.octet_length(body).cast("long").alias("size"), body.alias("body"))
+    rank = narrow.schema["rank"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [word_fingerprints(x.as_py(), tables).view(np.int64).tolist() for x in batch.column("body")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row_at", "rank", "node", "size")), pa.array(prints, pa.list_(pa.int64()))], names=["row_at", "rank", "node", "size", "prints"])
+
+    schema = T.StructType([T.StructField("row_at", T.LongType()), T.StructField("rank", rank), T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("prints", T.ArrayType(T.LongType()))])
+    known = settle(narrow.mapInArrow(run, schema), "places")
+    nodes = known.groupBy("node").agg(F.min("rank").alias("rank"), F.max("size").alias("size"), F.first("prints").alias("prints"))
+    nodes = settle(nodes, "nodes")
+    edges = None
+    for t in range(tables):
+        classes = nodes.select("node", F.col("prints")[t].alias("fp"))
+        heads = classes.groupBy("fp").agg(F.min("node").alias("head"))
+        same = classes.join(heads, "fp").where("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst"))
+        links = link_edges(heads, bits)
+        links = links.join(heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src").join(heads.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        found = settle(same.unionByName(links), "links")
+        edges = found if edges is None else edges.unionByName(found)
+    roots = connected_components(edges)
+    left = settle(roots.join(nodes.select("node", "rank", "size"), "node"), "members")
+    dropped = known.join(nodes.select("node", F.col("rank.row_at").alias("first")), "node").where("row_at <> first").select("row_at")
+    for turn in range(20):
+        sums = left.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
+        sums = sums.withColumn("parts", F.greatest(F.ceil(F.col("n") / group_rows), F.ceil(F.col("bytes") / group_bytes)))
+        dealt = left.join(sums.select("root", "parts"), "root").select(F.col("rank.row_at").alias("row_at"), "rank", "node", "size", "root", F.pmod(F.xxhash64("node", F.lit(turn)), "parts").alias("part"), (F.col("parts") > 1).alias("more"))
+        texts = place.select("row_at", F.col(text_col).cast("string").cast("binary").alias("body")).join(dealt, "row_at")
+        kind = T.StructType([T.StructField("row_at", T.LongType()), T.StructField("rank", rank), T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("root", T.LongType()), T.StructField("more", T.BooleanType()), T.StructField("stays", T.BooleanType())])
+
+        def judge(batches: Iterator[pa.RecordBatch], names=tuple(kind.names)) -> Iterator[pa.RecordBatch]:
+            key, rows = None, []
+
+            def out() -> Iterator[pa.RecordBatch]:
+                if rows:
+                    first = similar_groups([r.pop("set") for r in rows], similarity)
+                    for i, r in enumerate(rows):
+                        r["stays"] = first[i] == i
+                    yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in rows], schema=wire)
+
+            for batch in batches:
+                wire = pa.schema([pa.field(n, pa.bool_()) if n == "stays" else batch.schema.field(n) for n in names])
+                for r in batch.to_pylist():
+                    if (r["root"], r["part"]) != key:
+                        yield from out()
+                        key, rows = (r["root"], r["part"]), []
+                    r["set"] = shingle_set(r.pop("body"), shingle)
+                    rows.append(r)
+            yield from out()
+
+        judged = settle(texts.repartition("root", "part").sortWithinPartitions("root", "part", "rank").mapInArrow(judge, kind), "judged")
+        dropped = dropped.unionByName(judged.where("not stays").select("row_at"))
+        left = judged.where("stays and more").select("node", "root", "rank", "size")
+        if left.limit(1).count() == 0 or judged.where("more and not stays").limit(1).count() == 0:
+            break
+    return place.join(dropped, "row_at", "left_anti").drop("row_at")

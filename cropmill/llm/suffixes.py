@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cropmill.llm.wordhash import POWERS, mix, prefix_sums
-from cropmill.storage import settle
+from cropmill.storage import settle, small_batches
 
 #: Bytes of an anchor's gram.
 GRAM = 100
 #: Bytes hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: A gram that stands more often than this is hot.
 HOT = 256
 #: Blocks up to this many distinct suffixes are solved pair by pair.
@@ -335,7 +335,7 @@ def _runs(joined: DataFrame, parts: int, span: int) -> DataFrame:
                     s = b"".join(((gram & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big"), right, b"\xff", body[place - most : place][::-1]))
                     rows.append((s, len(right), (k1, k2, at)))
                     size += len(s) + 200
-                if size > 256 << 20:  # a run is bounded; one task may send several
+                if size > 64 << 20:  # a run is bounded; one task may send several
                     yield from out()
                     rows, hot, size = [], {}, 0
         yield from out()
@@ -430,6 +430,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shorter than ``span`` stay whole. Repeated rows are copies of each other, of equal or null ids too. An empty table gives an empty
     table; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     keyed = docs.select(F.col(id_col).alias("id"), body.alias("body")).select("id", "body", F.xxhash64("body").alias("k1"), F.xxhash64(F.lit(1), "body").alias("k2"))
     ranges_ = repeated_starts(keyed, span)

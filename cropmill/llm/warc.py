@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cropmill.storage import small_batches
+
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/"
 _EMPTY = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
 _STARTS = re.compile(rb"\x1f\x8b\x08|WARC/[0-9]\.[0-9]\r\n")
@@ -129,6 +131,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     Of rows with equal payloads of at least ``least_bytes`` bytes the one with the smallest id is a response (rows that repeat that id
     too), the others are revisits of it. A null body is empty; rows of null id are responses. An empty table writes no record.
     """
+    small_batches(pages.sparkSession)
     body = F.coalesce(F.col(body_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("body")).withColumn("digest", F.sha2("body", 256))
     first = rows.where(F.octet_length("body") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
@@ -152,6 +155,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     A record's ``payload_digest`` and ``payload_bytes`` are of its full payload: a response's are taken from its bytes (and its digest
     line must agree), a revisit's from its header lines. Gaps have ``gap`` true, their place and the check that failed.
     """
+    small_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def number(x: bytes | None) -> int | None:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cropmill.llm.wordhash import Words, gram_hashes
+from cropmill.storage import small_batches
 
 #: Texts that are hashed together hold about this many bytes.
 CHUNK = 1 << 20
@@ -158,6 +159,7 @@ def matched_runs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     document clean. Repeated documents give repeated rows; columns other than the named ones are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     items = items.select(F.col(item_col).cast("string").alias("key"), F.col(item_text).cast("string").cast("binary").alias("body")).where("body is not null")
     size = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
