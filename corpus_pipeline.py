@@ -1,8 +1,73 @@
-"""A corpus pipeline over ``documents``."""
+"""A corpus pipeline over ``documents``: quality, near copies, benchmark passages, secrets, packing.
 
-STAGES: list = []
+Each stage takes ``(spark, docs, sf_dir)`` and is judged on its own input; all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cropmill.llm import packing, quality, secretscan, simhash, winnowing
+from cropmill.llm.queries import table, tokenizer_path
+from cropmill.storage import fresh_path
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose chance of quality label 1 is at least one half; others go."""
+    forest = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, forest, out="quality_score").where("quality_score >= 0.5").select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near copies: five-word shingles of similarity 0.8 or more."""
+    return simhash.deduplicated(docs, shingle=5, similarity=0.8).select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no run of ten words with (and hold no shorter whole) benchmark item; others go."""
+    bench = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    whole = F.to_json(F.struct(*COLUMNS), {"ignoreNullFields": "false"})
+    found = winnowing.matched_runs(docs.select(whole.alias("row"), "text"), bench, id_col="row")
+    kept = found.where(F.size("runs") == 0).select(F.from_json("row", docs.select(*COLUMNS).schema).alias("r"))
+    return kept.select("r.*").select(*COLUMNS)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, every secret in their texts replaced by a mark; ``n_chars`` follows the text."""
+    model = secretscan.train(secretscan.labelled_samples(docs))
+    found = secretscan.secret_spans(docs, model, out="secret_spans")
+    text = secretscan.redacted(F.col("text"), F.col("secret_spans"))
+    n = F.when(F.size("secret_spans") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))
+    return found.select("doc_id", text.alias("text"), "lang", "source", n.alias("n_chars"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents that are left, in sequences without padding."""
+    return packing.packed(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", keep_quality),
+    ("near_duplicates", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("secrets", redact_secrets),
+    ("packing", pack),
+]
+
+#: The classifier, the fingerprints and the tokenizer are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's rows are written to the shared folder and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = fresh_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
