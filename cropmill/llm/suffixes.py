@@ -403,7 +403,8 @@ def repeated_starts(texts: DataFrame, span: int = 400) -> DataFrame:
     """
     rows = texts.where(F.octet_length("body") >= span)
     own = anchors(rows, span)
-    counts = own.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    # Written first, so that the join meets plain exchanges, whose large partitions Spark can split.
+    counts = settle(own.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "grams")
     found = settle(own.join(counts, "gram").select("gram", "k1", "k2", "at", (F.col("n") > HOT).alias("hot")), "anchors")
     spark = texts.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // 40_000))
@@ -435,7 +436,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.select(F.col(id_col).alias("id"), body.alias("body")).select("id", "body", F.xxhash64("body").alias("k1"), F.xxhash64(F.lit(1), "body").alias("k2"))
     ranges_ = repeated_starts(keyed, span)
     copies = keyed.where(F.octet_length("body") >= span).groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2", F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("last"))
-    marks = ranges_.unionByName(copies).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
+    mark = F.struct("first", "last")
+    marks = ranges_.unionByName(copies).groupBy("k1", "k2").agg(F.collect_set(mark).alias("marks"), F.min("last").alias("least"))
+    # A repeated text needs no ranges: all of it goes, and its rows may be many.
+    marks = settle(marks.select("k1", "k2", F.when(F.col("least") < 0, F.array(F.struct(F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("last")))).otherwise(F.col("marks")).alias("marks")), "marks")
     kind = docs.schema[id_col].dataType
 
     # Of a text that its task has met before, all is removed; its bytes need not be moved.
