@@ -34,11 +34,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     while live.limit(1).count():
         parents = _to_roots(live.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("parent")))
         below = parents.select(F.col("node").alias("k"), F.col("parent").alias("to"))
-        if labels is None:
-            tops = parents.select(F.col("parent").alias("node"), F.col("parent").alias("root")).distinct()
-            labels = parents.select("node", F.col("parent").alias("root")).unionByName(tops)
-        else:
-            labels = labels.join(below, F.col("root") == F.col("k"), "left").select("node", F.coalesce("to", "root").alias("root"))
+        if labels is None:  # every endpoint is its own root at first, those that nothing hangs below too
+            labels = live.select(F.explode(F.array("hi", "lo")).alias("node")).distinct().withColumn("root", F.col("node"))
+        labels = labels.join(below, F.col("root") == F.col("k"), "left").select("node", F.coalesce("to", "root").alias("root"))
         labels = settle(labels, "labels")
         moved = live
         for c in ("hi", "lo"):

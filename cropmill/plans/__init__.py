@@ -1,4 +1,6 @@
 """Named queries over the standard tables and the SQL they are checked against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from cropmill.plans import core, reports
+
+QUERIES = core.QUERIES | reports.QUERIES
+ORACLE_SQL = core.ORACLE_SQL | reports.ORACLE_SQL
