@@ -8,6 +8,7 @@ not full; it is cut into sequences whose lengths are powers of two. So no sequen
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import zlib
@@ -71,6 +72,12 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@functools.lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """The encoder of a file, made once in each Python worker."""
+    return Encoder(path)
+
+
 class Tournament:
     """Bins of equal capacity in the leaves; each inner node has the largest room below it."""
 
@@ -160,7 +167,7 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     dealt = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"), F.rand(seed).alias("at")).repartition("at").sortWithinPartitions("at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ids, bodies, tokens = Encoder(tokenizer), [], [], 0
+        encode, ids, bodies, tokens = encoder(tokenizer).encode, [], [], 0
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         count = 0
 
@@ -183,7 +190,7 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             kind = batch.column(0).type
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(key)
-                bodies.append(encoder.encode(body or "") + end)
+                bodies.append(encode(body or "") + end)
                 tokens += len(bodies[-1]) // 4
                 if tokens >= group_tokens:
                     yield from flush()

@@ -76,7 +76,10 @@ def segments(bits: int) -> list[tuple[int, int]]:
 
 
 def ring_keys(fp: str, bits: int) -> F.Column:
-    """The bucket keys of a fingerprint: for each start segment, that segment and the next, as they are and with each bit of the next flipped."""
+    """The bucket keys of a fingerprint: for each start segment, that segment and the next, as they are and with each bit of the next flipped.
+
+    The lowest bit tells flipped keys from a fingerprint's own; a bucket is what stands above it.
+    """
     parts = segments(bits)
     # Beyond 7 bits the 16-bit fields still hold: segments only get narrower as ``bits`` grows.
     keys = []
@@ -84,13 +87,13 @@ def ring_keys(fp: str, bits: int) -> F.Column:
         shift2, width2 = parts[(i + 1) % len(parts)]
         first = F.shiftrightunsigned(F.col(fp), shift).bitwiseAND(F.lit((1 << width) - 1))
         second = F.shiftrightunsigned(F.col(fp), shift2).bitwiseAND(F.lit((1 << width2) - 1))
-        own = F.lit(i << 48).bitwiseOR(F.shiftleft(first, 24)).bitwiseOR(second)
-        keys += [own] + [own.bitwiseXOR(F.lit(1 << b)) for b in range(width2)]
+        own = F.shiftleft(F.lit(i << 48).bitwiseOR(F.shiftleft(first, 24)).bitwiseOR(second), 1)
+        keys += [own] + [own.bitwiseXOR(F.lit((2 << b) | 1)) for b in range(width2)]
     return F.array(*keys)
 
 
 def forest(close: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning forest edges of a dense boolean adjacency."""
+    """Edges from each component's first member to its others, for a dense boolean adjacency."""
     n = len(close)
     new = np.ones(n, bool)
     edges: list[tuple[int, int]] = []
@@ -103,7 +106,7 @@ def forest(close: np.ndarray) -> list[tuple[int, int]]:
             at = queue.pop()
             found = np.flatnonzero(close[at] & new)
             new[found] = False
-            edges += [(at, int(x)) for x in found]
+            edges += [(seed, int(x)) for x in found]
             queue += found.tolist()
     return edges
 
@@ -135,23 +138,24 @@ def link_block(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
 
 
 def _links(keys: np.ndarray, fps: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Links among rows sorted by key, within equal keys."""
+    """Links among rows sorted by key, within buckets that hold some fingerprint's own key."""
     parts = segments(bits)
     m = len(parts)
     masks = np.array([[sum(((1 << w) - 1) << s for s, w in (parts[(i + j) % m] for j in range(n))) for i in range(m)] for n in range(1, m + 1)], np.uint64)
     out = []
-    first = np.concatenate(([True], keys[1:] != keys[:-1]))
-    start = np.flatnonzero(first)
+    bucket = keys >> 1
+    start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     size = np.diff(np.append(start, len(keys)))
-    run = np.repeat(np.arange(len(start)), size)
-    short = np.repeat((size >= 2) & (size <= SHORT), size)
+    size[keys[start] & 1 == 1] *= -1  # flipped keys only
+    run = np.repeat(np.arange(len(start)), np.abs(size))
+    short = np.repeat((size >= 2) & (size <= SHORT), np.abs(size))
     for d in range(1, SHORT):
         if d >= len(keys):
             break
         a = np.flatnonzero(short[:-d] & (run[:-d] == run[d:]))
         x = fps[a] ^ fps[a + d]
-        chain = (keys[a] >> 48).astype(np.int64)
-        ok = x != 0
+        chain = keys[a] >> 49
+        ok = (x != 0) & (keys[a] & keys[a + d] & 1 == 0)
         for n in range(2, m):  # chains of two to m-1 segments within their share, then the full check
             ok &= np.bitwise_count(x & masks[n - 1][chain]) <= n * bits // m
         ok &= np.bitwise_count(x) <= bits
@@ -166,7 +170,7 @@ def _links(keys: np.ndarray, fps: np.ndarray, bits: int) -> list[np.ndarray]:
 def link_edges(distinct: DataFrame, bits: int = 4, fp: str = "fp") -> DataFrame:
     """``(src, dst)`` spanning links of a table of distinct fingerprints: its components are those of all links of at most ``bits`` bits."""
     probes = distinct.select(F.explode(ring_keys(fp, bits)).alias("key"), F.col(fp).alias("fp"))
-    dealt = probes.repartition("key").sortWithinPartitions("key")
+    dealt = probes.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -182,7 +186,7 @@ def link_edges(distinct: DataFrame, bits: int = 4, fp: str = "fp") -> DataFrame:
             fps = np.concatenate([fps, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
             if len(keys) < 200_000:
                 continue
-            at = int(np.searchsorted(keys, keys[-1]))  # the last run may go on
+            at = int(np.searchsorted(keys, keys[-1] & ~1))  # the last bucket may go on
             yield from out(keys[:at], fps[:at])
             keys, fps = keys[at:], fps[at:]
             if len(keys) > 200_000:  # within one run, repeats need not be kept
@@ -190,7 +194,7 @@ def link_edges(distinct: DataFrame, bits: int = 4, fp: str = "fp") -> DataFrame:
                 keys = np.full(len(fps), keys[0])
         yield from out(keys, fps)
 
-    return dealt.mapInArrow(run, "src long, dst long")
+    return dealt.mapInArrow(run, "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
@@ -206,8 +210,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.join(least, "root").select("fp", "root", "component_id")
+    # Written first, so that the join meets plain exchanges, whose large partitions Spark can split.
     whole = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("component_fp"))
-    return own.join(whole, "fp", "left").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_fp")
+    return own.join(settle(whole, "classes"), "fp", "left").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_fp")
 
 
 def word_fingerprints(text: bytes | None, tables: int) -> np.ndarray:
@@ -264,6 +269,11 @@ def similar_groups(sets: list[np.ndarray], similarity: float) -> list[int]:
     return group.tolist()
 
 
+def if_small(rows: DataFrame, most: int = 500_000) -> DataFrame:
+    """``rows``, to be broadcast if they are ``most`` at most (of under a hundred bytes each); the join shuffles both sides otherwise."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 4, tables: int = 4, group_rows: int = 4_000, group_bytes: int = 32 << 20) -> DataFrame:
     """The rows of ``docs`` of which no other row of their group has a smaller id: one document of each group stays.
 
@@ -305,7 +315,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         sums = left.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
         sums = sums.withColumn("parts", F.greatest(F.ceil(F.col("n") / group_rows), F.ceil(F.col("bytes") / group_bytes)))
         dealt = left.join(sums.select("root", "parts"), "root").select(F.col("rank.row_at").alias("row_at"), "rank", "node", "size", "root", F.pmod(F.xxhash64("node", F.lit(turn)), "parts").alias("part"), (F.col("parts") > 1).alias("more"))
-        texts = place.select("row_at", F.col(text_col).cast("string").cast("binary").alias("body")).join(dealt, "row_at")
+        dealt = settle(dealt, "dealt")
+        texts = place.select("row_at", F.col(text_col).cast("string").cast("binary").alias("body")).join(if_small(dealt), "row_at")
         kind = T.StructType([T.StructField("row_at", T.LongType()), T.StructField("rank", rank), T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("root", T.LongType()), T.StructField("more", T.BooleanType()), T.StructField("stays", T.BooleanType())])
 
         def judge(batches: Iterator[pa.RecordBatch], names=tuple(kind.names)) -> Iterator[pa.RecordBatch]:
@@ -333,4 +344,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         left = judged.where("stays and more").select("node", "root", "rank", "size")
         if left.limit(1).count() == 0 or judged.where("more and not stays").limit(1).count() == 0:
             break
-    return place.join(dropped, "row_at", "left_anti").drop("row_at")
+    return place.join(if_small(settle(dropped, "dropped")), "row_at", "left_anti").drop("row_at")

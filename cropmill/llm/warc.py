@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropmill.storage import small_batches
+from cropmill.storage import settle, small_batches
 
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/"
 _EMPTY = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
@@ -135,6 +135,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     body = F.coalesce(F.col(body_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("body")).withColumn("digest", F.sha2("body", 256))
     first = rows.where(F.octet_length("body") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    # Written first, so that the join meets plain exchanges, whose large partitions Spark can split.
+    first = settle(first, "payloads")
     known = rows.join(first, "digest", "left").select("page_id", "url", "body", "digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
