@@ -279,42 +279,65 @@ def ranges(values: list[int]) -> Iterator[tuple[int, int]]:
         yield first, last
 
 
+def joined_ranges(rows: np.ndarray) -> np.ndarray:
+    """Rows of (k1, k2, first, last), those of a text that overlap or touch joined."""
+    if len(rows) < 2:
+        return rows
+    rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+    # Texts are set apart by more than their places span, so that one running maximum serves all.
+    text = np.concatenate(([0], np.cumsum((rows[1:, :2] != rows[:-1, :2]).any(axis=1))))
+    apart = text * (int(rows[:, 3].max()) + 2)
+    reach = np.maximum.accumulate(rows[:, 3] + apart)
+    first = np.flatnonzero(np.concatenate(([True], (rows[1:, 2] + apart[1:] > reach[:-1] + 1) | (text[1:] != text[:-1]))))
+    out = rows[first].copy()
+    last = np.append(first[1:], len(rows)) - 1
+    out[:, 3] = reach[last] - apart[last]
+    return out
+
+
 def _runs(joined: DataFrame, parts: int, span: int) -> DataFrame:
     """(part, blob) from rows of (k1, k2, body, found): ``found`` lists (gram, at, hot) of a text's repeated grams."""
     schema = "part long, blob binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[bytes, int, tuple[int, int, int]]] = []
-        hot: dict[bytes, list] = {}
+        digests: list[bytes] = []  # of the windows of hot grams
+        windows: list[np.ndarray] = []  # their texts and places
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             rows.sort(key=lambda r: r[0])
-            blobs: dict[int, bytes] = {}
             cut: dict[int, list] = {}
             last = None
             for s, r, who in rows:
-                part = int.from_bytes(s[:8], "big") * parts >> 64
-                kept = cut.setdefault(part, [])
+                kept = cut.setdefault(int.from_bytes(s[:8], "big") * parts >> 64, [])
                 if s == last:
                     kept[-1][2].append(who)
                 else:
                     kept.append((s, r, [who]))
                     last = s
-            for part, kept in cut.items():
-                coded = front_coded([s for s, _, _ in kept])
-                meta = np.array([[len(who) > 1, r, *who[0]] for _, r, who in kept], np.int64)
-                done = np.array([(k1, k2, (at >> 20) - (at >> 10 & 1023), (at >> 20) - (at & 1023)) for _, _, who in kept if len(who) > 1 for k1, k2, at in who], np.int64)
-                blobs[part] = pickle.dumps((coded, meta.tobytes(), done.tobytes()), 5)
-            yield from sent(blobs)
-            cut_hot: dict[int, list] = {}
-            for digest, x in hot.items():
-                cut_hot.setdefault(parts + (int.from_bytes(digest[:8], "big") * parts >> 64), []).append((digest, x))
-            blobs = {}
-            for part, kept in cut_hot.items():
-                done = np.array([(k1, k2, p, p) for _, who in kept if len(who) > 1 for k1, k2, p in who], np.int64)
-                blobs[part] = pickle.dumps((b"".join(d for d, _ in kept), np.array([(len(who) > 1, *who[0]) for _, who in kept], np.int64).tobytes(), done.tobytes()), 5)
-            yield from sent(blobs)
+            done = [np.array([(k1, k2, (at >> 20) - (at >> 10 & 1023), (at >> 20) - (at & 1023)) for kept in cut.values() for _, _, who in kept if len(who) > 1 for k1, k2, at in who], np.int64).reshape(-1, 4)]
+            yield from sent({part: pickle.dumps((front_coded([s for s, _, _ in kept]), np.array([[len(who) > 1, r, *who[0]] for _, r, who in kept], np.int64).tobytes()), 5) for part, kept in cut.items()})
+            if digests:
+                d, at = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2), np.concatenate(windows)
+                order = np.lexsort((d[:, 1], d[:, 0]))
+                d, at = d[order], at[order]
+                first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]).any(axis=1))))
+                times = np.diff(np.append(first, len(d)))
+                again = np.repeat(times > 1, times)
+                done.append(at[again][:, [0, 1, 2, 2]])
+                meta = np.concatenate([(times > 1)[:, None].astype(np.int64), at[first]], axis=1)
+                d = d[first]
+                yield from sent({parts + p: pickle.dumps((d[i].tobytes(), meta[i].tobytes()), 5) for p, i in dealt(d[:, 0])})
+            done = joined_ranges(np.concatenate(done))
+            yield from sent({2 * parts + p: done[i].tobytes() for p, i in dealt(mix(done[:, 0].view(np.uint64)))})
+
+        def dealt(hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+            """Row numbers by range of hashes."""
+            part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            for i in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else ():
+                yield int(part[i[0]]), i
 
         def sent(blobs: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
             if blobs:
@@ -326,10 +349,10 @@ def _runs(joined: DataFrame, parts: int, span: int) -> DataFrame:
                 for at, (gram, is_hot) in {x["at"]: (x["gram"], x["hot"]) for x in found}.items():
                     place, most, least = at >> 20, at >> 10 & 1023, at & 1023
                     if is_hot:
-                        for p in range(place - most, place - least + 1):
-                            who = hot.setdefault(xxhash.xxh3_128_digest(body[p : p + span]), [])
-                            who.append((k1, k2, p))
-                        size += 100 * (most - least + 1)
+                        p = np.arange(place - most, place - least + 1)
+                        digests.append(b"".join([xxhash.xxh3_128_digest(body[x : x + span]) for x in p.tolist()]))
+                        windows.append(np.stack([np.full(len(p), k1), np.full(len(p), k2), p], axis=1))
+                        size += 64 * len(p)
                         continue
                     right = body[place + GRAM : place + span - least]
                     s = b"".join(((gram & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big"), right, b"\xff", body[place - most : place][::-1]))
@@ -337,7 +360,7 @@ def _runs(joined: DataFrame, parts: int, span: int) -> DataFrame:
                     size += len(s) + 200
                 if size > 64 << 20:  # a run is bounded; one task may send several
                     yield from out()
-                    rows, hot, size = [], {}, 0
+                    rows, digests, windows, size = [], [], [], 0
         yield from out()
 
     return joined.select("k1", "k2", "body", "found").mapInArrow(run, schema)
@@ -347,16 +370,17 @@ def _merged(runs: DataFrame, parts: int, span: int) -> DataFrame:
     """(k1, k2, first, last): repeated window starts of texts, from the runs of each part."""
 
     def solve(part: int, blobs: list[bytes]) -> Iterator[np.ndarray]:
+        if part >= 2 * parts:
+            yield joined_ranges(np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 4) for b in blobs]))
+            return
         loaded = [pickle.loads(b) for b in blobs]  # written by ``_runs`` of this job
-        for x in loaded:
-            yield np.frombuffer(x[2], np.int64).reshape(-1, 4)
         if part >= parts:
             digests = np.concatenate([np.frombuffer(x[0], np.uint64).reshape(-1, 2) for x in loaded])
             meta = np.concatenate([np.frombuffer(x[1], np.int64).reshape(-1, 4) for x in loaded])
             _, group, times = np.unique(digests, axis=0, return_inverse=True, return_counts=True)
             again = (times[group.ravel()] > 1) & (meta[:, 0] == 0)
             # A digest that one task has met twice is reported there, but may meet a single one of another task here.
-            yield meta[again][:, [1, 2, 3, 3]]
+            yield joined_ranges(meta[again][:, [1, 2, 3, 3]])
             return
         metas = [np.frombuffer(x[1], np.int64).reshape(-1, 5).tolist() for x in loaded]
         place = [0] * len(loaded)
@@ -371,10 +395,10 @@ def _merged(runs: DataFrame, parts: int, span: int) -> DataFrame:
             block.add(s[8 : 8 + size], s[9 + size :], s == last, shared - 8, bool(many), (k1, k2, at))
             last = s
             if len(found) > 50_000:
-                yield np.array(found, np.int64)
+                yield joined_ranges(np.array(found, np.int64))
                 found = []
         found += block.solve()
-        yield np.array(found, np.int64).reshape(-1, 4)
+        yield joined_ranges(np.array(found, np.int64).reshape(-1, 4))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, blobs = None, []
