@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropmill.llm import chat, licenses, packing, quality, secretscan, simhash, suffixes, vptree, warc, winnowing
+from cropmill.llm import chat, licenses, oracles, packing, quality, secretscan, simhash, suffixes, vptree, warc, winnowing
 from cropmill.storage import fresh_path
 
 
@@ -79,4 +79,12 @@ def op10_vptree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_repeated_strings, op3_simhash_components, op4_pack_sequences, op5_quality_scores, op6_warc_round_trip, op7_secret_spans, op8_winnow_contamination, op9_chat_formatting, op10_vptree_neighbours)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: Fingerprints, tokens, scores and trained models (3, 4, 5, 7) are beyond SQL; tests compare those with brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": oracles.LICENSES,
+    "op2_repeated_strings": oracles.REPEATS,
+    "op6_warc_round_trip": oracles.WARC,
+    "op8_winnow_contamination": oracles.CONTAMINATION,
+    "op9_chat_formatting": oracles.CHAT,
+    "op10_vptree_neighbours": oracles.NEIGHBOURS,
+}

@@ -6,7 +6,7 @@ differ in at most ``t`` bits, some start segment has chains of every length ``l`
 differ in at most one bit, and so on. So fingerprints meet under keys of two consecutive segments, the first exact and the second
 exact or with one bit flipped; longer chains prune what meets, and the full Hamming distance decides.
 
-Buckets emit a spanning forest of their links and never all pairs. A bucket of any size is solved by splitting it on the bits in
+Buckets emit, for each component of their links, its first member with each other one, and never all pairs. A bucket of any size is solved by splitting it on the bits in
 which its members differ.
 """
 
@@ -112,7 +112,7 @@ def forest(close: np.ndarray) -> list[tuple[int, int]]:
 
 
 def link_block(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Spanning edges (pairs of values) of the links within distinct ``fps``, whatever their number.
+    """Pairs of values whose components are those of all links within distinct ``fps``, whatever their number.
 
     A large block is split by pigeonhole on the bits in which its members differ; where at most ``bits`` bits differ, all are linked.
     """
@@ -168,7 +168,7 @@ def _links(keys: np.ndarray, fps: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def link_edges(distinct: DataFrame, bits: int = 4, fp: str = "fp") -> DataFrame:
-    """``(src, dst)`` spanning links of a table of distinct fingerprints: its components are those of all links of at most ``bits`` bits."""
+    """``(src, dst)`` of a table of distinct fingerprints: pairs whose components are those of all links of at most ``bits`` bits."""
     probes = distinct.select(F.explode(ring_keys(fp, bits)).alias("key"), F.col(fp).alias("fp"))
     dealt = probes.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
 
