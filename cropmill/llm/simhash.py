@@ -274,7 +274,7 @@ def if_small(rows: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 4, tables: int = 4, group_rows: int = 4_000, group_bytes: int = 32 << 20) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 4, tables: int = 8, group_rows: int = 4_000, group_bytes: int = 32 << 20) -> DataFrame:
     """The rows of ``docs`` of which no other row of their group has a smaller id: one document of each group stays.
 
     Groups are components over pairs whose word shingles have at least this Jaccard similarity, among pairs of which some of
