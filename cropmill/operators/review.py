@@ -133,3 +133,36 @@ def upsert_statuses(now: DataFrame, changes: DataFrame) -> DataFrame:
     rows = now.select("record_idx", "review_status", F.lit(-1).cast("long").alias("at")).unionByName(changes.select("record_idx", F.when(F.col("review_status").isin(*STATUSES), F.col("review_status")).otherwise("Unreviewed").alias("review_status"), F.col("at").cast("long").alias("at")))
     last = rows.groupBy("record_idx").agg(F.max_by("review_status", "at").alias("review_status"))
     return last.where("review_status <> 'Unreviewed'").withColumn("keeps", F.col("review_status").isin("Keep", "Hold"))
+
+
+def group_compare(members: DataFrame, group_id: int, most: int = 500) -> DataFrame:
+    """A group's members: representatives, then by action and falling similarity, numbered from 1; the first ``most``."""
+    order = Window.orderBy(F.desc("is_representative"), "action", F.desc("similarity_to_primary"), "record_idx")
+    return members.where(F.col("reduction_group_id") == group_id).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+def inspect_record(frame: DataFrame, record_idx: int, siblings: int = 8) -> DataFrame:
+    """The first members of a record's group beside it, representatives and drops first, with ``place`` from 1."""
+    group = frame.where(F.col("record_idx") == record_idx).select("reduction_group_id")
+    rows = frame.join(group, "reduction_group_id", "left_semi").where(F.col("record_idx") != record_idx)
+    order = Window.orderBy(F.desc("is_representative"), F.desc("is_drop"), F.desc("sim"), "record_idx")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= siblings)
+
+
+def record_flow(members: DataFrame, planned: int) -> DataFrame:
+    """Planned records by what becomes of them."""
+    c = members.agg(F.count_if("is_representative").alias("representatives"), F.count_if(F.col("is_protected") & ~F.col("is_representative")).alias("protected"), F.count_if(F.col("action").startswith("DROP")).alias("drops"))
+    return c.select(F.lit(planned).cast("long").alias("planned"), "*", F.greatest(F.lit(0).cast("long"), F.lit(planned) - F.col("representatives") - F.col("protected") - F.col("drops")).alias("other"))
+
+
+def export_preview(images: DataFrame) -> DataFrame:
+    """Images kept, dropped, and with only some of their records dropped."""
+    drop = F.col("image_action").startswith("DROP")
+    return images.agg(F.count("*").alias("images"), F.count_if(drop).alias("dropped"), F.count_if(~drop).alias("kept"), F.count_if((F.col("drop_record_candidates") > 0) & (F.col("drop_record_candidates") < F.col("planned_records"))).alias("partial_labels"))
+
+
+def focus(points: DataFrame, class_name: str) -> DataFrame:
+    """Overlap points of a class or next to it, and their partners."""
+    seeds = points.where((F.col("class_name") == class_name) | (F.col("other_class") == class_name))
+    ids = seeds.select("record_idx").union(seeds.select(F.col("other_idx").alias("record_idx"))).distinct()
+    return points.join(ids, "record_idx", "left_semi")
