@@ -68,7 +68,8 @@ def anchors_of(data: bytes, starts: np.ndarray, sizes: np.ndarray, span: int) ->
     cut = np.flatnonzero(np.concatenate(([True], (best[1:] != best[:-1]) | (p[1:] != p[:-1] + 1))))
     last = np.append(cut[1:], len(p)) - 1
     at, who = best[cut], text[p[cut]]
-    return who, at - starts[who], at - p[cut], at - p[last], grams[at]
+    # Smallest hashes are small numbers; mixed again they fill the range that runs are cut by.
+    return who, at - starts[who], at - p[cut], at - p[last], mix(grams[at] * np.uint64(0x9E3779B97F4A7C15))
 
 
 def anchors(docs: DataFrame, span: int) -> DataFrame:
