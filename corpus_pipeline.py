@@ -31,19 +31,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no run of ten words with (and hold no shorter whole) benchmark item; others go."""
     bench = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    whole = F.to_json(F.struct(*COLUMNS), {"ignoreNullFields": "false"})
-    found = winnowing.matched_runs(docs.select(whole.alias("row"), "text"), bench, id_col="row")
-    kept = found.where(F.size("runs") == 0).select(F.from_json("row", docs.select(*COLUMNS).schema).alias("r"))
-    return kept.select("r.*").select(*COLUMNS)
+    found = winnowing.matched_runs(docs.select(F.struct(*COLUMNS).alias("row"), "text"), bench, id_col="row")
+    return found.where(F.size("runs") == 0).select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret in their texts replaced by a mark; ``n_chars`` follows the text."""
     model = secretscan.train(secretscan.labelled_samples(docs))
     found = secretscan.secret_spans(docs, model, out="secret_spans")
-    text = secretscan.redacted(F.col("text"), F.col("secret_spans"))
-    n = F.when(F.size("secret_spans") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))
-    return found.select("doc_id", text.alias("text"), "lang", "source", n.alias("n_chars"))
+    # The new text has a name of its own: within one select, a lambda's column may mean another column's alias.
+    clean = found.withColumn("clean", secretscan.redacted(F.col("text"), F.col("secret_spans")))
+    n = F.when(F.size("secret_spans") > 0, F.length("clean").cast("long")).otherwise(F.col("n_chars"))
+    return clean.select("doc_id", F.col("clean").alias("text"), "lang", "source", n.alias("n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
