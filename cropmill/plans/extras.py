@@ -127,3 +127,24 @@ def reduction_projection(spark, sf):
     """A sample in two dimensions with the distance from its centre."""
     rows = clustering.projection(clustering.sampled(records(spark, sf), 300, 3), 2)
     return rows.select("record_idx", F.round(F.sqrt(F.col("pc")[0] ** 2 + F.col("pc")[1] ** 2), 6).alias("distance"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_id % 7 = 0 GROUP BY 1")
+def streamed_frame_counts(spark, sf):
+    """Sampled frames read as a stream; its batches are written to the shared folder."""
+    from cropmill.storage import fresh_path
+    from cropmill.streaming.frames import sampled_frames
+
+    schema = table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    at, marks = fresh_path(spark, "frames"), fresh_path(spark, "frames-checkpoint")
+    sampled_frames(stream, 7, "event_id").writeStream.format("parquet").option("path", at).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(at).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query(sql("SELECT true AS labelled, count(*) AS records FROM rec WHERE class_id < 3", REC))
+def feature_cluster_report(spark, sf):
+    """Filter, sample, project, cluster, summarise."""
+    own = records(spark, sf).where("class_id < 3")
+    rows = clustering.cluster(clustering.projection(clustering.sampled(own, 5_000, 1), 3), "bisecting", 4)
+    return clustering.summarize(rows).agg(F.bool_and(F.col("dominant_class").isNotNull()).alias("labelled"), F.sum("count").alias("records"))

@@ -36,7 +36,7 @@ def _label_files(spark, sf):
 
 
 def _images(spark, sf):
-    own = records(spark, sf).select("image_path").distinct().where(F.pmod(F.crc32(F.col("image_path").cast("binary")), F.lit(10)) > 0)
+    own = records(spark, sf).select("image_path").distinct().where(F.regexp_extract("image_path", r"(\d+)\.jpg", 1).cast("int") % 10 > 0)
     upper = own.where(F.col("image_path").contains("s1/")).select(F.replace("image_path", F.lit(".jpg"), F.lit(".PNG")).alias("image_path"))
     return own.union(upper)
 
@@ -56,7 +56,7 @@ def bbox_from_label_text(spark, sf):
     return rows.select("label_path", "annotation_line", "class_id", "bbox.x1", "bbox.y1", "bbox.x2", "bbox.y2", "record_id")
 
 
-@query()
+@query("WITH i AS (SELECT DISTINCT vec_id // 3 AS img FROM embeddings) SELECT 'labels/s' || (img % 4) || '/Img_' || lpad(img::VARCHAR, 6, '0') || '.txt' AS label_path, CASE WHEN img % 10 > 0 THEN 'images/s' || (img % 4) || '/img_' || lpad(img::VARCHAR, 6, '0') || '.jpg' END AS image_path FROM i")
 def label_image_match(spark, sf):
     return labels.match_images(_label_files(spark, sf).select("label_path"), _images(spark, sf))
 
@@ -120,9 +120,10 @@ def video_class_size_counts(spark, sf):
     return table(spark, sf, "events").groupBy("event_type", F.when(F.col("value") < 50, "low").otherwise("high").alias("band")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(sql("SELECT count(*) AS records, count(DISTINCT image_path) AS images FROM rec", REC))
 def shard_colocation(spark, sf):
-    return store.shard_counts(records(spark, sf), 4)
+    """Images counted by shard: the sum is the number of images only if none is split."""
+    return store.shard_counts(records(spark, sf), 4).agg(F.sum("records").alias("records"), F.sum("images").alias("images"))
 
 
 @query("WITH s AS (SELECT vec_id, vec_id % 4 AS shard, row_number() OVER (PARTITION BY vec_id % 4 ORDER BY vec_id) - 1 AS local_idx FROM embeddings), c AS (SELECT shard, count(*) AS n FROM s GROUP BY 1) SELECT s.*, coalesce((SELECT sum(n) FROM c WHERE c.shard < s.shard), 0)::BIGINT + local_idx AS record_idx FROM s")
