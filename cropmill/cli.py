@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cropmill.operators import curation, ivf, knn, reduction
 from cropmill.sources import records as store
+from cropmill.storage import settle
 
 
 def loaded(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
@@ -25,7 +26,7 @@ def loaded(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 def curate(spark: SparkSession, args: argparse.Namespace) -> None:
     rows = loaded(spark, args)
-    near = knn.knn_join(rows, rows, args.top_k)
+    near = settle(knn.knn_join(rows, rows, args.top_k), "neighbors")
     reco = curation.curation_recommendations(rows, near, args.near, args.cross, args.rare, args.boundary)
     partial = reduction.is_partial(args.max_records, 1 << 62, bool(args.class_filter or args.size))
     store.write_reports({"near_duplicates": curation.near_duplicate_edges(near, rows, args.near), "cross_class_overlap": curation.cross_class_edges(near, rows, args.cross), "neighbor_summary": curation.neighbor_summary(near, rows), "group_summary": curation.group_summary(rows, args.rare, args.boundary), "duplicate_groups": curation.duplicate_groups(curation.near_duplicate_edges(near, rows, args.near), rows), "curation_recommendations": reco, "image_recommendations": curation.image_rollup(reco, "report", partial), "summary": curation.action_summary(reco)}, args.out)
@@ -33,7 +34,7 @@ def curate(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def reduce_(spark: SparkSession, args: argparse.Namespace) -> None:
     rows = loaded(spark, args)
-    near = knn.knn_join(rows, rows, args.top_k)
+    near = settle(knn.knn_join(rows, rows, args.top_k), "neighbors")
     edges = reduction.tight_edges(near, rows, args.near)
     protected = reduction.protected_ids(near, rows, args.cross)
     members = reduction.reduction_members(edges, rows, protected, 2, args.representatives)

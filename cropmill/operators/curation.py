@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cropmill.functions.text import file_name
 from cropmill.operators.graph import connected_components
 from cropmill.operators.groups import boundaries, id_list, medoids
+from cropmill.storage import settle
 
 ROW_BASE = ("record_idx", "record_id", "class_id", "class_name", "size_bucket", "area_pct", "bbox_width", "bbox_height", "aspect_bucket", "image_path", "label_path", "file_name", "bbox", "annotation_line")
 
@@ -55,8 +56,6 @@ def numbered(rows: DataFrame, key: str, out: str) -> DataFrame:
     """
     keys = rows.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key)
     keys = keys.withColumn("p", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    from cropmill.storage import settle
-
     keys = settle(keys, "numbers")
     before = keys.groupBy("p").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return rows.join(keys.join(before, "p").select(key, (F.col("before") + F.col("i") + 1).alias(out)), key)
@@ -81,6 +80,7 @@ def group_summary(records: DataFrame, rare_max: int = 5, boundary_count: int = 2
 def curation_recommendations(records: DataFrame, neighbors: DataFrame, near_threshold: float = 0.98, cross_threshold: float = 0.90, rare_max: int = 5, boundary_count: int = 2) -> DataFrame:
     """An action and its reasons for every record: review, rare, representative, boundary, near duplicate, keep, in this order of weight."""
     keys = ["class_id", "class_name", "size_bucket"]
+    neighbors = settle(neighbors, "neighbors")  # read three times below; the search is what costs
     near = near_duplicate_edges(neighbors, records, near_threshold)
     cross = cross_class_edges(neighbors, records, cross_threshold)
     review = cross.select("record_idx").unionByName(cross.select(F.col("neighbor_idx").alias("record_idx"))).distinct().withColumn("review", F.lit(True))

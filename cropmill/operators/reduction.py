@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cropmill.operators.curation import ROW_BASE, image_rollup, with_sides
+from cropmill.operators.curation import ROW_BASE, image_rollup, numbered, with_sides
 from cropmill.operators.graph import connected_components
 from cropmill.operators.groups import farthest_first, id_list
+from cropmill.storage import settle
 
 
 def tight_edges(neighbors: DataFrame, records: DataFrame, threshold: float = 0.985, same_class: bool = True, same_size: bool = True) -> DataFrame:
@@ -73,9 +74,6 @@ def reduction_members(edges: DataFrame, records: DataFrame, protected: DataFrame
         return pd.DataFrame([(int(group["root"].iloc[0]), i, rep, n, s) for i, (rep, members) in enumerate(found) for n, s in members], columns=["root", "seq", "primary_representative_idx", "record_idx", "similarity_to_primary"])
 
     cover = rows.groupBy("root").applyInPandas(run, "root long, seq long, primary_representative_idx long, record_idx long, similarity_to_primary double")
-    from cropmill.operators.curation import numbered
-    from cropmill.storage import settle
-
     cover = settle(cover.withColumn("group_key", F.struct("root", "seq")), "cover")
     cover = numbered(cover, "group_key", "reduction_group_id").drop("group_key", "root", "seq")
     if per_group > 1:

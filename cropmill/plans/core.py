@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cropmill.operators import calibration, curation, groups, ivf, knn, reduction
 from cropmill.plans.views import BOUNDARY, CC, CROSS, EDGES, MEM, NEAR, RARE, REC, medoid, members, nb, neighbors, records, sql
+from cropmill.storage import settle
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -161,7 +162,7 @@ def protected_ids(spark, sf):
 
 
 def _plan(spark, sf, per_group: int = 1):
-    near, own = neighbors(spark, sf, 30), records(spark, sf)
+    near, own = settle(neighbors(spark, sf, 30), "neighbors"), records(spark, sf)
     protected = reduction.protected_ids(near, own, CROSS)
     return reduction.reduction_members(reduction.tight_edges(near, own, NEAR), own, protected, 2, per_group), protected, near, own
 
