@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of this machine, by application, for sessions without a shared one.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (tests, a laptop) a temporary folder of this machine is taken, and kept for the session.
+    Only where the setting is missing (tests, a laptop) a temporary folder of this machine is taken; it goes when the process ends.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    name = "spark.checkpoint.dir"
+    found = spark.conf.get(name, None) or spark.sparkContext.getConf().get(name)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="cropmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="cropmill-")
+            atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+        found = f"file://{_OWN[app]}"
     return found.rstrip("/")
 
 
