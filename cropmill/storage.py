@@ -30,9 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """Where this application's tables lie."""
+    return f"{shared_dir(spark)}/cropmill/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
     """A path in the shared folder that nothing has used."""
-    return f"{shared_dir(spark)}/cropmill/{tag}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, tag: str) -> DataFrame:
@@ -46,9 +51,9 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
 
 
 def purge(spark: SparkSession) -> None:
-    """Delete every table that ``settle`` has left in the shared folder; call it when no result is needed any more."""
+    """Delete every table that this application has left in the shared folder; call it when no result is needed any more."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/cropmill")
+    path = jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

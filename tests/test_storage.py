@@ -23,7 +23,7 @@ def test_settle_and_purge(spark):
     back = storage.settle(df, "t")
     assert sorted(back.collect()) == sorted(df.collect()) and back.schema == df.schema
     storage.purge(spark)
-    assert not os.path.isdir(f"{storage.shared_dir(spark).removeprefix('file://')}/cropmill")
+    assert not os.path.isdir(storage.own_folder(spark).removeprefix("file://"))
 
 
 def test_batches_only_get_smaller(spark):
