@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: the form of a progress line.
 PROGRESS = r"(\d+(?:\.\d+)?)%\s+\|\s+(.*?)\s+\|\s+elapsed=(.*?)(?:\s+eta=(.*))?$"
 
 
@@ -99,6 +100,6 @@ def progress(line: Column) -> list[Column]:
 
 
 def action_group(action: Column) -> Column:
-    """Review group of an action, by the first of these that its name holds."""
+    """Review group of an action, by the first of these marks that its name holds."""
     up = F.upper(action)
     return F.when(up.contains("USER_OVERRIDE"), "User keep").when(up.startswith("DROP"), "Drop candidate").when(up.contains("REPRESENTATIVE"), "Representative").when(up.contains("PROTECTED"), "Protected").otherwise("Keep")

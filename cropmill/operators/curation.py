@@ -10,6 +10,7 @@ from cropmill.operators.graph import connected_components
 from cropmill.operators.groups import boundaries, id_list, medoids
 from cropmill.storage import settle
 
+# The columns of report rows.
 ROW_BASE = ("record_idx", "record_id", "class_id", "class_name", "size_bucket", "area_pct", "bbox_width", "bbox_height", "aspect_bucket", "image_path", "label_path", "file_name", "bbox", "annotation_line")
 
 

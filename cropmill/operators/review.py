@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cropmill.functions.text import action_group
 
+# The review states.
 STATUSES = ("Unreviewed", "Drop confirmed", "Keep", "Hold")
 #: Orders of group boards; ids settle ties.
 BOARD_SORTS = {"drops": ["drop_candidates", "mean_similarity_to_primary"], "similarity": ["mean_similarity_to_primary", "drop_candidates"], "size": ["group_size", "mean_similarity_to_primary"]}
