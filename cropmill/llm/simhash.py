@@ -12,7 +12,8 @@ which its members differ.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cropmill.llm.wordhash import mix
 from cropmill.operators.graph import connected_components
 from cropmill.storage import settle, small_batches
 
@@ -215,20 +215,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(settle(whole, "classes"), "fp", "left").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_fp")
 
 
-def word_fingerprints(text: bytes | None, tables: int) -> np.ndarray:
-    """``tables`` independent fingerprints of a text's distinct words: few words differ between near copies, so few bits do."""
-    words = sorted(set((text or b"").lower().split()))
-    if not words:
-        return np.zeros(tables, np.uint64)
-    base = np.frombuffer(b"".join([xxhash.xxh64_digest(w, 42) for w in words]), ">u8").astype(np.uint64)
-    out = []
-    for t in range(tables):
-        h = mix(base * np.uint64(2 * t + 0x9E3779B97F4A7C15) + np.uint64(t))
-        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * bits > len(words)).tobytes(), "big"))
-    return np.array(out, np.uint64)
-
-
 def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles (fewer words: the whole sequence; none: empty)."""
     words = (text or b"").lower().split()
@@ -237,111 +223,211 @@ def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, spans)), np.uint64))
 
 
-def similar_groups(sets: list[np.ndarray], similarity: float) -> list[int]:
-    """For each set the first member of its component over links of at least this Jaccard similarity (two empty sets are equal)."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    data = np.concatenate(sets) if n else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(n), sizes)
-    group = np.full(n, -1)
-    for seed in range(n):
-        if group[seed] >= 0:
-            continue
-        group[seed] = seed
-        queue = [seed]
-        while queue:
-            pivot = sets[queue.pop()]
-            rest = group < 0
-            if not rest.any():
-                break
-            live = rest[owner]
-            if not live.all():
-                data, owner = data[live], owner[live]
-            if len(pivot):
-                spot = np.minimum(np.searchsorted(pivot, data), len(pivot) - 1)
-                both = np.bincount(owner[pivot[spot] == data], minlength=n)
-            else:
-                both = np.zeros(n, np.int64)
-            alike = both >= similarity * (sizes + len(pivot) - both) - 1e-9
-            near = np.flatnonzero(rest & alike)
-            group[near] = seed
-            queue += near.tolist()
-    return group.tolist()
-
-
 def if_small(rows: DataFrame, most: int = 500_000) -> DataFrame:
     """``rows``, to be broadcast if they are ``most`` at most (of under a hundred bytes each); the join shuffles both sides otherwise."""
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 4, tables: int = 8, group_rows: int = 4_000, group_bytes: int = 32 << 20) -> DataFrame:
+def least_overlap(a: np.ndarray | int, b: np.ndarray | int, similarity: float) -> np.ndarray:
+    """How many members sets of ``a`` and ``b`` members must share for this Jaccard similarity."""
+    return np.ceil(similarity / (1 + similarity) * (a + b) - 1e-6)
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first members of a set in the global order: of two similar sets the first member that both share is in both prefixes.
+
+    The order is by the count in a sample (``common``: its frequent shingles, ascending; all others count as 0), then by hash. Any
+    order is right; this one keeps boilerplate out of prefixes.
+    """
+    n = len(shingles)
+    level = np.zeros(n, np.int64)
+    if n and len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        level = np.where(common[at] == shingles, counts[at], 0)
+    return shingles[np.lexsort((shingles, level))][: n - math.ceil(similarity * n - 1e-6) + 1]
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch], least: int = 200_000) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first, cut between its values into pieces of ``least`` rows or more."""
+    parts, n = [], 0
+    for batch in batches:
+        parts.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        n += batch.num_rows
+        if n >= least and parts[-1][0][-1] != parts[0][0][0]:
+            held = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            at = int(np.searchsorted(held[0], held[0][-1]))
+            yield [c[:at] for c in held]
+            parts = [[c[at:] for c in held]]
+            n -= at
+    if parts:
+        yield [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    both = np.unique(np.sort(np.stack([a, b], axis=1), axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+
+
+def near_pairs(cols: list[np.ndarray], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of whole buckets (token, size, node, position; sorted by token and size) that may be similar: neighbours, and each with the first."""
+    token, size, node, at = cols
+    first = np.searchsorted(token, token)
+    rows = np.arange(len(token))
+    x = np.concatenate([np.maximum(rows - 1, first), first])
+    y = np.concatenate([rows, rows])
+    rest = np.minimum(size[x] - at[x], size[y] - at[y])
+    ok = (node[x] != node[y]) & (rest >= least_overlap(size[x], size[y], similarity))
+    yield _pairs(node[x[ok]], node[y[ok]])
+
+
+def all_pairs(cols: list[np.ndarray], similarity: float, most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """All pairs of whole buckets (as in ``near_pairs``, and roots) that may be similar and differ in root."""
+    token, size, node, at, root = cols
+    rows, a, b, n = np.arange(len(token)), [], [], 0
+    for d in range(1, len(token)):
+        rows = rows[rows < len(token) - d]
+        # Sizes ascend: once a row's next is too large, so are all that follow.
+        rows = rows[(token[rows] == token[rows + d]) & (np.minimum(size[rows], size[rows + d]) >= least_overlap(size[rows], size[rows + d], similarity))]
+        if not len(rows):
+            break
+        x, y = rows, rows + d
+        ok = (root[x] != root[y]) & (np.minimum(size[x] - at[x], size[y] - at[y]) >= least_overlap(size[x], size[y], similarity))
+        a.append(node[x[ok]])
+        b.append(node[y[ok]])
+        n += len(a[-1])
+        if n > most:
+            yield _pairs(np.concatenate(a), np.concatenate(b))
+            a, b, n = [], [], 0
+    if n:
+        yield _pairs(np.concatenate(a), np.concatenate(b))
+
+
+def similar(pivot: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which sets have at least this Jaccard similarity with the pivot; none is empty."""
+    sizes = np.array([len(s) for s in others])
+    data, owner = np.concatenate(others), np.repeat(np.arange(len(others)), sizes)
+    spot = np.minimum(np.searchsorted(pivot, data), len(pivot) - 1)
+    both = np.bincount(owner[pivot[spot] == data], minlength=len(others))
+    return both >= similarity * (sizes + len(pivot) - both) - 1e-9
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float, block_rows: int, block_bytes: int) -> DataFrame:
+    """``(src, dst)``: the pairs ``(a, b)`` whose sets are similar. Nodes are dealt into blocks and each two blocks with a pair are a task's
+    unit, so a set is sent once for each block it is compared with, and memory is two blocks."""
+    total = sets.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("shingles")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, math.ceil(total.n / block_rows), math.ceil(total.bytes / block_bytes))
+    p, q = (F.pmod(F.xxhash64(c), F.lit(blocks)) for c in ("a", "b"))
+    dealt = pairs.select(F.least(p, q).alias("p"), F.greatest(p, q).alias("q"), "a", "b")
+    needed = dealt.select("p", "q", F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
+    rows = needed.select("p", "q", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "shingles").unionByName(dealt.withColumn("shingles", F.lit(None).cast("binary")))
+    rows = rows.repartition("p", "q").sortWithinPartitions("p", "q", F.col("b").isNotNull(), "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, pivot, others = None, {}, None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if others:
+                near = similar(held[pivot], [held[b] for b in others], similarity)
+                found = np.array(others, np.int64)[near]
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), pivot, np.int64)), pa.array(found)], names=["src", "dst"])
+
+        for batch in batches:
+            for p, q, a, b, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (p, q) != key or a != pivot or len(others) >= 1_000:
+                    yield from out()
+                    pivot, others = a, []
+                if (p, q) != key:
+                    key, held = (p, q), {}
+                if b is None:
+                    held[a] = np.frombuffer(body, np.uint64)
+                else:
+                    others.append(b)
+        yield from out()
+
+    return rows.mapInArrow(run, "src long, dst long")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, group_rows: int = 4_000, group_bytes: int = 32 << 20) -> DataFrame:
     """The rows of ``docs`` of which no other row of their group has a smaller id: one document of each group stays.
 
-    Groups are components over pairs whose word shingles have at least this Jaccard similarity, among pairs of which some of
-    ``tables`` fingerprints of distinct words differ in at most ``bits`` bits (found by the ring keys); exact copies always group.
-    A component of candidates that is larger than ``group_rows`` or ``group_bytes`` is dealt out at random and the survivors meet
-    again, until it is small or a round drops nothing. Null ids count as larger than any; of rows of equal ids the first read stays.
-    ``docs`` must be a table read from files, as rows are known by their place in it. Null texts are empty ones, which are copies of
-    each other. An empty table gives an empty table.
+    Groups are components over all pairs whose word shingles have at least this Jaccard similarity. Rows of equal shingles are one node.
+    Nodes meet under each shingle of their prefixes, which similar sets are sure to share (prefix, length and positional filters); every
+    link is checked on whole sets. First neighbours in a bucket are checked, then all pairs that these links leave unconnected.
+    Sets are compared in blocks of ``group_rows`` and ``group_bytes`` at most on average. Null ids count as larger than any; of rows of
+    equal ids the first read stays. ``docs`` must be a table read from files, as rows are known by their place in it. Null texts are
+    empty ones, which are copies of each other. An empty table gives an empty table.
     """
     small_batches(docs.sparkSession)
     place = docs.withColumn("row_at", F.monotonically_increasing_id())
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    narrow = place.select("row_at", F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "row_at").alias("rank"), F.xxhash64(body).alias("node"), F.octet_length(body).cast("long").alias("size"), body.alias("body"))
-    rank = narrow.schema["rank"].dataType
+    narrow = place.select("row_at", F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "row_at").alias("rank"), body.alias("body"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def known_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [word_fingerprints(x.as_py(), tables).view(np.int64).tolist() for x in batch.column("body")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row_at", "rank", "node", "size")), pa.array(prints, pa.list_(pa.int64()))], names=["row_at", "rank", "node", "size", "prints"])
-
-    schema = T.StructType([T.StructField("row_at", T.LongType()), T.StructField("rank", rank), T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("prints", T.ArrayType(T.LongType()))])
-    known = settle(narrow.mapInArrow(run, schema), "places")
-    nodes = known.groupBy("node").agg(F.min("rank").alias("rank"), F.max("size").alias("size"), F.first("prints").alias("prints"))
-    nodes = settle(nodes, "nodes")
-    edges = None
-    for t in range(tables):
-        classes = nodes.select("node", F.col("prints")[t].alias("fp"))
-        heads = classes.groupBy("fp").agg(F.min("node").alias("head"))
-        same = classes.join(heads, "fp").where("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst"))
-        links = link_edges(heads, bits)
-        links = links.join(heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src").join(heads.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        found = settle(same.unionByName(links), "links")
-        edges = found if edges is None else edges.unionByName(found)
-    roots = connected_components(edges)
-    left = settle(roots.join(nodes.select("node", "rank", "size"), "node"), "members")
-    dropped = known.join(nodes.select("node", F.col("rank.row_at").alias("first")), "node").where("row_at <> first").select("row_at")
-    for turn in range(20):
-        sums = left.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
-        sums = sums.withColumn("parts", F.greatest(F.ceil(F.col("n") / group_rows), F.ceil(F.col("bytes") / group_bytes)))
-        dealt = left.join(sums.select("root", "parts"), "root").select(F.col("rank.row_at").alias("row_at"), "rank", "node", "size", "root", F.pmod(F.xxhash64("node", F.lit(turn)), "parts").alias("part"), (F.col("parts") > 1).alias("more"))
-        dealt = settle(dealt, "dealt")
-        texts = place.select("row_at", F.col(text_col).cast("string").cast("binary").alias("body")).join(if_small(dealt), "row_at")
-        kind = T.StructType([T.StructField("row_at", T.LongType()), T.StructField("rank", rank), T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("root", T.LongType()), T.StructField("more", T.BooleanType()), T.StructField("stays", T.BooleanType())])
-
-        def judge(batches: Iterator[pa.RecordBatch], names=tuple(kind.names)) -> Iterator[pa.RecordBatch]:
-            key, rows = None, []
-
-            def out() -> Iterator[pa.RecordBatch]:
-                if rows:
-                    first = similar_groups([r.pop("set") for r in rows], similarity)
-                    for i, r in enumerate(rows):
-                        r["stays"] = first[i] == i
-                    yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in rows], schema=wire)
-
-            for batch in batches:
-                wire = pa.schema([pa.field(n, pa.bool_()) if n == "stays" else batch.schema.field(n) for n in names])
-                for r in batch.to_pylist():
-                    if (r["root"], r["part"]) != key:
-                        yield from out()
-                        key, rows = (r["root"], r["part"]), []
-                    r["set"] = shingle_set(r.pop("body"), shingle)
-                    rows.append(r)
-            yield from out()
-
-        judged = settle(texts.repartition("root", "part").sortWithinPartitions("root", "part", "rank").mapInArrow(judge, kind), "judged")
-        dropped = dropped.unionByName(judged.where("not stays").select("row_at"))
-        left = judged.where("stays and more").select("node", "root", "rank", "size")
-        if left.limit(1).count() == 0 or judged.where("more and not stays").limit(1).count() == 0:
-            break
+            sets = [shingle_set(x.as_py(), shingle) for x in batch.column("body")]
+            node = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("row_at"), batch.column("rank"), pa.array(node), pa.array([len(s) for s in sets], pa.int64())], names=["row_at", "rank", "node", "size"])
+
+    schema = T.StructType([T.StructField("row_at", T.LongType()), T.StructField("rank", narrow.schema["rank"].dataType), T.StructField("node", T.LongType()), T.StructField("size", T.LongType())])
+    known = settle(narrow.mapInArrow(known_rows, schema), "places")
+    nodes = settle(known.groupBy("node").agg(F.min("rank").alias("rank"), F.max("size").alias("size")), "nodes")
+
+    def bodies(of: DataFrame) -> DataFrame:
+        first = of.select(F.col("rank.row_at").alias("row_at"), "node")
+        return place.select("row_at", body.alias("body")).join(if_small(first), "row_at").select("node", "body")
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x.as_py(), shingle).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(1):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x.as_py(), shingle).view(np.int64))], names=["token"])
+
+    # The sample only chooses the order of shingles, so it loses nothing.
+    every = max(1, nodes.count() // 10_000)
+    frequent = bodies(nodes.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0)).mapInArrow(sample, "token long").groupBy("token").count().where("count >= 3").orderBy(F.desc("count"), "token").limit(50_000).collect()
+    order = np.argsort(np.array([r.token for r in frequent], np.int64).view(np.uint64))
+    common = np.array([r.token for r in frequent], np.int64).view(np.uint64)[order]
+    counts = np.array([r["count"] for r in frequent], np.int64)[order]
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x.as_py(), shingle) for x in batch.column(1)]
+            heads = [prefix(s, common, counts, similarity) if len(s) else s for s in sets]
+            n = np.array([len(h) for h in heads], np.int64)
+            if n.sum():
+                at = np.concatenate([np.arange(x) for x in n])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.repeat([len(s) for s in sets], n)), pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(at)], names=["token", "size", "node", "at"])
+
+    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in whole_buckets(batches):
+            same = cols[0][1:] == cols[0][:-1]
+            keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=["token", "size", "node", "at"])
+
+    met = bodies(nodes).mapInArrow(tokens, "token long, size long, node long, at long")
+    met = settle(met.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(meeting, "token long, size long, node long, at long"), "met")
+
+    def links(rows: DataFrame, pairing: Callable[..., Iterator[pa.RecordBatch]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for cols in whole_buckets(batches):
+                yield from pairing(cols, similarity)
+
+        pairs = rows.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(run, "a long, b long")
+        pairs = settle(pairs.distinct(), "pairs")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = settle(bodies(nodes.join(ends, "node", "left_semi")).mapInArrow(shingles, "node long, shingles binary"), "sets")
+        return settle(verified(pairs, sets, similarity, group_rows, group_bytes), "links")
+
+    near = links(met, near_pairs)
+    roots = connected_components(near)
+    rest = met.join(roots, "node", "left").select("token", "size", "node", "at", F.coalesce("root", "node").alias("root"))
+    roots = connected_components(near.unionByName(links(rest, all_pairs)))
+    groups = nodes.join(roots, "node", "left").select("node", "rank", F.coalesce("root", "node").alias("root"))
+    groups = settle(groups.join(groups.groupBy("root").agg(F.min("rank").alias("least")), "root").select("node", F.col("least.row_at").alias("stays")), "groups")
+    dropped = known.join(groups, "node").where("row_at <> stays").select("row_at")
     return place.join(if_small(settle(dropped, "dropped")), "row_at", "left_anti").drop("row_at")

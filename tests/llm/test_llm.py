@@ -185,6 +185,35 @@ def test_one_of_each_group_stays(spark, tmp_path):
     assert kept == {0, 2, *range(4, 12)}
 
 
+def test_appended_and_replaced_blocks_are_near_copies(spark, tmp_path):
+    rng = random.Random(12)
+    fresh = lambda n: [f"{rng.getrandbits(40):x}" for _ in range(n)]
+    texts, pairs = [], 60
+    for i in range(pairs):
+        w = fresh(204)
+        texts.append(" ".join(w))
+        # 200 of 250 or 245 shingles are shared, or 164 of 200: similarity 0.8, 0.82 and 0.82.
+        texts.append(" ".join([w + fresh(50), w[:100] + fresh(15) + w[115:], w[:168]][i % 3]))
+    texts.append(" ".join(fresh(204) + ["tail"]))
+    docs(spark, texts).write.parquet(f"{tmp_path}/d")
+    kept = {r.doc_id for r in simhash.deduplicated(spark.read.parquet(f"{tmp_path}/d")).collect()}
+    assert kept == {*range(0, 2 * pairs, 2), 2 * pairs}
+
+
+@pytest.mark.parametrize("rows_a_block", [4_000, 5])
+def test_a_large_group_keeps_all_its_links(spark, tmp_path, rows_a_block):
+    rng = random.Random(13)
+    base = [f"{rng.getrandbits(40):x}" for _ in range(404)]
+    texts = []
+    for i in range(60):  # each 0.85 or more like the base, under 0.8 among themselves
+        w, at = list(base), rng.randint(0, 340)
+        w[at : at + 30] = [f"{rng.getrandbits(40):x}" for _ in range(30)]
+        texts.append(" ".join(w))
+    docs(spark, [" ".join(base), *texts], [30, *range(30), *range(31, 61)]).write.parquet(f"{tmp_path}/d")
+    kept = {r.doc_id for r in simhash.deduplicated(spark.read.parquet(f"{tmp_path}/d"), group_rows=rows_a_block).collect()}
+    assert kept == {0}
+
+
 # 4
 
 
