@@ -312,15 +312,20 @@ def similar(pivot: np.ndarray, others: list[np.ndarray], similarity: float) -> n
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float, block_rows: int, block_bytes: int) -> DataFrame:
-    """``(src, dst)``: the pairs ``(a, b)`` whose sets are similar. Nodes are dealt into blocks and each two blocks with a pair are a task's
-    unit, so a set is sent once for each block it is compared with, and memory is two blocks."""
-    total = sets.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("shingles")), F.lit(0)).alias("bytes")).first()
-    blocks = max(1, math.ceil(total.n / block_rows), math.ceil(total.bytes / block_bytes))
-    p, q = (F.pmod(F.xxhash64(c), F.lit(blocks)) for c in ("a", "b"))
-    dealt = pairs.select(F.least(p, q).alias("p"), F.greatest(p, q).alias("q"), "a", "b")
-    needed = dealt.select("p", "q", F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
-    rows = needed.select("p", "q", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "shingles").unionByName(dealt.withColumn("shingles", F.lit(None).cast("binary")))
-    rows = rows.repartition("p", "q").sortWithinPartitions("p", "q", F.col("b").isNotNull(), "a")
+    """``(src, dst)``: the pairs ``(a, b)`` whose sets are similar.
+
+    The nodes of a component of pairs are dealt into blocks; each two blocks with a pair are a unit of work. So a set is sent once where
+    its component is one block, else once for each block that it is compared with, and memory is two blocks.
+    """
+    homes = connected_components(pairs, "a", "b").join(sets.select("node", F.octet_length("shingles").cast("long").alias("bytes")), "node")
+    sums = homes.groupBy("root").agg(F.count("*").alias("n"), F.sum("bytes").alias("total"))
+    sums = sums.select("root", F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("total") / block_bytes)).alias("parts"))
+    homes = settle(homes.join(sums, "root").select("node", "root", F.pmod(F.xxhash64("node"), "parts").alias("part")), "homes")
+    of_a, of_b = homes.select(F.col("node").alias("a"), "root", F.col("part").alias("x")), homes.select(F.col("node").alias("b"), F.col("part").alias("y"))
+    dealt = settle(pairs.join(of_a, "a").join(of_b, "b").select("root", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "a", "b"), "dealt")
+    needed = dealt.select("root", "p", "q", F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
+    rows = needed.select("root", "p", "q", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "shingles").unionByName(dealt.withColumn("shingles", F.lit(None).cast("binary")))
+    rows = rows.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q", F.col("b").isNotNull(), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, pivot, others = None, {}, None, []
@@ -333,12 +338,12 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float, block_rows: i
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), pivot, np.int64)), pa.array(found)], names=["src", "dst"])
 
         for batch in batches:
-            for p, q, a, b, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (p, q) != key or a != pivot or len(others) >= 1_000:
+            for root, p, q, a, b, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (root, p, q) != key or a != pivot or len(others) >= 1_000:
                     yield from out()
                     pivot, others = a, []
-                if (p, q) != key:
-                    key, held = (p, q), {}
+                if (root, p, q) != key:
+                    key, held = (root, p, q), {}
                 if b is None:
                     held[a] = np.frombuffer(body, np.uint64)
                 else:
