@@ -124,20 +124,33 @@ class Shard:
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> Iterator[tuple[int, int, float]]:
         """(query id, id, score) of each query's ``k`` best in this shard, itself left out; equal scores go to smaller ids."""
         unit = queries / np.sqrt((queries**2).sum(axis=1))[:, None]
-        found = self.tree.search(np.concatenate([unit, np.zeros((len(unit), 1))], axis=1), k + 1, factor)
-        for own, q, at in zip(ids, queries, found, strict=True):
-            points = self.tree.order[at]
-            scores = inner_products(q[None, :], self.vectors[points])
-            # Of equal vectors the k + 1 smallest ids are all that can be among k.
-            rows = [(-s, int(i)) for p, s in zip(points, scores.tolist(), strict=True) for i in self.ids[self.first[p] : min(self.first[p] + k + 1, self.first[p + 1])] if i != own]
-            rows.sort()
-            for s, i in rows[:k]:
-                yield int(own), i, -s
+        unit = np.concatenate([unit, np.zeros((len(unit), 1))], axis=1)
+        todo, want = np.arange(len(ids)), k + 1
+        while len(todo):
+            again = []
+            for n, at in zip(todo.tolist(), self.tree.search(unit[todo], want, factor), strict=True):
+                points = self.tree.order[at]
+                scores = inner_products(queries[n][None, :], self.vectors[points])
+                best: dict[int, float] = {}
+                for p, s in zip(points, scores.tolist(), strict=True):
+                    # Of equal vectors the k + 1 smallest ids are all that can be among k.
+                    for i in self.ids[self.first[p] : min(self.first[p] + k + 1, self.first[p + 1])].tolist():
+                        if i != ids[n] and s > best.get(i, -math.inf):
+                            best[i] = s
+                if len(best) < k and want < len(self.vectors):
+                    again.append(n)  # ids with several vectors took the places of others
+                    continue
+                for s, i in sorted((-s, i) for i, s in best.items())[:k]:
+                    yield int(ids[n]), i, -s
+            todo, want = np.array(again, np.int64), 2 * want
 
 
 def _pack(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Rows of one key after another as blocks: key, number of rows, ids and vectors as bytes. A block has ``size`` rows at most."""
-    key, ids, vectors = None, [], []
+    """Sorted rows of one key after another as blocks: key, number of rows, ids and vectors as bytes. Repeated rows stand once.
+
+    A block has ``size`` rows at most.
+    """
+    key, ids, vectors, last = None, [], [], None
 
     def out() -> Iterator[pa.RecordBatch]:
         if ids:
@@ -146,6 +159,9 @@ def _pack(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
 
     for batch in batches:
         for k, i, v in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            if (k, i, v) == last:
+                continue
+            last = (k, i, v)
             if k != key or len(ids) >= size:
                 yield from out()
                 key, ids, vectors = k, [], []
@@ -181,9 +197,9 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_
     blocks = max(1, math.ceil(asked.count() / query_rows))
     # Dealt by a hash of id and vector, not by vector: copies spread over all shards.
     dealt = points.where(F.size("v") == width).select(F.pmod(F.xxhash64("id", "v"), F.lit(shards)).alias("shard"), "id", "v")
-    packed = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "id").mapInArrow(lambda b: _pack(b, 2 * shard_rows), _BLOCK)
+    packed = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "id", "v").mapInArrow(lambda b: _pack(b, 2 * shard_rows), _BLOCK)
     ask = asked.where(F.size("v") == width).select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("shard"), "id", "v")
-    ask = ask.repartition(blocks, "shard").sortWithinPartitions("shard", "id").mapInArrow(lambda b: _pack(b, 2 * query_rows), _BLOCK)
+    ask = ask.repartition(blocks, "shard").sortWithinPartitions("shard", "id", "v").mapInArrow(lambda b: _pack(b, 2 * query_rows), _BLOCK)
     ask = ask.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"))
     met = packed.hint("merge").join(ask, "shard")
 

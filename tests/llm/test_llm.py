@@ -414,6 +414,24 @@ def test_neighbours_are_exact(spark, rows_a_shard):
     assert vptree.nearest(df.where("false"), df).collect() == []
 
 
+@pytest.mark.parametrize("rows_a_shard", [100_000, 40])
+def test_repeated_rows_take_one_place(spark, rows_a_shard):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(120, 6))
+    near = x[0] * 3
+    # 500 is repeated; 501 has many vectors, all nearer than any other row; so has the query's own id.
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, near.tolist())] * 30
+    rows += [(501, (near * (2 + j / 10)).tolist()) for j in range(30)] + [(0, (near * (9 + j)).tolist()) for j in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vptree.nearest(df, df.limit(1), k=10, shard_rows=rows_a_shard).collect()
+    best = {}
+    for i, v in rows:
+        if i:
+            best[i] = max(best.get(i, -math.inf), float(np.cumsum(x[0] * np.array(v))[-1]))
+    want = sorted(best, key=lambda i: (-best[i], i))[:10]
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(n + 1, i, best[i]) for n, i in enumerate(want)]
+
+
 def test_relaxed_pruning_keeps_recall(spark, sf):
     rows = table(spark, "/root/testdata/sf0.01", "embeddings")
     ask = rows.where("vec_id % 20 = 0")
