@@ -15,14 +15,20 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``.
+    """The folder that the cluster names in ``spark.checkpoint.dir``, or else that of ``SparkContext.setCheckpointDir``.
 
-    Only where the setting is missing (tests, a laptop) a temporary folder of this machine is taken; it goes when the process ends.
+    Only where both are missing and all tasks run in this process (tests, a laptop) a temporary folder of this machine is taken; it goes
+    when the process ends. Executors of a cluster could not see it, so there a missing setting is an error.
     """
     name = "spark.checkpoint.dir"
-    found = spark.conf.get(name, None) or spark.sparkContext.getConf().get(name)
+    if found := spark.conf.get(name, None):
+        return found.rstrip("/")
+    sc = spark.sparkContext
+    found = sc.getConf().get(name) or sc.getCheckpointDir()
     if not found:
-        app = spark.sparkContext.applicationId
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError(f"set {name} to a folder that the driver and all executors of {sc.master} share")
+        app = sc.applicationId
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="cropmill-")
             atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
@@ -47,14 +53,26 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["settled_at"] = path
+    return out
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables of ``settle`` that nothing reads any more: neither a later job nor a result that has yet to be computed."""
+    for df in tables:
+        if df is not None and "settled_at" in df.__dict__:
+            _delete(df.sparkSession, df.__dict__.pop("settled_at"))
 
 
 def purge(spark: SparkSession) -> None:
     """Delete every table that this application has left in the shared folder; call it when no result is needed any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(own_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, own_folder(spark))
 
 
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:

@@ -30,11 +30,11 @@ def brute_components(edges):
     return {x: find(x) for x in root}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components(spark, seed):
+@pytest.mark.parametrize(("seed", "small"), [(0, 0), (1, 0), (1, 20), (2, 1_000_000)])
+def test_components(spark, seed, small):
     rng = random.Random(seed)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)]
-    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "src long, dst long"), small=small).collect()}
     want = brute_components([e for e in edges if e[0] != e[1]])
     assert got == want
 

@@ -3,6 +3,8 @@
 import os
 from types import SimpleNamespace
 
+import pytest
+
 from cropmill import storage
 
 
@@ -11,9 +13,21 @@ def test_shared_folder_is_the_cluster_s():
     assert storage.shared_dir(SimpleNamespace(conf=conf)) == "hdfs://x/y"
 
 
+def context(conf, master, folder=None):
+    return SimpleNamespace(applicationId="app-1", master=master, getConf=lambda: conf, getCheckpointDir=lambda: folder)
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://host"])
+def test_a_cluster_must_name_a_shared_folder(master):
+    none = SimpleNamespace(get=lambda name, default=None: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(SimpleNamespace(conf=none, sparkContext=context(none, master)))
+    assert storage.shared_dir(SimpleNamespace(conf=none, sparkContext=context(none, master, "hdfs://x/c"))) == "hdfs://x/c"
+
+
 def test_own_folder_where_none_is_named():
     none = SimpleNamespace(get=lambda name, default=None: None)
-    spark = SimpleNamespace(conf=none, sparkContext=SimpleNamespace(applicationId="app-1", getConf=lambda: none))
+    spark = SimpleNamespace(conf=none, sparkContext=context(none, "local[4]"))
     at = storage.shared_dir(spark)
     assert at == storage.shared_dir(spark) and os.path.isdir(at.removeprefix("file://"))
 
@@ -22,6 +36,11 @@ def test_settle_and_purge(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
     back = storage.settle(df, "t")
     assert sorted(back.collect()) == sorted(df.collect()) and back.schema == df.schema
+    at = back.__dict__["settled_at"].removeprefix("file://")
+    assert os.path.isdir(at)
+    storage.release(back, None, df)
+    storage.release(back)
+    assert not os.path.isdir(at)
     storage.purge(spark)
     assert not os.path.isdir(storage.own_folder(spark).removeprefix("file://"))
 
