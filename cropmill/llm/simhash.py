@@ -6,14 +6,13 @@ differ in at most ``t`` bits, some start segment has chains of every length ``l`
 differ in at most one bit, and so on. So fingerprints meet under keys of two consecutive segments, the first exact and the second
 exact or with one bit flipped; longer chains prune what meets, and the full Hamming distance decides.
 
-Buckets emit, for each component of their links, its first member with each other one, and never all pairs. A bucket of any size is solved by splitting it on the bits in
-which its members differ.
+Buckets give, for each component of their links, its first member with each other one, and never all pairs. A bucket of any size is
+solved by splitting it on the bits in which its members differ. A task emits a link only if it joins two of the groups that it knows.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cropmill.operators.graph import connected_components
+from cropmill.operators.graph import connected_components, least_members
 from cropmill.storage import settle, small_batches
 
 #: Buckets up to this size are compared as one matrix.
@@ -167,6 +166,35 @@ def _links(keys: np.ndarray, fps: np.ndarray, bits: int) -> list[np.ndarray]:
     return out
 
 
+class Groups:
+    """The groups of linked fingerprints that a task knows so far."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        top = x
+        while (up := parent.get(top, top)) != top:
+            top = up
+        while x != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    def joining(self, pairs: np.ndarray) -> np.ndarray:
+        """Links from the smallest member of each component of ``pairs`` to others of it, but for those that are in its group already."""
+        nodes, place = np.unique(pairs, return_inverse=True)
+        place = place.reshape(-1, 2)
+        least = least_members(place[:, 0], place[:, 1], len(nodes))
+        out = []
+        for x, y in zip(nodes.tolist(), nodes[least].tolist(), strict=True):
+            a, b = self.root(x), self.root(y)
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+                out.append((y, x))
+        return np.array(out, np.uint64).reshape(-1, 2)
+
+
 def link_edges(distinct: DataFrame, bits: int = 4, fp: str = "fp") -> DataFrame:
     """``(src, dst)`` of a table of distinct fingerprints: pairs whose components are those of all links of at most ``bits`` bits."""
     probes = distinct.select(F.explode(ring_keys(fp, bits)).alias("key"), F.col(fp).alias("fp"))
@@ -175,10 +203,12 @@ def link_edges(distinct: DataFrame, bits: int = 4, fp: str = "fp") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
+        groups = Groups()
+
         def out(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
             found = [x for x in _links(keys, fps, bits) if len(x)] if len(keys) > 1 else []
             if found:
-                pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0).view(np.int64)
+                pairs = groups.joining(np.concatenate(found)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["src", "dst"])
 
         for batch in batches:
@@ -213,226 +243,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Written first, so that the join meets plain exchanges, whose large partitions Spark can split.
     whole = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("component_fp"))
     return own.join(settle(whole, "classes"), "fp", "left").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_fp")
-
-
-def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles (fewer words: the whole sequence; none: empty)."""
-    words = (text or b"").lower().split()
-    k = min(shingle, len(words))
-    spans = [b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] if words else []
-    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, spans)), np.uint64))
-
-
-def if_small(rows: DataFrame, most: int = 500_000) -> DataFrame:
-    """``rows``, to be broadcast if they are ``most`` at most (of under a hundred bytes each); the join shuffles both sides otherwise."""
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
-
-
-def least_overlap(a: np.ndarray | int, b: np.ndarray | int, similarity: float) -> np.ndarray:
-    """How many members sets of ``a`` and ``b`` members must share for this Jaccard similarity."""
-    return np.ceil(similarity / (1 + similarity) * (a + b) - 1e-6)
-
-
-def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """The first members of a set in the global order: of two similar sets the first member that both share is in both prefixes.
-
-    The order is by the count in a sample (``common``: its frequent shingles, ascending; all others count as 0), then by hash. Any
-    order is right; this one keeps boilerplate out of prefixes.
-    """
-    n = len(shingles)
-    level = np.zeros(n, np.int64)
-    if n and len(common):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        level = np.where(common[at] == shingles, counts[at], 0)
-    return shingles[np.lexsort((shingles, level))][: n - math.ceil(similarity * n - 1e-6) + 1]
-
-
-def whole_buckets(batches: Iterator[pa.RecordBatch], least: int = 200_000) -> Iterator[list[np.ndarray]]:
-    """Columns of rows sorted by the first, cut between its values into pieces of ``least`` rows or more."""
-    parts, n = [], 0
-    for batch in batches:
-        parts.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-        n += batch.num_rows
-        if n >= least and parts[-1][0][-1] != parts[0][0][0]:
-            held = [np.concatenate(c) for c in zip(*parts, strict=True)]
-            at = int(np.searchsorted(held[0], held[0][-1]))
-            yield [c[:at] for c in held]
-            parts = [[c[at:] for c in held]]
-            n -= at
-    if parts:
-        yield [np.concatenate(c) for c in zip(*parts, strict=True)]
-
-
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    both = np.unique(np.sort(np.stack([a, b], axis=1), axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
-
-
-def near_pairs(cols: list[np.ndarray], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of whole buckets (token, size, node, position; sorted by token and size) that may be similar: neighbours, and each with the first."""
-    token, size, node, at = cols
-    first = np.searchsorted(token, token)
-    rows = np.arange(len(token))
-    x = np.concatenate([np.maximum(rows - 1, first), first])
-    y = np.concatenate([rows, rows])
-    rest = np.minimum(size[x] - at[x], size[y] - at[y])
-    ok = (node[x] != node[y]) & (rest >= least_overlap(size[x], size[y], similarity))
-    yield _pairs(node[x[ok]], node[y[ok]])
-
-
-def all_pairs(cols: list[np.ndarray], similarity: float, most: int = 500_000) -> Iterator[pa.RecordBatch]:
-    """All pairs of whole buckets (as in ``near_pairs``, and roots) that may be similar and differ in root."""
-    token, size, node, at, root = cols
-    rows, a, b, n = np.arange(len(token)), [], [], 0
-    for d in range(1, len(token)):
-        rows = rows[rows < len(token) - d]
-        # Sizes ascend: once a row's next is too large, so are all that follow.
-        rows = rows[(token[rows] == token[rows + d]) & (np.minimum(size[rows], size[rows + d]) >= least_overlap(size[rows], size[rows + d], similarity))]
-        if not len(rows):
-            break
-        x, y = rows, rows + d
-        ok = (root[x] != root[y]) & (np.minimum(size[x] - at[x], size[y] - at[y]) >= least_overlap(size[x], size[y], similarity))
-        a.append(node[x[ok]])
-        b.append(node[y[ok]])
-        n += len(a[-1])
-        if n > most:
-            yield _pairs(np.concatenate(a), np.concatenate(b))
-            a, b, n = [], [], 0
-    if n:
-        yield _pairs(np.concatenate(a), np.concatenate(b))
-
-
-def similar(pivot: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Which sets have at least this Jaccard similarity with the pivot; none is empty."""
-    sizes = np.array([len(s) for s in others])
-    data, owner = np.concatenate(others), np.repeat(np.arange(len(others)), sizes)
-    spot = np.minimum(np.searchsorted(pivot, data), len(pivot) - 1)
-    both = np.bincount(owner[pivot[spot] == data], minlength=len(others))
-    return both >= similarity * (sizes + len(pivot) - both) - 1e-9
-
-
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float, block_rows: int, block_bytes: int) -> DataFrame:
-    """``(src, dst)``: the pairs ``(a, b)`` whose sets are similar.
-
-    The nodes of a component of pairs are dealt into blocks; each two blocks with a pair are a unit of work. So a set is sent once where
-    its component is one block, else once for each block that it is compared with, and memory is two blocks.
-    """
-    homes = connected_components(pairs, "a", "b").join(sets.select("node", F.octet_length("shingles").cast("long").alias("bytes")), "node")
-    sums = homes.groupBy("root").agg(F.count("*").alias("n"), F.sum("bytes").alias("total"))
-    sums = sums.select("root", F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("total") / block_bytes)).alias("parts"))
-    homes = settle(homes.join(sums, "root").select("node", "root", F.pmod(F.xxhash64("node"), "parts").alias("part")), "homes")
-    of_a, of_b = homes.select(F.col("node").alias("a"), "root", F.col("part").alias("x")), homes.select(F.col("node").alias("b"), F.col("part").alias("y"))
-    dealt = settle(pairs.join(of_a, "a").join(of_b, "b").select("root", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "a", "b"), "dealt")
-    needed = dealt.select("root", "p", "q", F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
-    rows = needed.select("root", "p", "q", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "shingles").unionByName(dealt.withColumn("shingles", F.lit(None).cast("binary")))
-    rows = rows.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q", F.col("b").isNotNull(), "a")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, pivot, others = None, {}, None, []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            if others:
-                near = similar(held[pivot], [held[b] for b in others], similarity)
-                found = np.array(others, np.int64)[near]
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), pivot, np.int64)), pa.array(found)], names=["src", "dst"])
-
-        for batch in batches:
-            for root, p, q, a, b, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (root, p, q) != key or a != pivot or len(others) >= 1_000:
-                    yield from out()
-                    pivot, others = a, []
-                if (root, p, q) != key:
-                    key, held = (root, p, q), {}
-                if b is None:
-                    held[a] = np.frombuffer(body, np.uint64)
-                else:
-                    others.append(b)
-        yield from out()
-
-    return rows.mapInArrow(run, "src long, dst long")
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, group_rows: int = 4_000, group_bytes: int = 32 << 20) -> DataFrame:
-    """The rows of ``docs`` of which no other row of their group has a smaller id: one document of each group stays.
-
-    Groups are components over all pairs whose word shingles have at least this Jaccard similarity. Rows of equal shingles are one node.
-    Nodes meet under each shingle of their prefixes, which similar sets are sure to share (prefix, length and positional filters); every
-    link is checked on whole sets. First neighbours in a bucket are checked, then all pairs that these links leave unconnected.
-    Sets are compared in blocks of ``group_rows`` and ``group_bytes`` at most on average. Null ids count as larger than any; of rows of
-    equal ids the first read stays. ``docs`` must be a table read from files, as rows are known by their place in it. Null texts are
-    empty ones, which are copies of each other. An empty table gives an empty table.
-    """
-    small_batches(docs.sparkSession)
-    place = docs.withColumn("row_at", F.monotonically_increasing_id())
-    body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    narrow = place.select("row_at", F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "row_at").alias("rank"), body.alias("body"))
-
-    def known_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(x.as_py(), shingle) for x in batch.column("body")]
-            node = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("row_at"), batch.column("rank"), pa.array(node), pa.array([len(s) for s in sets], pa.int64())], names=["row_at", "rank", "node", "size"])
-
-    schema = T.StructType([T.StructField("row_at", T.LongType()), T.StructField("rank", narrow.schema["rank"].dataType), T.StructField("node", T.LongType()), T.StructField("size", T.LongType())])
-    known = settle(narrow.mapInArrow(known_rows, schema), "places")
-    nodes = settle(known.groupBy("node").agg(F.min("rank").alias("rank"), F.max("size").alias("size")), "nodes")
-
-    def bodies(of: DataFrame) -> DataFrame:
-        first = of.select(F.col("rank.row_at").alias("row_at"), "node")
-        return place.select("row_at", body.alias("body")).join(if_small(first), "row_at").select("node", "body")
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(x.as_py(), shingle).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column(1):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x.as_py(), shingle).view(np.int64))], names=["token"])
-
-    # The sample only chooses the order of shingles, so it loses nothing.
-    every = max(1, nodes.count() // 10_000)
-    frequent = bodies(nodes.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0)).mapInArrow(sample, "token long").groupBy("token").count().where("count >= 3").orderBy(F.desc("count"), "token").limit(50_000).collect()
-    order = np.argsort(np.array([r.token for r in frequent], np.int64).view(np.uint64))
-    common = np.array([r.token for r in frequent], np.int64).view(np.uint64)[order]
-    counts = np.array([r["count"] for r in frequent], np.int64)[order]
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(x.as_py(), shingle) for x in batch.column(1)]
-            heads = [prefix(s, common, counts, similarity) if len(s) else s for s in sets]
-            n = np.array([len(h) for h in heads], np.int64)
-            if n.sum():
-                at = np.concatenate([np.arange(x) for x in n])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.repeat([len(s) for s in sets], n)), pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(at)], names=["token", "size", "node", "at"])
-
-    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in whole_buckets(batches):
-            same = cols[0][1:] == cols[0][:-1]
-            keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=["token", "size", "node", "at"])
-
-    met = bodies(nodes).mapInArrow(tokens, "token long, size long, node long, at long")
-    met = settle(met.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(meeting, "token long, size long, node long, at long"), "met")
-
-    def links(rows: DataFrame, pairing: Callable[..., Iterator[pa.RecordBatch]]) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for cols in whole_buckets(batches):
-                yield from pairing(cols, similarity)
-
-        pairs = rows.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(run, "a long, b long")
-        pairs = settle(pairs.distinct(), "pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = settle(bodies(nodes.join(ends, "node", "left_semi")).mapInArrow(shingles, "node long, shingles binary"), "sets")
-        return settle(verified(pairs, sets, similarity, group_rows, group_bytes), "links")
-
-    near = links(met, near_pairs)
-    roots = connected_components(near)
-    rest = met.join(roots, "node", "left").select("token", "size", "node", "at", F.coalesce("root", "node").alias("root"))
-    roots = connected_components(near.unionByName(links(rest, all_pairs)))
-    groups = nodes.join(roots, "node", "left").select("node", "rank", F.coalesce("root", "node").alias("root"))
-    groups = settle(groups.join(groups.groupBy("root").agg(F.min("rank").alias("least")), "root").select("node", F.col("least.row_at").alias("stays")), "groups")
-    dropped = known.join(groups, "node").where("row_at <> stays").select("row_at")
-    return place.join(if_small(settle(dropped, "dropped")), "row_at", "left_anti").drop("row_at")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cropmill.llm import chat, licenses, packing, quality, secretscan, simhash, suffixes, vptree, warc, winnowing
+from cropmill.llm import chat, licenses, nearcopies, packing, quality, secretscan, simhash, suffixes, vptree, warc, winnowing
 from cropmill.llm.queries import ORACLE_SQL, QUERIES, table, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -181,7 +181,7 @@ def test_one_of_each_group_stays(spark, tmp_path):
         w[50] = "changed"
         texts.append(" ".join(w))
     docs(spark, texts, [*range(len(texts))]).write.parquet(f"{tmp_path}/d")
-    kept = {r.doc_id for r in simhash.deduplicated(spark.read.parquet(f"{tmp_path}/d"), group_rows=2).collect()}
+    kept = {r.doc_id for r in nearcopies.deduplicated(spark.read.parquet(f"{tmp_path}/d"), block_rows=2).collect()}
     assert kept == {0, 2, *range(4, 12)}
 
 
@@ -196,7 +196,7 @@ def test_appended_and_replaced_blocks_are_near_copies(spark, tmp_path):
         texts.append(" ".join([w + fresh(50), w[:100] + fresh(15) + w[115:], w[:168]][i % 3]))
     texts.append(" ".join(fresh(204) + ["tail"]))
     docs(spark, texts).write.parquet(f"{tmp_path}/d")
-    kept = {r.doc_id for r in simhash.deduplicated(spark.read.parquet(f"{tmp_path}/d")).collect()}
+    kept = {r.doc_id for r in nearcopies.deduplicated(spark.read.parquet(f"{tmp_path}/d")).collect()}
     assert kept == {*range(0, 2 * pairs, 2), 2 * pairs}
 
 
@@ -210,10 +210,79 @@ def test_a_large_group_keeps_all_its_links(spark, tmp_path, rows_a_block):
         w[at : at + 30] = [f"{rng.getrandbits(40):x}" for _ in range(30)]
         texts.append(" ".join(w))
     docs(spark, [" ".join(base), *texts], [30, *range(30), *range(31, 61)]).write.parquet(f"{tmp_path}/d")
-    kept = {r.doc_id for r in simhash.deduplicated(spark.read.parquet(f"{tmp_path}/d"), group_rows=rows_a_block).collect()}
+    kept = {r.doc_id for r in nearcopies.deduplicated(spark.read.parquet(f"{tmp_path}/d"), block_rows=rows_a_block).collect()}
     assert kept == {0}
 
 
+def near_groups(texts, similarity=0.8):
+    """The smallest number of each text's group, by brute force."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().translate(nearcopies.FOLD).split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= similarity * len(a | b) - 1e-9:
+                x, y = min(group[i], group[j]), max(group[i], group[j])
+                group = [x if g == y else g for g in group]
+    return group
+
+
+@pytest.mark.parametrize("rows_a_block", [4_000, 3])
+def test_chains_of_near_copies(spark, rows_a_block):
+    rng = random.Random(14)
+    fresh = lambda n: [f"{rng.getrandbits(40):x}" for _ in range(n)]
+    line, texts = " ".join(fresh(40)), []
+    for _ in range(4):  # each like the next, the ends unlike
+        w = fresh(150)
+        for _ in range(8):
+            texts.append(" ".join(w))
+            at = rng.randint(0, 120)
+            w = w[:at] + fresh(12) + w[at + 12 :]
+    texts += [line + " " + " ".join(fresh(rng.randint(2, 14))) for _ in range(60)]  # a line that many share
+    texts += [None, "", " \t", "one two", "ONE\ttwo", "x " * 70_000, "x " * 70_000 + "y", "one two"]
+    order = rng.sample(range(len(texts)), len(texts))
+    texts = [texts[i] for i in order]
+    rows = docs(spark, texts).withColumn("row", F.lit("a")).withColumn("node", F.lit("b")).withColumn("rank", F.lit(1)).repartition(7)
+    got = nearcopies.deduplicated(rows, block_rows=rows_a_block).collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(near_groups(texts)))
+    assert {(r.row, r.node, r.rank, r.text == texts[r.doc_id]) for r in got} == {("a", "b", 1, True)}
+
+
+def test_repeated_rows_and_ids(spark):
+    rows = [(5, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (None, "g h"), (None, "g h"), (1, "k l m"), (1, "n o p")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(nearcopies.deduplicated(df).collect(), key=repr)
+    assert [tuple(r) for r in got] == [(1, "k l m"), (1, "n o p"), (5, "a b c d e f"), (None, "g h")]
+    assert nearcopies.deduplicated(df.where("false")).collect() == []
+
+
+def test_shingles_of_long_texts_do_not_depend_on_pieces(monkeypatch):
+    rng = random.Random(15)
+    texts = [prose(rng, 500).encode(), b"", b" \n ", b"x" * 300, None, b"a b", prose(rng, 3).encode().upper(), b"tail " * 40]
+    want = nearcopies.shingle_sets(texts, 5)
+    assert [len(s) for s in want[1:]] == [0, 0, 1, 0, 1, 1, 1]
+    monkeypatch.setattr(nearcopies, "CHUNK", 64)
+    assert all((a == b).all() for a, b in zip(want, nearcopies.shingle_sets(texts, 5), strict=True))
+
+
+def test_similar_sets_meet_in_their_prefixes():
+    rng = np.random.default_rng(16)
+    for _ in range(300):
+        n = int(rng.integers(1, 400))
+        both = rng.integers(0, 2**63, n, dtype=np.uint64)
+        spare = int(n / 0.8) - n
+        a = int(rng.integers(0, spare + 1))
+        x, y = (np.unique(np.concatenate([both, rng.integers(0, 2**63, k, dtype=np.uint64)])) for k in (a, spare - a))
+        assert len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
+        common = np.unique(rng.choice(both, rng.integers(0, n + 1)))
+        counts = rng.integers(3, 50, len(common))
+        heads = [nearcopies.prefix(s, common, counts, 0.8) for s in (x, y)]
+        assert len(np.intersect1d(*heads))
+        assert all(len(h) <= max(28, len(s) // 5 + 1) for h, s in zip(heads, (x, y), strict=True) if not len(common))
+
+
 # 4
 
 
