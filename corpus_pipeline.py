@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropmill.llm import packing, quality, secretscan, simhash, winnowing
+from cropmill.llm import nearcopies, packing, quality, secretscan, winnowing
 from cropmill.llm.queries import table, tokenizer_path
 from cropmill.storage import fresh_path
 
@@ -25,7 +25,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies: five-word shingles of similarity 0.8 or more."""
-    return simhash.deduplicated(docs, shingle=5, similarity=0.8).select(*COLUMNS)
+    return nearcopies.deduplicated(docs, shingle=5, similarity=0.8).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
