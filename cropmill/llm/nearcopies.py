@@ -2,7 +2,7 @@
 
 Candidates come from two sides. SimHash fingerprints meet under the pigeonring keys of ``simhash`` and give the links of most groups. What
 they miss is found by an exact set-similarity join: sets meet under each shingle of their prefixes, rare shingles first, and must pass the
-length and positional filters. Whatever meets is checked on whole shingle sets.
+length and positional filters, and a parity bitmap, which tells most unlike sets apart. What is left is checked on whole shingle sets.
 
 Prefixes. A set of n shingles shares all but ``spare`` (a fifth of n at similarity 0.8) with any similar one, so its first ``spare + 1``
 shingles in the global order hold one that both share. Within the rare shingles the order is that of their hashes. Where a set has r of
@@ -12,6 +12,7 @@ chance that two shingles have equal hashes, a longer prefix finds nothing more.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -30,9 +31,11 @@ from cropmill.storage import release, settle, small_batches
 #: A-Z become a-z, ASCII white space becomes a space, all else stays.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b in b"\t\n\v\f\r" else b for b in range(256))
 #: Bytes hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Rows that are sent to every executor at most, of under a hundred bytes each.
 MOST_SENT = 500_000
+#: Bits of a set's bitmap.
+BITS = 1024
 
 
 def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
@@ -93,6 +96,18 @@ def least_overlap(a: np.ndarray | Column, b: np.ndarray | Column, similarity: fl
     return ceil((a + b) * (similarity / (1 + similarity)) - 1e-6)
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """For each of ``BITS`` classes of hashes, whether an odd number of members falls into it; as 64-bit words."""
+    odd = np.bincount((shingles >> np.uint64(16) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether bitmaps (rows of words) leave it open that sets are similar: they differ in no more bits than the sets do in members."""
+    most = size_a + size_b - 2 * least_overlap(size_a, size_b, similarity)
+    return np.bitwise_count(a ^ b).sum(axis=1) <= most
+
+
 def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
     """The first members of a set in the global order, as many as similar sets need to meet.
 
@@ -136,10 +151,11 @@ def whole_units(batches: Iterator[pa.RecordBatch], keys: int, least: int = 200_0
 def all_pairs(cols: list[np.ndarray], similarity: float, most: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Pairs within whole units that may be similar and differ in root.
 
-    Columns: token and the two parts of its rows that meet (p, q), then size, node, place, root and the row's own part. Rows are sorted
+    Columns: token and the two parts of its rows that meet (p, q), then size, node, place, root, the row's own part, its bitmap. Rows are sorted
     by unit and size. Where p and q differ, only pairs across them count: those within have a unit of their own.
     """
-    token, p, q, size, node, at, root, own = cols
+    token, p, q, size, node, at, root, own, bits = cols
+    bits = np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITS // 64)
     n_rows = len(token)
     unit = np.zeros(n_rows, np.int64)
     unit[1:] = np.cumsum((token[1:] != token[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]))
@@ -157,6 +173,8 @@ def all_pairs(cols: list[np.ndarray], similarity: float, most: int = 500_000) ->
             break
         x, y = rows, rows + d
         ok = (root[x] != root[y]) & ((p[x] == q[x]) | (own[x] != own[y])) & (np.minimum(size[x] - at[x], size[y] - at[y]) >= least_overlap(size[x], size[y], similarity))
+        x, y = x[ok], y[ok]
+        ok = may_be_similar(bits[x], bits[y], size[x], size[y], similarity)
         a.append(node[x[ok]])
         b.append(node[y[ok]])
         n += len(a[-1])
@@ -188,26 +206,26 @@ class NearCopies:
         self.docs = docs.select(F.struct("*").alias("row"), ident.alias("rank"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body"))
 
     def places(self) -> DataFrame:
-        """For each row (rank, node, size, fp); and, with null ranks, (token, n): shingles that stand in three or more texts of a batch."""
+        """For each row (rank, node, size, fp, bits); and, with null nodes, (token, n): shingles that three or more texts of a batch have."""
         shingle = self.shingle
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = ["rank", "node", "size", "fp", "token", "n"]
+            names = ["rank", "node", "size", "fp", "token", "n", "bits"]
             for batch in batches:
                 sets = shingle_sets(batch.column(1).to_pylist(), shingle)
                 node = np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
                 fp = np.fromiter((majority(s) if len(s) else 0 for s in sets), np.uint64, len(sets)).view(np.int64)
                 none = pa.nulls(len(sets), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp), none, none], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp), none, none, pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], names=names)
                 single = np.unique(node, return_index=True)[1]
                 token, n = np.unique(np.concatenate([sets[i] for i in single]) if len(single) else np.zeros(0, np.uint64), return_counts=True)
                 often = n >= 3
                 if often.any():
                     none = pa.nulls(int(often.sum()), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(none), batch.column(0).type), none, none, none, pa.array(token[often].view(np.int64)), pa.array(n[often])], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(none), batch.column(0).type), none, none, none, pa.array(token[often].view(np.int64)), pa.array(n[often]), pa.nulls(len(none), pa.binary())], names=names)
 
         long = T.LongType()
-        schema = T.StructType([T.StructField("rank", self.docs.schema["rank"].dataType), *(T.StructField(c, long) for c in ("node", "size", "fp", "token", "n"))])
+        schema = T.StructType([T.StructField("rank", self.docs.schema["rank"].dataType), *(T.StructField(c, long) for c in ("node", "size", "fp", "token", "n")), T.StructField("bits", T.BinaryType())])
         return settle(self.docs.select("rank", "body").mapInArrow(run, schema), "places")
 
     def heads(self, common: np.ndarray, counts: np.ndarray) -> DataFrame:
@@ -232,18 +250,34 @@ class NearCopies:
 
         return settle(self.docs.select("body").mapInArrow(run, "token long, size long, node long, at long"), "heads")
 
-    def sets(self, nodes: DataFrame) -> DataFrame:
-        """(node, shingles) of some nodes (node, rank), read from the first row of each."""
+    def sets(self, needed: DataFrame) -> DataFrame:
+        """(root, p, q, node, shingles): the sets of ``needed`` (root, p, q, node, rank), read from the first row of each node."""
         shingle = self.shingle
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                own = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), shingle)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["node", "shingles"])
+                own = [s.tobytes() for s in shingle_sets(batch.column(4).to_pylist(), shingle)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(own, pa.binary())], names=["root", "p", "q", "node", "shingles"])
 
-        first = nodes.select(F.col("rank.ka").alias("ka"), F.col("rank.kb").alias("kb"), "node")
+        first = needed.select(F.col("rank.ka").alias("ka"), F.col("rank.kb").alias("kb"), "root", "p", "q", "node")
         rows = self.docs.select(F.col("rank.ka").alias("ka"), F.col("rank.kb").alias("kb"), "body")
-        return rows.join(if_small(first), ["ka", "kb"]).select("node", "body").mapInArrow(run, "node long, shingles binary")
+        rows = rows.join(if_small(first), ["ka", "kb"]).select("root", "p", "q", "node", "body")
+        return rows.mapInArrow(run, "root long, p long, q long, node long, shingles binary")
+
+    def possible(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The pairs ``(a, b)`` that sizes and bitmaps allow to be similar."""
+        similarity = self.similarity
+        for side in ("a", "b"):
+            pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                size_a, size_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("size_a", "size_b"))
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("bits_a", "bits_b"))
+                keep = may_be_similar(a, b, size_a, size_b, similarity) & (np.minimum(size_a, size_b) >= least_overlap(size_a, size_b, similarity))
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+        return pairs.mapInArrow(run, "a long, b long")
 
     def links(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """``(src, dst)``: the distinct pairs ``(a, b)`` of nodes whose sets are similar.
@@ -252,19 +286,19 @@ class NearCopies:
         where its component is one block, else once for each block that it is compared with, and memory is two blocks.
         """
         similarity = self.similarity
-        pairs = settle(pairs.distinct(), "pairs")
+        pairs = settle(self.possible(pairs.distinct(), nodes), "pairs")
         roots = connected_components(pairs, "a", "b")
         homes = roots.join(nodes.select("node", "rank", "size"), "node")
         sums = homes.groupBy("root").agg(F.count("*").alias("rows"), F.sum(8 * F.col("size")).alias("bytes"))
         sums = sums.select("root", F.greatest(F.ceil(F.col("rows") / self.block_rows), F.ceil(F.col("bytes") / self.block_bytes)).alias("parts"))
         homes = settle(homes.join(sums, "root").select("node", "rank", "root", F.pmod(F.xxhash64("node"), "parts").alias("part")), "homes")
-        sets = settle(self.sets(homes.select("node", "rank")), "sets")
         of_a = homes.select(F.col("node").alias("a"), "root", F.col("part").alias("x"))
         of_b = homes.select(F.col("node").alias("b"), F.col("part").alias("y"))
         dealt = pairs.join(of_a, "a").join(of_b, "b").select("root", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "a", "b")
         dealt = settle(dealt, "dealt")
-        needed = dealt.select("root", "p", "q", F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
-        rows = needed.select("root", "p", "q", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
+        needed = dealt.select("root", "p", "q", F.explode(F.array("a", "b")).alias("node")).distinct()
+        needed = settle(needed.join(homes.select("node", "rank"), "node"), "needed")
+        rows = self.sets(needed).select("root", "p", "q", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
         rows = rows.unionByName(dealt.withColumn("shingles", F.lit(None).cast("binary")))
         rows = rows.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q", F.col("b").isNotNull(), "a")
 
@@ -292,20 +326,29 @@ class NearCopies:
             yield from out()
 
         found = settle(rows.mapInArrow(run, "src long, dst long"), "links")
-        release(pairs, roots, homes, sets, dealt)
+        release(pairs, roots, homes, dealt, needed)
         return found
 
     def met(self, heads: DataFrame) -> DataFrame:
-        """The rows of ``heads`` whose token some other node has too, and one node of the token, the same for all."""
-        row = F.struct("size", "node", "at")
-        tokens = heads.groupBy("token").agg(F.min_by(row, F.xxhash64("token", "node")).alias("one"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-        return settle(heads.join(tokens.where("lo < hi").select("token", "one"), "token").distinct(), "met")
+        """The rows of ``heads`` whose token some other node has too."""
+        tokens = heads.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
+        return settle(heads.join(tokens, "token").distinct(), "met")
 
-    def with_one(self, met: DataFrame) -> DataFrame:
-        """Pairs of each node with one of each of its tokens, where they may be similar."""
+    def partners(self, met: DataFrame, *orders: Column | str) -> DataFrame:
+        """Pairs of each node with the first node, by each order, of each of its tokens, where they may be similar."""
+        row = F.struct("size", "node", "at")
+        firsts = met.groupBy("token").agg(*[F.min_by(row, o).alias(f"o{i}") for i, o in enumerate(orders)])
+        firsts = firsts.select("token", F.explode(F.array_distinct(F.array(*[f"o{i}" for i in range(len(orders))]))).alias("one"))
+        rows = met.join(firsts, "token")
         need = least_overlap(F.col("size"), F.col("one.size"), self.similarity, F.ceil)
-        near = met.where((F.col("node") != F.col("one.node")) & (F.least(F.col("size") - F.col("at"), F.col("one.size") - F.col("one.at")) >= need))
-        return near.select(F.least("node", "one.node").alias("a"), F.greatest("node", "one.node").alias("b"))
+        near = rows.where((F.col("node") != F.col("one.node")) & (F.least(F.col("size") - F.col("at"), F.col("one.size") - F.col("one.at")) >= need))
+        return near.select(F.least("node", "one.node").alias("a"), F.greatest("node", "one.node").alias("b")).distinct()
+
+    @staticmethod
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """The pairs whose nodes are in different components."""
+        of_a, of_b = roots.select(F.col("node").alias("a"), F.col("root").alias("x")), roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
+        return pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
 
     def by_fingerprint(self, nodes: DataFrame) -> DataFrame:
         """Pairs of nodes whose fingerprints are within ``bits``: enough of them to connect all that are."""
@@ -317,7 +360,7 @@ class NearCopies:
         linked = links.join(of_a, "src").join(of_b, "dst").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         return equal.unionByName(linked)
 
-    def unlinked(self, met: DataFrame, roots: DataFrame) -> DataFrame:
+    def unlinked(self, met: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
         """All pairs under the tokens of ``met`` that may be similar and are in different components so far."""
         similarity = self.similarity
         rest = met.join(roots, "node", "left").select("token", "size", "node", "at", F.coalesce("root", "node").alias("root"))
@@ -325,8 +368,8 @@ class NearCopies:
         parts = F.ceil(F.col("n") / self.block_rows).cast("int")
         rest = rest.join(split.select("token", parts.alias("parts")), "token").withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int"))
         # A token of many rows has a unit for each two of its parts; a row goes to those of its own part.
-        other = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        rows = other.select("token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "size", "node", "at", "root", "own")
+        other = rest.join(nodes.select("node", "bits"), "node").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        rows = other.select("token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "size", "node", "at", "root", "own", "bits")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for cols in whole_units(batches, 3):
@@ -341,15 +384,22 @@ class NearCopies:
         token, n = np.array([r.token for r in often], np.int64).view(np.uint64), np.array([r.n for r in often], np.int64)
         order = np.argsort(token)
         known = places.where("node is not null")
-        nodes = settle(known.groupBy("node").agg(F.min("rank").alias("rank"), F.max("size").alias("size"), F.max("fp").alias("fp"), F.count("*").alias("copies")), "nodes")
+        nodes = settle(known.groupBy("node").agg(F.min("rank").alias("rank"), F.max("size").alias("size"), F.max("fp").alias("fp"), F.max("bits").alias("bits"), F.count("*").alias("copies")), "nodes")
         heads = self.heads(token[order], n[order])
         met = self.met(heads)
         release(heads)
-        near = self.links(self.by_fingerprint(nodes).unionByName(self.with_one(met)), nodes)
-        roots = connected_components(near)
-        more = self.links(self.unlinked(met, roots), nodes)
+        # One partner that the tokens of a group have in common; then some for each token, of any of its nodes and of any of its components
+        # alike; at last all pairs that are left.
+        found = [self.links(self.by_fingerprint(nodes).unionByName(self.partners(met, F.xxhash64("node"))), nodes)]
+        roots = connected_components(found[0])
+        by_root = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        orders = [F.struct(F.xxhash64(F.lit(turn), "token", c), F.xxhash64(F.lit(turn), "node")) for turn in range(2) for c in ("node", "root")]
+        found.append(self.links(self.apart(self.partners(by_root, *orders), roots), nodes))
+        release(roots)
+        roots = connected_components(functools.reduce(DataFrame.unionByName, found))
+        found.append(self.links(self.unlinked(met, roots, nodes), nodes))
         release(met, roots)
-        roots = connected_components(near.unionByName(more))
+        roots = connected_components(functools.reduce(DataFrame.unionByName, found))
         groups = nodes.join(roots, "node", "left").select("node", "rank", "copies", F.coalesce("root", "node").alias("root"))
         groups = settle(groups.select("node", "copies", "root", "rank"), "members")
         least = settle(groups.groupBy("root").agg(F.min("rank").alias("stays"), F.sum("copies").alias("rows")).where("rows > 1"), "least")
@@ -357,7 +407,7 @@ class NearCopies:
         # Rows that are equal in all columns have one key; a group of them has one left.
         keys = settled.select(F.col("rank.ka").alias("ka"), F.col("rank.kb").alias("kb"), (F.col("rank") == F.col("stays")).alias("stays"))
         keys = settle(keys.groupBy("ka", "kb").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "gone")
-        release(near, more, groups, least, settled, roots, nodes, places)
+        release(*found, groups, least, settled, roots, nodes, places)
         rows = self.docs.select("row", F.col("rank.ka").alias("ka"), F.col("rank.kb").alias("kb"))
         out = rows.join(if_small(keys.select("ka", "kb")), ["ka", "kb"], "left_anti").select("row.*")
         again = keys.where("stays").select("ka", "kb")
@@ -366,11 +416,11 @@ class NearCopies:
         return out
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 4, block_rows: int = 4_000, block_bytes: int = 32 << 20) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 4, block_rows: int = 1_000, block_bytes: int = 16 << 20) -> DataFrame:
     """The rows of ``docs`` of which no other row of their group has a smaller id: one document of each group stays.
 
     Groups are components over all pairs whose word shingles have at least this Jaccard similarity. Rows of equal shingles are one node.
-    Fingerprints within ``bits`` bits, and one partner for each token of a prefix, give the first candidates; then all pairs under a
+    Fingerprints within ``bits`` bits, and some partners for each token of a prefix, give the first candidates; then all pairs under a
     token that these links leave in different components are candidates. Every link is checked on whole sets, in blocks of ``block_rows``
     and ``block_bytes`` on average; results do not depend on block sizes. Null ids count as larger than any; of rows of equal ids, and of
     equal rows, one stays. Null texts are empty ones, which are copies of each other. An empty table gives an empty table. All columns are
