@@ -1,6 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates. DataFrame functions only.
 
-A block is a line, cut further after sentence ends. A block matches a template if it holds at least ``threshold`` of the template's
+A block is a sentence: texts are cut after sentence ends and at lines without words, so a notice that is wrapped over lines, with or
+without comment marks, is one block. A block matches a template if it holds at least ``threshold`` of the template's
 distinct words. Template words are put in one global order, rarest first by the number of documents that hold them; a block of enough
 overlap must hold one of a template's first ``|t| - alpha + 1`` words (prefix filter, ``alpha``: the least overlap), have at least
 ``alpha`` template words (length filter), and, if the first common word of both is the template's i-th and j template words of the
@@ -18,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cropmill.llm.arrays import running
+
 # The base phrases, as words, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Templates of notices: label and words.
@@ -40,7 +43,7 @@ MOST_TEMPLATE_CHARS = 1 << 20
 #: What stands between words, once A-Z are lower-cased, and what words are made of before that.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-BLOCK_END = r"\n|(?<=[.!?])\s+"
+BLOCK_END = rf"\n(?:(?!\n){GAP})*\n|(?<=[.!?])\s+"
 
 
 def words_of(text: str) -> list[str]:
@@ -69,13 +72,8 @@ def phrase_places(text: Column, phrase: str) -> Column:
     """First word numbers of all places of a phrase, ascending."""
     n, pattern = len(phrase.split()), phrase_pattern(phrase)
     before = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
-    first = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<long>").alias("out"))
-
-    def step(acc: Column, gap: Column) -> Column:
-        at = acc["pos"] + word_count(gap)
-        return F.struct((at + n).alias("pos"), F.concat(acc["out"], F.array(at)).alias("out"))
-
-    return F.aggregate(before, first, step, lambda acc: acc["out"])
+    ends = running(F.transform(before, lambda gap: word_count(gap).cast("long") + n), lambda a, b: a + b)
+    return F.transform(ends, lambda end: end - n)
 
 
 def document_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> dict[str, int]:

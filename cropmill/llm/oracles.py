@@ -14,7 +14,7 @@ LICENSES = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS
 ph AS (SELECT * FROM (VALUES {_PHRASES}) v(p, label)),
 pl AS (SELECT doc_id, label, i FROM (SELECT doc_id, w, p, label, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i] = p[1])) AS i FROM d, ph) WHERE w[i : i + len(p) - 1] = p),
 b AS (SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list(DISTINCT label) AS own FROM pl GROUP BY 1),
-bl AS (SELECT doc_id, list_distinct(regexp_extract_all(translate(unnest(regexp_split_to_array(regexp_replace(text, '([.!?])[ \\t\\n\\v\\f\\r]+', '\\1' || chr(10), 'g'), '\\n')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS ws FROM d),
+bl AS (SELECT doc_id, list_distinct(regexp_extract_all(translate(unnest(string_split(regexp_replace(regexp_replace(text, '([.!?])[ \\t\\n\\v\\f\\r]+', '\\1' || chr(0), 'g'), '\\n[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*\\n', chr(0), 'g'), chr(0))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS ws FROM d),
 te AS (SELECT * FROM (VALUES {_TEMPLATES}) v(label, t)),
 m AS (SELECT doc_id, label, len(list_intersect(ws, t)) / len(t) AS s FROM bl, te WHERE len(ws) > 0 AND len(list_intersect(ws, t)) >= ceil(0.8::DOUBLE * len(t) - 1e-9)),
 h AS (SELECT doc_id, max(s) AS s, count(*) AS n, list(DISTINCT label) AS more FROM m GROUP BY 1)
