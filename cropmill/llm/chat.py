@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cropmill.llm.arrays import bound, running
+
 OPEN, JOIN, CLOSE = "<s>", "\\+", "</s>"
 #: Marks of the known roles.
 MARKS = {"system": "SYS", "user": "INST", "assistant": "ASST"}
@@ -81,14 +83,18 @@ def blocks_of(text: Column) -> Column:
     marks = F.regexp_extract_all(text, F.lit(BLOCK), F.lit(1))
     bodies = F.regexp_extract_all(text, F.lit(BLOCK), F.lit(2))
     wholes = F.regexp_extract_all(text, F.lit(BLOCK), F.lit(0))
-    kind = "array<struct<start:int,role:string,bodies:array<string>>>"
-    first = F.struct(F.lit(len(OPEN)).alias("pos"), F.array().cast(kind).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        own = F.struct((acc["pos"] + F.length(x["mark"]) + 3).alias("start"), _role(x["mark"]).alias("role"), F.split(x["body"], r"\\\+", -1).alias("bodies"))
-        return F.struct((acc["pos"] + F.length(x["whole"])).alias("pos"), F.concat(acc["out"], F.array(own)).alias("out"))
+    def read(parts: Column) -> Column:
+        ends = running(F.transform(parts, lambda x: F.length(x["whole"])), lambda a, b: a + b)
+
+        def block(x: Column) -> Column:
+            part = x["part"]
+            start = F.lit(len(OPEN) + 3) + x["end"] - F.length(part["whole"]) + F.length(part["mark"])
+            return F.struct(start.alias("start"), _role(part["mark"]).alias("role"), F.split(part["body"], r"\\\+", -1).alias("bodies"))
+
+        return F.transform(F.arrays_zip(parts.alias("part"), ends.alias("end")), block)
 
-    return F.aggregate(F.arrays_zip(marks.alias("mark"), bodies.alias("body"), wholes.alias("whole")), first, step, lambda acc: acc["out"])
+    return bound(F.arrays_zip(marks.alias("mark"), bodies.alias("body"), wholes.alias("whole")), read)
 
 
 def mask_of(text: Column) -> Column:
@@ -96,13 +102,13 @@ def mask_of(text: Column) -> Column:
     own = F.filter(blocks_of(text), lambda b: b["role"] == "assistant")
 
     def spans(b: Column) -> Column:
-        first = F.struct(b["start"].alias("pos"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-        return F.aggregate(
-            b["bodies"],
-            first,
-            lambda acc, x: F.struct((acc["pos"] + F.length(x) + len(JOIN)).alias("pos"), F.concat(acc["out"], F.array(F.struct(acc["pos"].alias("start"), (acc["pos"] + F.length(x)).alias("end")))).alias("out")),
-            lambda acc: acc["out"],
-        )
+        ends = running(F.transform(b["bodies"], lambda x: F.length(x) + len(JOIN)), lambda a, c: a + c)
+
+        def span(x: Column) -> Column:
+            end = b["start"] + x["end"] - len(JOIN)
+            return F.struct((end - F.length(x["body"])).alias("start"), end.alias("end"))
+
+        return F.transform(F.arrays_zip(b["bodies"].alias("body"), ends.alias("end")), span)
 
     return F.flatten(F.transform(own, spans))
 

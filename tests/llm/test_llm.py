@@ -74,12 +74,46 @@ def test_license_join_is_exact(spark):
     got = {r.doc_id: r for r in licenses.scan(docs(spark, texts)).collect()}
     for i, text in enumerate(texts):
         n = 0
-        for block in re.split(r"\n|(?<=[.!?])\s+", text):
+        for block in re.split(r"\n[^\nA-Za-z0-9\x80-\U0010ffff]*\n|(?<=[.!?])\s+", text):
             own = set(words(block))
             n += sum(len(own & set(licenses.words_of(t))) >= max(1, math.ceil(0.8 * len(set(licenses.words_of(t))) - 1e-9)) for _, t in licenses.TEMPLATES)
         assert got[i].n_blocks == n, text
 
 
+#: Notices as they stand in source files.
+WRAPPED = {
+    "mit": "/*\n * Permission is hereby granted, free of charge, to any person obtaining a\n * copy of this software and associated\n * documentation files (the \"Software\"), to deal\n */",
+    "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:\n#\n# 1. more",
+    "mpl-2.0": "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed",
+    "gpl": "dnl This program is free software: you can redistribute it\ndnl and/or modify it under the terms of the GNU General\ndnl Public License as published by",
+    "apache-2.0": "-- you may not use this file\n-- except in compliance\n-- with the License.",
+}
+
+
+def test_wrapped_notices(spark):
+    texts = [f"int x;\r\n\n{t}\n\nint y;\n" for t in WRAPPED.values()]
+    texts += [t.replace("\n", "\n\n") for t in WRAPPED.values()]  # lines apart are no sentence
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(docs(spark, texts)).collect()}
+    for i, label in enumerate(WRAPPED):
+        assert label in got[i]
+    assert sum(label in got[i + len(WRAPPED)] for i, label in enumerate(WRAPPED)) <= 1
+
+
+def test_many_hits_in_one_text(spark):
+    n = 100_000
+    rows = docs(spark, ["all rights reserved ünd " * n, "a" * 5 + " 0123456789abcdef01234567é" * n])
+    got = {r.doc_id: r for r in licenses.scan(rows).collect()}
+    assert (got[0].n_base, got[0].first_word, got[0].last_word) == (n, 0, 4 * (n - 1))
+    model = [0.0] * len(secretscan.LETTERS) ** 2
+    found = secretscan.secret_spans(rows, model).withColumn("clean", secretscan.redacted(F.col("text"), F.col("secrets")))
+    got = {r.doc_id: r for r in found.collect()}
+    assert got[0].secrets == [] and got[0].clean == "all rights reserved ünd " * n
+    assert len(got[1].secrets) == n and got[1].clean == "a" * 5 + " [SECRET]é" * n
+    turns = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("é[x").alias("text"))
+    one = chat.formatted(turns).withColumn("n", F.size(chat.read_back(F.col("formatted")))).select("n", F.size("loss_mask").alias("m")).first()
+    assert (one.n, one.m) == (20_000, 10_000)
+
+
 # 2
 
 
@@ -399,7 +433,8 @@ def test_secrets(spark):
     model = secretscan.train(secretscan.labelled_samples(table(spark, "/root/testdata/sf0.001", "documents")))
     got = {r.doc_id: r for r in secretscan.secret_spans(rows, model).withColumn("clean", secretscan.redacted(F.col("text"), F.col("secrets"))).collect()}
     for i, t in enumerate(texts):
-        spans = [tuple(s) for s in got[i].secrets]
+        spans = [tuple(s)[:3] for s in got[i].secrets]
+        assert all((t[: s.start].encode(), t[: s.end].encode()) == (t.encode()[: s.byte_start], t.encode()[: s.byte_end]) for s in got[i].secrets)
         assert [s for s in spans if s[1] < 3] == base_spans(t or "")
         assert spans == sorted(spans)
     more = [texts[7][s.start : s.end] for s in got[7].secrets]
@@ -409,6 +444,29 @@ def test_secrets(spark):
     assert secretscan.secret_spans(rows.where("false"), model).collect() == []
 
 
+def test_markov_spans_against_a_plain_scorer(spark):
+    rng = random.Random(21)
+    some = table(spark, "/root/testdata/sf0.01", "documents").select("text").limit(150).collect()
+    alphabets = [secretscan.LETTERS, "0123456789abcdef", "abcdefghij_-/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]
+    made = [" ".join("".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randint(15, 60))) for _ in range(20)) for _ in range(40)]
+    texts = [r.text for r in some] + made + ["x" * 30 + "1" + hashlib.sha256(b"a").hexdigest() + "Zz" * 12, "token=" + "Ab3/" * 9 + "," + "Q9x" * 11]
+    model = secretscan.train(secretscan.labelled_samples(docs(spark, texts)))
+    n, letters = len(secretscan.LETTERS), secretscan.LETTERS
+    got = {r.doc_id: r.secrets for r in secretscan.secret_spans(docs(spark, texts), model).collect()}
+    listed = 0
+    for i, text in enumerate(texts):
+        base = base_spans(text or "")
+        want = []
+        for m in re.finditer(secretscan.TOKEN.replace("*+", "*"), text or ""):
+            places = [letters.index(c) for c in m[0]]
+            score = sum(model[a * n + b] for a, b in zip(places, places[1:], strict=False))
+            if score >= 12 and not any(s <= m.start() and m.end() <= e for s, _, e in base):
+                want.append((m.start(), 3, m.end()))
+        assert [tuple(s)[:3] for s in got[i] if s.kind == 3] == want
+        listed += len(want)
+    assert listed > 100
+
+
 # 8
 
 
