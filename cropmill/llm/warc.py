@@ -27,9 +27,12 @@ from cropmill.storage import settle, small_batches
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/"
 _EMPTY = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
 _STARTS = re.compile(rb"\x1f\x8b\x08|WARC/[0-9]\.[0-9]\r\n")
+_VERSION_LINE = re.compile(rb"WARC/[0-9]\.[0-9]\r\n")
 _PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Header lines of a record take no more bytes than this.
 MOST_HEADER = 1 << 20
+#: Archives hold this many bytes of payload at most (or one record), as the reader takes each whole; payloads up to ``SMALL`` share archives.
+MOST_ARCHIVE, SMALL = 256 << 20, 64 << 10
 
 
 def member(record: bytes) -> bytes:
@@ -59,7 +62,7 @@ class BadRecord(ValueError):
 
 def parse_record(data: bytes, at: int) -> tuple[int, dict[bytes, bytes], bytes]:
     """The record that starts at ``at``: its end, its header lines by lower-case name, its block."""
-    if not re.compile(rb"WARC/[0-9]\.[0-9]\r\n").match(data, at):
+    if not _VERSION_LINE.match(data, at):
         raise BadRecord("version line")
     stop = data.find(b"\r\n\r\n", at, at + MOST_HEADER)
     if stop < 0:
@@ -95,31 +98,85 @@ def inflate(data: bytes, at: int) -> tuple[int, bytes]:
     return min(pos, len(data)) - len(z.unused_data), b"".join(parts)
 
 
+def inflated_as_far(data: bytes, at: int) -> bytes:
+    """What can be read of a broken gzip member."""
+    z, parts = zlib.decompressobj(31), []
+    for pos in range(at, len(data), 4096):
+        try:
+            parts.append(z.decompress(data[pos : pos + 4096]))
+        except zlib.error:
+            # The step that fails gives nothing: read it again byte by byte.
+            z = zlib.decompressobj(31)
+            parts = [z.decompress(data[at:pos])]
+            for p in range(pos, min(pos + 4096, len(data))):
+                try:
+                    parts.append(z.decompress(data[p : p + 1]))
+                except zlib.error:
+                    break
+            break
+        if z.eof:
+            break
+    return b"".join(parts)
+
+
+def records_within(inner: bytes) -> Iterator[tuple[int, int, dict[bytes, bytes] | None, bytes, str]]:
+    """(offset, length, header, block, reason) of the valid records of inflated bytes, and of the gaps between."""
+    at, gap, why = 0, None, ""
+    while at < len(inner):
+        try:
+            end, head, block = parse_record(inner, at)
+        except BadRecord as e:
+            if gap is None:
+                gap, why = at, str(e)
+            m = _VERSION_LINE.search(inner, at + 1)
+            at = m.start() if m else len(inner)
+            continue
+        if gap is not None:
+            yield gap, at - gap, None, b"", why
+            gap = None
+        yield at, end - at, head, block, ""
+        at = end
+    if gap is not None:
+        yield gap, len(inner) - gap, None, b"", why
+
+
 def read_archive(data: bytes) -> Iterator[tuple[int, int, dict[bytes, bytes] | None, bytes, str]]:
-    """(offset, length, header, block, reason) of records in order; a gap has no header, and the reason of its first failed check."""
+    """(offset, length, header, block, reason) of records in order; a gap has no header, and the reason of its first failed check.
+
+    Offsets and lengths are of the file's bytes. Within a gzip member that holds a bad record, the valid records before and after it are
+    read, and the member is logged as a gap besides them, its reason telling the bad range of inflated bytes. A member that breaks off
+    gives the records that can be inflated; the search for the next start goes on within it.
+    """
     at, gap, why = 0, None, ""
     while at < len(data):
+        found: list = []
         try:
             if data.startswith(MAGIC, at):
                 end, inner = inflate(data, at)
-                found, pos = [], 0
-                while pos < len(inner):
-                    pos, head, block = parse_record(inner, pos)
-                    found.append((head, block))
+                found = list(records_within(inner))
+                if inner and not any(head for _, _, head, _, _ in found):
+                    raise BadRecord(found[0][4])
             else:
                 end, head, block = parse_record(data, at)
-                found = [(head, block)]
+                found = [(0, end - at, head, block, "")]
         except BadRecord as e:
+            broken = [x for x in records_within(inflated_as_far(data, at)) if x[2] is not None] if data.startswith(MAGIC, at) else []
+            if broken and gap is not None:
+                yield gap, at - gap, None, b"", why
+                gap = None
             if gap is None:
                 gap, why = at, str(e)
             m = _STARTS.search(data, at + 1)
-            at = m.start() if m else len(data)
+            end = m.start() if m else len(data)
+            for _, _, head, block, _ in broken:
+                yield at, end - at, head, block, ""
+            at = end
             continue
         if gap is not None and found:
             yield gap, at - gap, None, b"", why
             gap = None
-        for head, block in found:
-            yield at, end - at, head, block, ""
+        for start, size, head, block, reason in found:
+            yield at, end - at, head, block, reason if head is not None else f"{reason} at {start}, {size} bytes of the member's content"
         at = end
     if gap is not None:
         yield gap, len(data) - gap, None, b"", why
@@ -129,23 +186,30 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """Write a record for each row to archives under ``path``.
 
     Of rows with equal payloads of at least ``least_bytes`` bytes the one with the smallest id is a response (rows that repeat that id
-    too), the others are revisits of it. A null body is empty; rows of null id are responses. An empty table writes no record.
+    too), the others are revisits of it. A null body is empty; rows of null id are responses. An empty table writes no record. Archives are
+    added to what ``path`` holds.
     """
     small_batches(pages.sparkSession)
     body = F.coalesce(F.col(body_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("body")).withColumn("digest", F.sha2("body", 256))
-    first = rows.where(F.octet_length("body") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    # Written first, so that the join meets plain exchanges, whose large partitions Spark can split.
+    narrow = rows.select("digest", "page_id", F.octet_length("body").alias("size"))
+    first = narrow.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    # Written first, so that the joins meet plain exchanges, whose large partitions Spark can split. Only narrow rows meet by digest, as
+    # those of a common page are many; payloads meet by id.
     first = settle(first, "payloads")
-    known = rows.join(first, "digest", "left").select("page_id", "url", "body", "digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
+    again = narrow.join(first, "digest").where(F.col("page_id") > F.col("first")).select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    known = rows.join(settle(again, "revisits"), ["page_id", "digest"], "left").select("page_id", "url", "body", "digest", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [member(record_bytes(*(batch.column(c)[i].as_py() for c in range(5))))[:-1] for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    members = known.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    members.write.option("lineSep", "\0").text(path)
+    largest = narrow.agg(F.max("size")).first()[0] or 0
+    size = F.octet_length("body")
+    for mine, at_most in ((size <= SMALL, SMALL), (size > SMALL, largest))[: 1 + (largest > SMALL)]:
+        members = known.where(mine).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+        members.write.mode("append").option("lineSep", "\0").option("maxRecordsPerFile", max(1, MOST_ARCHIVE // (at_most + 4096))).text(path)
 
 
 _FIELDS = "path string, offset long, length long, gap boolean, reason string, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long"

@@ -415,6 +415,27 @@ def test_warc_salvage():
         at += n
 
 
+def test_warc_salvage_within_members():
+    a = [warc.record_bytes(i, None, p := (f"<p>{i}</p>" * 50).encode(), hashlib.sha256(p).hexdigest(), None) for i in range(4)]
+    bad = bytearray(a[2])
+    bad[-20] ^= 1
+    one = warc.member(b"".join([a[0], a[1], bytes(bad), a[3]]))
+    ids = lambda found: [int(h[b"warc-record-id"][10:-1]) for _, _, h, _, _ in found if h]
+    found = list(warc.read_archive(b"junk" + one + warc.member(a[2])))
+    assert ids(found) == [0, 1, 3, 2]
+    gaps = [(o, n, why) for o, n, h, _, why in found if h is None]
+    assert gaps[0][:2] == (0, 4) and gaps[1][:2] == (4, len(one)) and len(gaps) == 2
+    assert gaps[1][2] == f"block digest at {len(a[0]) + len(a[1])}, {len(a[2])} bytes of the member's content"
+    noise = random.Random(1).randbytes(200_000)  # does not shrink, so that a cut falls into the last record
+    last = warc.record_bytes(9, None, noise, hashlib.sha256(noise).hexdigest(), None)
+    cut = warc.member(b"".join([a[0], a[1], a[3], last]))[:-20]
+    found = list(warc.read_archive(cut + warc.member(a[2])))
+    assert ids(found) == [0, 1, 3, 2] and [h for _, _, h, _, _ in found].count(None) >= 1
+    broken = bytearray(warc.member(b"".join([a[0], a[1], a[3], last])))
+    broken[len(broken) // 2 : len(broken) // 2 + 50] = b"\xff" * 50
+    assert ids(warc.read_archive(bytes(broken) + warc.member(a[2]))) == [0, 1, 3, 2]
+
+
 # 7
 
 
