@@ -2,8 +2,8 @@
 
 Of every run of ``window`` words the smallest of its hashes of ``k`` words is kept (Schleimer, Wilkerson and Aiken 2003), on both
 sides, so two texts that share ``window`` consecutive words share a kept hash. Kept hashes of documents are looked up among those
-of the benchmark, and each hit is extended word by word to its maximal run, which is compared as text. Items shorter than the
-window are looked up as a whole, by their own length.
+of the benchmark, and each hit is extended to the windows around it, which are compared as text. So a text of one repeated word costs no
+more than another. Items shorter than the window are looked up as a whole, by their own length.
 
 The benchmark is read in blocks of a bounded size, each broadcast and applied to all documents in turn; documents are neither
 shuffled nor collected.
@@ -42,91 +42,98 @@ def kept(grams: np.ndarray, window_ok: np.ndarray, w: int) -> np.ndarray:
 
 
 class Index:
-    """Fingerprints of a bounded block of benchmark items. Items of the same words share one entry."""
+    """Fingerprints and windows of a bounded block of benchmark items. Items of the same words share one entry."""
 
     def __init__(self, items: list[tuple[object, bytes]], window: int, k: int) -> None:
         self.window, self.k = window, k
-        groups: dict[bytes, tuple[Words, list]] = {}
+        groups: dict[bytes, list] = {}
+        own: list[np.ndarray] = []
         for key, text in items:
             words = Words([text])
             canon = words.joined(0, len(words.starts))
             if canon:
-                groups.setdefault(canon, (words, []))[1].append(key)
+                if canon not in groups:
+                    own.append(words.hashes)
+                groups.setdefault(canon, []).append(key)
         self.canon = list(groups)
-        self.keys = [sorted({str(k) for k in keys if k is not None}) for _, keys in groups.values()]
-        self.hashes = [words.hashes for words, _ in groups.values()]
-        self.posts: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for c, own in enumerate(self.hashes):
-            if len(own) < window:
-                self.short[len(own)][int(gram_hashes(own, len(own))[0])].append(c)
-                continue
-            grams = gram_hashes(own, k)
-            for j in np.flatnonzero(kept(grams, np.ones(len(own) - window + 1, bool), window - k + 1)):
-                self.posts[int(grams[j])].append((c, int(j)))
-        self.posts = dict(self.posts)
-        self.short = {n: dict(x) for n, x in self.short.items()}
-        self.sorted = {0: self._table(self.posts)} | {n: self._table(x) for n, x in self.short.items()}
+        #: Where each entry's words start in it, and one more than its end.
+        self.starts = [np.cumsum([0, *(len(w) + 1 for w in c.split(b" "))], dtype=np.int32) for c in groups]
+        self.keys = [sorted({str(k) for k in keys if k is not None}) for keys in groups.values()]
+        long = [c for c, h in enumerate(own) if len(h) >= window]
+        grams = [gram_hashes(own[c], k) for c in long]
+        self.grams = self._table(np.concatenate([g[kept(g, np.ones(len(own[c]) - window + 1, bool), window - k + 1)] for c, g in zip(long, grams, strict=True)] or [np.zeros(0, np.uint64)]))
+        #: By length of window: its hashes, ascending, and for each the entry and the place in it; an entry has each hash once.
+        self.windows = {window: self._places({c: gram_hashes(own[c], window) for c in long})}
+        for n in sorted({len(h) for h in own if len(h) < window}):
+            self.windows[n] = self._places({c: gram_hashes(h, n) for c, h in enumerate(own) if len(h) == n})
+        self.said: dict[tuple[int, bytes], list[int]] = {}
 
     @staticmethod
-    def _table(found: dict) -> tuple[np.ndarray, np.ndarray]:
-        known = np.array(sorted(found), np.uint64)
+    def _table(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known = np.unique(values)
         low = np.zeros(1 << 16, bool)
         low[(known & np.uint64(0xFFFF)).astype(np.int64)] = True
         return known, low
 
-    def _among(self, n: int, grams: np.ndarray, at: np.ndarray) -> np.ndarray:
-        known, low = self.sorted[n]
+    @staticmethod
+    def _places(hashes: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not hashes:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        h = np.concatenate(list(hashes.values()))
+        entry = np.repeat(np.array(list(hashes), np.int32), [len(x) for x in hashes.values()])
+        place = np.concatenate([np.arange(len(x), dtype=np.int32) for x in hashes.values()])
+        order = np.lexsort((place, entry, h))
+        h, entry, place = h[order], entry[order], place[order]
+        first = np.concatenate(([True], (h[1:] != h[:-1]) | (entry[1:] != entry[:-1])))
+        return h[first], entry[first], place[first]
+
+    def _fingerprinted(self, grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Those of the places ``at`` whose gram is a fingerprint of the block."""
+        known, low = self.grams
         at = at[low[(grams[at] & np.uint64(0xFFFF)).astype(np.int64)]]
         if not len(at) or not len(known):
             return at[:0]
         spot = np.minimum(np.searchsorted(known, grams[at]), len(known) - 1)
         return at[known[spot] == grams[at]]
 
+    def _entries(self, n: int, value: int, lo: int, hi: int, said: bytes) -> list[int]:
+        """The entries that hold the words ``said`` as a window of ``n`` words, among those of its hash; compared as text, once."""
+        if len(self.said) > 100_000:
+            self.said = {}
+        if (value, said) not in self.said:
+            _, entry, place = self.windows[n]
+            self.said[value, said] = [c for c, j in zip(entry[lo:hi].tolist(), place[lo:hi].tolist(), strict=True) if self.canon[c][self.starts[c][j] : self.starts[c][j + n] - 1] == said]
+        return self.said[value, said]
+
     def search(self, texts: list[bytes]) -> tuple[list[int], dict[int, list[tuple[int, int]]], dict[int, set[int]]]:
-        """The texts' word counts; by text, maximal matched runs of words (may overlap) and the matched entries."""
+        """The texts' word counts; by text, matched windows of words (may overlap) and the matched entries."""
         words = Words(texts)
         runs: dict[int, list[tuple[int, int]]] = defaultdict(list)
         found: dict[int, set[int]] = defaultdict(set)
         counts = np.diff(words.first)
         text_of = np.repeat(np.arange(len(texts)), counts)
-        own, n = words.hashes, len(words.hashes)
-
-        def whole(span: int) -> np.ndarray:
-            """Where ``span`` words of one text start."""
-            return text_of[: max(0, n - span + 1)] == text_of[span - 1 :] if n >= span else np.zeros(0, bool)
-
-        for length, entries in self.short.items():
-            grams = gram_hashes(own, length)
-            for at in self._among(length, grams, np.flatnonzero(whole(length))).tolist():
-                said = words.joined(at, at + length)
-                for c in entries[int(grams[at])]:
-                    if self.canon[c] == said:
-                        t = int(text_of[at])
-                        runs[t].append((at - int(words.first[t]), at + length - int(words.first[t])))
-                        found[t].add(c)
-        if self.posts and n >= self.window:
-            grams = gram_hashes(own, self.k)
-            mine = np.flatnonzero(kept(grams, whole(self.window), self.window - self.k + 1))
-            done: dict[tuple[int, int], int] = {}
-            for at in self._among(0, grams, mine).tolist():
-                t = int(text_of[at])
-                lo, hi = int(words.first[t]), int(words.first[t + 1])
-                for c, j in self.posts[int(grams[at])]:
-                    if done.get((c, at - j), -1) > at:
-                        continue
-                    item = self.hashes[c]
-                    back, ahead = min(at - lo, j), min(hi - at, len(item) - j)
-                    same = own[at - back : at + ahead] == item[j - back : j + ahead]
-                    odd = np.flatnonzero(~same)
-                    left = odd[odd < back]
-                    right = odd[odd >= back]
-                    a = at - back + (int(left[-1]) + 1 if len(left) else 0)
-                    b = at - back + (int(right[0]) if len(right) else len(same))
-                    done[c, at - j] = max(b, at + 1)
-                    if b - a >= self.window and words.joined(a, b) == b" ".join(self.canon[c].split(b" ")[a - at + j : b - at + j]):
-                        runs[t].append((a - lo, b - lo))
-                        found[t].add(c)
+        own, total = words.hashes, len(words.hashes)
+        for n, (hashes, _, _) in self.windows.items():
+            if total < n or not len(hashes):
+                continue
+            whole = text_of[: total - n + 1] == text_of[n - 1 :]
+            if n == self.window:
+                # A shared window holds a kept gram of both sides: the windows around the hits are all that can be shared.
+                grams, reach = gram_hashes(own, self.k), n - self.k + 1
+                hits = self._fingerprinted(grams, np.flatnonzero(kept(grams, whole, reach)))
+                starts = np.unique((hits[:, None] - np.arange(reach)[None, :]).ravel())
+                starts = starts[(starts >= 0) & (starts < len(whole))]
+                starts = starts[whole[starts]]
+            else:
+                starts = np.flatnonzero(whole)
+            value = gram_hashes(own, n)[starts] if len(starts) else np.zeros(0, np.uint64)
+            lo, hi = np.searchsorted(hashes, value, "left"), np.searchsorted(hashes, value, "right")
+            for i in np.flatnonzero(lo < hi).tolist():
+                at = int(starts[i])
+                if entries := self._entries(n, int(value[i]), int(lo[i]), int(hi[i]), words.joined(at, at + n)):
+                    t = int(text_of[at])
+                    runs[t].append((at - int(words.first[t]), at + n - int(words.first[t])))
+                    found[t].update(entries)
         return counts.tolist(), runs, found
 
 
@@ -151,7 +158,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch.slice(a, b - a)
 
 
-def matched_runs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5, block_bytes: int = 32 << 20) -> DataFrame:
+def matched_runs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5, block_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: ``id_col``, ``n_words``, ``runs`` (flat array of start, end word numbers, disjoint, ascending), ``items`` (matched item ids as strings, distinct, sorted).
 
     A run is a maximal union of words inside occurrences of windows. Null texts have no words; items without words match

@@ -525,6 +525,16 @@ def test_contamination(spark, block):
     assert winnowing.matched_runs(rows.where("false"), bench).collect() == []
 
 
+def test_contamination_by_repeated_words_and_long_texts(spark):
+    n = 100_000
+    items = [(1, "la " * n), (2, "la " * 9), (3, "la " * 11 + "end"), (4, "ko mi ru"), (4, None), (None, "la " * 12)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = ["la " * n, "x " * n + "la " * 10 + "end", "la " * 8, "KO-mi ru " * 3, None, "la " * 8]
+    rows = docs(spark, texts, [0, 1, 2, 3, None, 2])
+    got = winnowing.matched_runs(rows, bench).withColumn("n", winnowing.hit_words()).collect()
+    assert sorted(((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n, ",".join(r["items"])) for r in got)) == [(-1, 0, 0, ""), (0, n, n, "1,2,3"), (1, n + 11, 11, "1,2,3"), (2, 8, 0, ""), (2, 8, 0, ""), (3, 9, 9, "4")]
+
+
 # 9
 
 
