@@ -58,7 +58,7 @@ def index(spark: SparkSession, args: argparse.Namespace) -> None:
     if plan["type"] == "flat":
         rows.select("record_idx", "feature").write.parquet(args.out)
     else:
-        ivf.build(rows, plan["nlist"], plan["m"], plan["train"])[0].write.partitionBy("cell").parquet(args.out)
+        ivf.build(rows, plan["nlist"], plan["m"], plan["train"]).save(args.out)
 
 
 COMMANDS = {"curate": curate, "reduce": reduce_, "shards": shards, "metadata": metadata, "index": index}

@@ -121,8 +121,8 @@ def action_summary(recommendations: DataFrame) -> DataFrame:
 
 
 def sample_rows(rows: DataFrame, n: int, seed: int, id_col: str = "record_idx") -> DataFrame:
-    """A bounded uniform sample without replacement: the ``n`` smallest hashes of id and seed. Sampling is the feature here."""
-    return rows.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n) if n > 0 else rows
+    """A bounded uniform sample without replacement: the ``n`` smallest MD5 sums of ``id:seed``. Sampling is the feature here."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))), id_col).limit(n) if n > 0 else rows
 
 
 def is_drop(action: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cropmill.operators.knn import dot, unit
+from cropmill.storage import release, settle
 
 
 def centroids(rows: DataFrame, keys: list[str], vector_col: str = "feature") -> DataFrame:
@@ -49,10 +50,15 @@ def medoids(rows: DataFrame, keys: list[str], vector_col: str = "feature", id_co
 
 
 def boundaries(rows: DataFrame, keys: list[str], count: int, vector_col: str = "feature", id_col: str = "record_idx") -> DataFrame:
-    """``keys``, ``id_col``, ``boundary_rank``: the ``count`` members farthest from the centroid, of groups of two or more."""
+    """``keys``, ``id_col``, ``boundary_rank``: the ``count`` members farthest from the centroid, of groups of two or more.
+
+    Only ids and scores are ranked, and a task passes on ``count`` of a group at most; sizes are counted apart.
+    """
+    scores = centroid_scores(rows, keys, vector_col).select(*keys, id_col, "centroid_score")
     order = Window.partitionBy(*keys).orderBy("centroid_score", id_col)
-    sized = centroid_scores(rows, keys, vector_col).withColumn("members", F.count("*").over(Window.partitionBy(*keys))) if count > 0 else centroid_scores(rows, keys, vector_col).withColumn("members", F.lit(0))
-    return sized.withColumn("boundary_rank", F.row_number().over(order)).where(f"boundary_rank <= {count} and members > 1").select(*keys, id_col, "boundary_rank")
+    ranked = scores.withColumn("boundary_rank", F.row_number().over(order)).where(F.col("boundary_rank") <= count)
+    sizes = rows.where(F.col(vector_col).isNotNull()).groupBy(*keys).agg(F.count("*").alias("members")).where("members > 1")
+    return ranked.join(sizes, keys).select(*keys, id_col, "boundary_rank")
 
 
 def farthest_first(vectors: np.ndarray, ids: list[int], count: int) -> list[int]:
@@ -70,16 +76,24 @@ def farthest_first(vectors: np.ndarray, ids: list[int], count: int) -> list[int]
 
 
 def representatives(rows: DataFrame, key: str, count: int, vector_col: str = "feature", id_col: str = "record_idx") -> DataFrame:
-    """``key``, ``record_idx``, ``pick`` (from 1): up to ``count`` representatives of each group, farthest first."""
-    import pandas as pd
+    """``key``, ``record_idx``, ``pick`` (from 1): up to ``count`` representatives of each group, farthest first.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
-        taken = farthest_first(np.array(group["v"].tolist(), np.float64), group["id"].tolist(), count)
-        return pd.DataFrame({key: group["key"].iloc[0], "record_idx": taken, "pick": range(1, len(taken) + 1)})
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(F.col(key).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).groupBy("key").applyInPandas(run, f"{key} {kind}, record_idx long, pick int")
+    Each round compares all rows with those that their group has taken (at most ``count`` vectors) and keeps the least similar one by a
+    plain aggregate, so a group of any size is spread over all tasks. Null vectors and null keys take no part.
+    """
+    own = rows.select(F.col(key).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
+    point = F.struct("id", "v")
+    first = centroid_scores(own, ["key"], "v").groupBy("key").agg(F.max_by(point, F.struct("centroid_score", -F.col("id"))).alias("next"))
+    taken = settle(first.select("key", F.array("next").alias("taken")), "taken")
+    for _ in range(count - 1):
+        near = F.array_max(F.transform("taken", lambda t: F.round(dot("v", t["v"]), 10)))
+        open_ = own.join(taken, "key").where(~F.exists("taken", lambda t: t["id"] == F.col("id"))).select("key", "id", "v", near.alias("near"))
+        more = open_.groupBy("key").agg(F.min_by(point, F.struct("near", "id")).alias("next"))
+        grown = settle(taken.join(more, "key", "left").select("key", F.when(F.col("next").isNull(), F.col("taken")).otherwise(F.concat("taken", F.array("next"))).alias("taken")), "taken")
+        release(taken)
+        taken = grown
+    picks = taken.select("key", F.posexplode(F.transform("taken", lambda t: t["id"])).alias("place", "record_idx"))
+    return picks.select(F.col("key").alias(key), "record_idx", (F.col("place") + 1).alias("pick"))
 
 
 def id_list(ids: Column) -> Column:

@@ -1,19 +1,31 @@
-"""Inverted-file index: cells of a coarse quantiser, product-quantised residuals, search by the nearest cells and exact reranking."""
+"""Inverted-file index: cells of a coarse quantiser, product-quantised residuals, search by the nearest cells and exact reranking.
+
+A query is compared with the codes of the rows of its nearest cells: the inner product is that with the cell's centre and, for each
+subspace, that with the row's code word, looked up in a table of the query. Blocks of a cell's rows meet blocks of the queries that probe
+it; the best by codes are scored exactly where both vectors are, so no vector is joined to a candidate.
+"""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cropmill.functions.geometry import largest_divisor
 from cropmill.operators.curation import sample_rows
-from cropmill.operators.knn import dot, knn_join, rerank, search_width, unit
+from cropmill.operators.knn import knn_join, search_width, unit
 
 #: Below this many rows an index is flat.
 FLAT_BELOW = 10_000
+#: Rows whose residuals fit the code books, and their values; they are held by the driver.
+BOOK_ROWS, BOOK_VALUES = 20_000, 16 << 20
 
 
 def plan(n: int, nlist: int = 4096, nprobe: int = 32, train: int = 200_000, kind: str = "ivfpq", dim: int = 1792, m: int = 64) -> dict:
@@ -25,63 +37,162 @@ def plan(n: int, nlist: int = 4096, nprobe: int = 32, train: int = 200_000, kind
     return {"type": "ivfpq", "nlist": cells, "nprobe": min(nprobe, cells), "train": train, "m": largest_divisor(dim, m)}
 
 
-def build(base: DataFrame, nlist: int, m: int = 8, train: int = 200_000, seed: int = 42, id_col: str = "record_idx", vector_col: str = "feature") -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """``(id, cell, codes, vector)`` of all rows, the cells' centres, and the residual code books (one of at most 256 for each subspace).
+def nearest_rows(x: np.ndarray, centers: np.ndarray, step: int = 4_096) -> np.ndarray:
+    """For each row of ``x`` the number of its nearest centre; by products of bounded blocks."""
+    half = (centers**2).sum(axis=1) / 2
+    return np.concatenate([(half - x[a : a + step] @ centers.T).argmin(axis=1) for a in range(0, len(x), step)]) if len(x) else np.zeros(0, np.int64)
 
-    Centres and books are fitted on a bounded sample of ``train`` rows; every row is indexed.
-    """
-    rows = base.select(F.col(id_col), F.col(vector_col).cast("array<double>").alias("v"))
-    sample = sample_rows(rows, train, seed, id_col).withColumn("features", array_to_vector("v"))
-    model = KMeans(k=nlist, seed=seed, maxIter=10).fit(sample)
-    centers = np.array(model.clusterCenters())
-    dim = centers.shape[1]
-    m = largest_divisor(dim, m)
-    fitted = np.array([r.v for r in sample.select("v").limit(20_000).collect()])
-    residual = fitted - centers[((fitted[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)]
+
+def code_books(residual: np.ndarray, m: int, seed: int, words: int = 256, rounds: int = 6) -> list[np.ndarray]:
+    """One book of at most ``words`` vectors for each of ``m`` subspaces."""
     rng, books = np.random.default_rng(seed), []
     for part in np.split(residual, m, axis=1):
-        book = part[rng.choice(len(part), min(256, len(part)), replace=False)]
-        for _ in range(6):
-            near = (-2 * part @ book.T + (book**2).sum(axis=1)).argmin(axis=1)
-            for c in np.unique(near):
-                book[c] = part[near == c].mean(axis=0)
+        book = part[rng.choice(len(part), min(words, len(part)), replace=False)]
+        for _ in range(rounds):
+            near = nearest_rows(part, book)
+            sums = np.zeros_like(book)
+            np.add.at(sums, near, part)
+            n = np.bincount(near, minlength=len(book))
+            book = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], book)
         books.append(book)
-    shared = base.sparkSession.sparkContext.broadcast((centers, books))
+    return books
+
+
+@dataclass
+class Index:
+    """``rows`` has (id, cell, codes as bytes, v); centres and books are what search needs besides."""
+
+    rows: DataFrame
+    centers: np.ndarray
+    books: list[np.ndarray]
+    id_col: str = "record_idx"
+
+    def save(self, path: str) -> None:
+        """Write rows sorted by cell, so that readers skip what they don't probe, and the quantisers; ``open_index`` reads them back."""
+        self.rows.repartition("cell").sortWithinPartitions("cell").write.parquet(f"{path}/rows")
+        spark = self.rows.sparkSession
+        parts = [(-1, i, [float(x) for x in c]) for i, c in enumerate(self.centers)]
+        parts += [(j, i, [float(x) for x in w]) for j, book in enumerate(self.books) for i, w in enumerate(book)]
+        spark.createDataFrame(parts, "part int, place int, word array<double>").coalesce(1).write.parquet(f"{path}/quantisers")
+        config = json.dumps({"type": "ivfpq", "id_col": self.id_col, "nlist": len(self.centers), "m": len(self.books), "dim": self.centers.shape[1]})
+        spark.createDataFrame([(config,)], "value string").coalesce(1).write.text(f"{path}/config")
+
+    def search(self, queries: DataFrame, k: int, nprobe: int = 32, rerank_k: int = 500, vector_col: str = "feature", block_rows: int = 4_096) -> DataFrame:
+        """``(record_idx, neighbor_idx, similarity, rank)``: of the ``nprobe`` nearest cells' rows the ``rerank_k`` best by codes, then the ``k`` best by cosine.
+
+        A row is not its own neighbour; ties go to smaller ids; null vectors take no part.
+        """
+        width, books, centers = max(k, rerank_k), self.books, self.centers
+        shared = queries.sparkSession.sparkContext.broadcast((centers, books))
+        asked = queries.select(F.col(self.id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
+        probes = min(nprobe, len(centers))
+
+        def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centers = shared.value[0]
+            half = (centers**2).sum(axis=1) / 2
+            for batch in batches:
+                v = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, centers.shape[1])
+                cells = np.argpartition(half - v @ centers.T, probes - 1, axis=1)[:, :probes]
+                at = np.repeat(np.arange(batch.num_rows), probes)
+                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel().astype(np.int32)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["cell", "id", "v"])
+
+        left = packed(asked.mapInArrow(probed, "cell int, id long, v array<double>"), block_rows)
+        right = packed(self.rows.select("cell", F.col(self.id_col).cast("long").alias("id"), "v", "codes"), block_rows)
+        met = right.join(left.select("cell", *[F.col(c).alias(f"q_{c}") for c in ("n", "ids", "vectors")]), "cell")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centers, books = shared.value
+            for batch in batches:
+                for r in batch.to_pylist():
+                    q, b = np.frombuffer(r["q_vectors"]).reshape(r["q_n"], -1), np.frombuffer(r["vectors"]).reshape(r["n"], -1)
+                    qi, bi = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
+                    codes = np.frombuffer(r["codes"], np.uint8).reshape(r["n"], len(books))
+                    s = np.repeat((q @ centers[r["cell"]])[:, None], r["n"], axis=1)
+                    for part, book, own in zip(np.split(q, len(books), axis=1), books, codes.T, strict=True):
+                        s += (part @ book.T)[:, own]
+                    s[qi[:, None] == bi[None, :]] = -np.inf
+                    m = min(width, s.shape[1])
+                    edge = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
+                    row, col = np.nonzero((s >= edge[:, None]) & np.isfinite(s))
+                    q, b = (x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12) for x in (q, b))
+                    for a in range(0, len(row), 100_000):
+                        x, y = row[a : a + 100_000], col[a : a + 100_000]
+                        cosine = np.cumsum(q[x] * b[y], axis=1)[:, -1]
+                        yield pa.RecordBatch.from_arrays([pa.array(qi[x]), pa.array(bi[y]), pa.array(s[x, y]), pa.array(cosine)], names=["record_idx", "neighbor_idx", "coded", "similarity"])
+
+        found = met.mapInArrow(run, "record_idx long, neighbor_idx long, coded double, similarity double")
+        by_code = Window.partitionBy("record_idx").orderBy(F.desc("coded"), "neighbor_idx")
+        best = found.withColumn("place", F.row_number().over(by_code)).where(F.col("place") <= width)
+        order = Window.partitionBy("record_idx").orderBy(F.desc("similarity"), "neighbor_idx")
+        return best.select("record_idx", "neighbor_idx", "similarity", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
+
+
+def packed(rows: DataFrame, most: int) -> DataFrame:
+    """``(cell, n, ids, vectors, codes)``: rows of a cell in blocks of at most ``most``; large cells are dealt over many tasks."""
+    coded = "codes" in rows.columns
+    narrow = rows.select("cell", "id", "v", F.col("codes") if coded else F.lit(None).cast("binary").alias("codes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+
+        def out(cell: int) -> pa.RecordBatch:
+            ids, vectors, codes = zip(*held.pop(cell), strict=True)
+            body = [pa.array([np.array(ids, np.int64).tobytes()]), pa.array([np.array(vectors, np.float64).tobytes()]), pa.array([b"".join(codes) if coded else None], pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([len(ids)], pa.int64()), *body], names=["cell", "n", "ids", "vectors", "codes"])
+
+        for batch in batches:
+            for cell, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(cell, []).append(row)
+                if len(held[cell]) >= most:
+                    yield out(cell)
+        for cell in list(held):
+            yield out(cell)
+
+    # Rows of one cell stay together as far as they came together: blocks are small where a task has few rows of a cell, never wrong.
+    return narrow.sortWithinPartitions("cell").mapInArrow(run, "cell int, n long, ids binary, vectors binary, codes binary")
+
 
-    def encode(batches):
-        import pyarrow as pa
+def open_index(spark: SparkSession, path: str) -> Index:
+    """An index that ``save`` has written."""
+    config = json.loads(spark.read.text(f"{path}/config").first()[0])
+    words = spark.read.parquet(f"{path}/quantisers").orderBy("part", "place").collect()
+    own = {p: np.array([w.word for w in words if w.part == p]) for p in range(-1, config["m"])}
+    return Index(spark.read.parquet(f"{path}/rows"), own[-1], [own[p] for p in range(config["m"])], config["id_col"])
 
+
+def build(base: DataFrame, nlist: int, m: int = 8, train: int = 200_000, seed: int = 42, id_col: str = "record_idx", vector_col: str = "feature") -> Index:
+    """An index of all rows: their cells, and residual codes by books of at most 256 words for each subspace.
+
+    Centres are fitted on ``train`` rows, books on ``BOOK_ROWS`` of them; every row is indexed. Null vectors are left out.
+    """
+    rows = base.select(F.col(id_col), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
+    sample = sample_rows(rows, train, seed, id_col).withColumn("features", array_to_vector("v"))
+    centers = np.array(KMeans(k=nlist, seed=seed, maxIter=10).fit(sample).clusterCenters())
+    few = min(train, BOOK_ROWS, max(256, BOOK_VALUES // centers.shape[1]))
+    fitted = sample_rows(rows, few, seed, id_col).select("v").toArrow().column("v").combine_chunks().flatten().to_numpy().reshape(-1, centers.shape[1])
+    books = code_books(fitted - centers[nearest_rows(fitted, centers)], largest_divisor(centers.shape[1], m), seed)
+    shared = base.sparkSession.sparkContext.broadcast((centers, books))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centers, books = shared.value
         for batch in batches:
-            v = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
-            cell = (-2 * v @ centers.T + (centers**2).sum(axis=1)).argmin(axis=1)
+            v = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, centers.shape[1])
+            cell = nearest_rows(v, centers)
             parts = np.split(v - centers[cell], len(books), axis=1)
-            codes = np.stack([(-2 * p @ b.T + (b**2).sum(axis=1)).argmin(axis=1) for p, b in zip(parts, books, strict=True)], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), pa.array(codes.astype(np.int16).tolist(), pa.list_(pa.int16())), batch.column(1)], names=[id_col, "cell", "codes", "v"])
-
-    index = rows.mapInArrow(encode, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, cell int, codes array<short>, v array<double>")
-    return index, centers, books
-
+            codes = np.stack([nearest_rows(p, b) for p, b in zip(parts, books, strict=True)], axis=1).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(1)], names=[id_col, "cell", "codes", "v"])
 
-def search(index: DataFrame, centers: np.ndarray, queries: DataFrame, k: int, nprobe: int, rerank_k: int, id_col: str = "record_idx", vector_col: str = "feature") -> DataFrame:
-    """Candidates of each query's ``nprobe`` nearest cells, the ``rerank_k`` best by inner product, exactly reranked to ``k``."""
-    cells = queries.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)], "cell int, center array<double>")
-    asked = queries.select(F.col(id_col), F.col(vector_col).cast("array<double>").alias("q"))
-    order = Window.partitionBy(id_col).orderBy(F.desc("s"), "cell")
-    probes = asked.join(F.broadcast(cells)).withColumn("s", dot("q", "center") - dot("center", "center") / 2).withColumn("p", F.row_number().over(order)).where(F.col("p") <= nprobe).select(F.col(id_col).alias("query"), "q", "cell")
-    scored = probes.join(index, "cell").where(F.col("query") != F.col(id_col)).select(F.col("query").alias("record_idx"), F.col(id_col).alias("neighbor_idx"), dot("q", "v").alias("s"))
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("record_idx").orderBy(F.desc("s"), "neighbor_idx"))).where(F.col("r") <= max(k, rerank_k))
-    base = index.select(F.col(id_col).alias("record_idx"), F.col("v").alias("feature"))
-    return rerank(best, asked.select(F.col(id_col).alias("record_idx"), F.col("q").alias("feature")), base, k)
+    index = rows.mapInArrow(encode, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, cell int, codes binary, v array<double>")
+    return Index(index, centers, books, id_col)
 
 
 def two_phase(queries: DataFrame, base: DataFrame, k: int, rerank_k: int, kind: str = "flat", **options) -> DataFrame:
     """Search as an index of ``kind`` answers it: a flat one by exact inner products, ``ivfpq`` with exact reranking if it asks for more than ``k``."""
-    n = base.count()
     if kind == "flat":
         return knn_join(queries, base, k)
-    index, centers, _ = build(base, **{a: b for a, b in options.items() if a != "nprobe"})
-    return search(index, centers, queries, k, options.get("nprobe", 32), search_width(n, k, rerank_k) if rerank_k > k else k)
+    n = base.count()
+    index = build(base, **{a: b for a, b in options.items() if a != "nprobe"})
+    return index.search(queries, k, options.get("nprobe", 32), search_width(n, k, rerank_k) if rerank_k > k else k)
 
 
 def unit_rows(base: DataFrame, vector_col: str = "feature") -> DataFrame:

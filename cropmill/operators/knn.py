@@ -24,7 +24,9 @@ def dot(a: Column | str, b: Column | str) -> Column:
 def unit(v: Column) -> Column:
     """A vector divided by its norm (at least 1e-12)."""
     v = v.cast("array<double>")
-    return F.transform(v, lambda x: x / F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12)))
+    # The norm stands in a struct, so that it is computed once and not for each component.
+    both = F.struct(v.alias("v"), F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12)).alias("norm"))
+    return F.transform(F.array(both), lambda s: F.transform(s["v"], lambda x: x / s["norm"]))[0]
 
 
 def blocks(df: DataFrame, id_col: str, vector_col: str, parts: int, rows: int) -> DataFrame:
@@ -50,10 +52,12 @@ def blocks(df: DataFrame, id_col: str, vector_col: str, parts: int, rows: int) -
     return dealt.repartition(parts, "block").sortWithinPartitions("block", "id").mapInArrow(run, "block long, n long, ids binary, vectors binary")
 
 
-def knn_join(queries: DataFrame, base: DataFrame, k: int, id_col: str = "record_idx", vector_col: str = "feature", metric: str = "ip", exclude_self: bool = True, query_rows: int = 2_048, base_rows: int = 16_384) -> DataFrame:
+def knn_join(queries: DataFrame, base: DataFrame, k: int, id_col: str = "record_idx", vector_col: str = "feature", metric: str = "ip", exclude_self: bool = True, query_rows: int = 2_048, base_rows: int = 16_384, width: int = 0) -> DataFrame:
     """``(record_idx, neighbor_idx, similarity, rank)``: the ``k`` best of ``base`` for each query.
 
-    ``metric`` is ``ip`` (raw inner product) or ``cosine`` (both sides normalised first). Ties go to smaller ids. Null vectors take no part.
+    ``metric`` is ``ip`` (raw inner product) or ``cosine`` (both sides normalised first). With a ``width`` the best ``width`` by that metric
+    are ranked anew by cosine, which is computed where both vectors are, and the ``k`` best stay. Ties go to smaller ids. Null vectors
+    take no part.
     """
     if metric not in ("ip", "cosine"):
         raise ValueError(f"unknown metric {metric}")
@@ -72,15 +76,21 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, id_col: str = "record_
                 s = q @ b.T
                 if exclude_self:
                     s[qi[:, None] == bi[None, :]] = -np.inf
-                m = min(k, s.shape[1])
+                m = min(width or k, s.shape[1])
                 edge = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
                 # Ties with the last, and what rounding might have put below it, are kept for the ranking.
                 row, col = np.nonzero((s >= edge[:, None] - 1e-9) & np.isfinite(s))
                 exact = np.cumsum(q[row] * b[col], axis=1)[:, -1] if len(row) else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[row]), pa.array(bi[col]), pa.array(exact)], names=["record_idx", "neighbor_idx", "similarity"])
+                out = [pa.array(qi[row]), pa.array(bi[col]), pa.array(exact)]
+                if width:
+                    uq, ub = (x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12) for x in (q, b))
+                    out.append(pa.array(np.cumsum(uq[row] * ub[col], axis=1)[:, -1] if len(row) else np.zeros(0)))
+                yield pa.RecordBatch.from_arrays(out, names=["record_idx", "neighbor_idx", "similarity", "cosine"][: len(out)])
 
-    found = met.mapInArrow(run, "record_idx long, neighbor_idx long, similarity double")
+    found = met.mapInArrow(run, "record_idx long, neighbor_idx long, similarity double" + ", cosine double" * bool(width))
     order = Window.partitionBy("record_idx").orderBy(F.desc("similarity"), "neighbor_idx")
+    if width:
+        found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= width).select("record_idx", "neighbor_idx", F.col("cosine").alias("similarity"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cropmill.operators import calibration, curation, groups, ivf, knn, reduction
-from cropmill.plans.views import BOUNDARY, CC, CROSS, EDGES, MEM, NEAR, RARE, REC, medoid, members, nb, neighbors, records, sql
+from cropmill.plans import cover
+from cropmill.plans.views import BOUNDARY, CC, CROSS, EDGES, GRP, MEM, NEAR, RARE, REC, medoid, members, nb, neighbors, records, sql
 from cropmill.storage import settle
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -46,8 +47,7 @@ _COS = "(list_inner_product(a.f, b.f) / (sqrt(list_inner_product(a.f, a.f)) * sq
 @query(sql(f"SELECT a.record_idx, b.record_idx AS neighbor_idx, round({_COS}, 6) AS similarity, row_number() OVER (PARTITION BY a.record_idx ORDER BY {_COS} DESC, b.record_idx) AS rank FROM (SELECT vec_id AS record_idx, embedding::DOUBLE[] AS f FROM embeddings) a JOIN (SELECT vec_id AS record_idx, embedding::DOUBLE[] AS f FROM embeddings) b ON a.record_idx <> b.record_idx QUALIFY rank <= 5"))
 def knn_rerank_cosine(spark, sf):
     rows = full(spark, sf)
-    found = knn.knn_join(rows, rows, knn.search_width(1 << 30, 5, 50, 4))
-    return knn.rerank(found, rows, rows, 5).select("record_idx", "neighbor_idx", sim(), "rank")
+    return knn.knn_join(rows, rows, 5, width=knn.search_width(1 << 30, 5, 50, 4)).select("record_idx", "neighbor_idx", sim(), "rank")
 
 
 @query(sql("SELECT record_idx, neighbor_idx, round(similarity, 6) AS similarity, rank FROM nb", REC, nb(8)))
@@ -148,6 +148,8 @@ def curation_summary(spark, sf):
     return curation.action_summary(_reco(spark, sf))
 
 
+IMAGE_PLAN = """ip AS (SELECT image_path, min(label_path) AS label_path, any_value(file_name) AS file_name, CASE WHEN bool_and(action LIKE 'DROP%') THEN 'DROP_IMAGE_CANDIDATE' ELSE 'KEEP_IMAGE' END AS image_action, CASE WHEN bool_and(action LIKE 'DROP%') THEN 'SAFE_ONLY_IN_FULL_PLAN' ELSE 'KEEP_OR_REVIEW' END AS drop_safety, count(*) AS planned_records, count(*) FILTER (action LIKE 'DROP%') AS drop_record_candidates, string_agg(DISTINCT action, ', ' ORDER BY action) AS actions, string_agg(DISTINCT class_name, ', ' ORDER BY class_name) AS classes FROM sr GROUP BY 1)"""
+
 TIGHT = f"te AS (SELECT least(record_idx, neighbor_idx) AS record_idx, greatest(record_idx, neighbor_idx) AS neighbor_idx, max(similarity) AS similarity FROM nb WHERE similarity >= {NEAR} AND class_id = nclass AND size_bucket = nsize GROUP BY 1, 2)"
 
 
@@ -167,35 +169,35 @@ def _plan(spark, sf, per_group: int = 1):
     return reduction.reduction_members(reduction.tight_edges(near, own, NEAR), own, protected, 2, per_group), protected, near, own
 
 
-@query()
+@query(sql("SELECT * REPLACE (round(similarity_to_primary, 6) AS similarity_to_primary) FROM mem", REC, nb(30), TIGHT, cover.MEMBERS))
 def reduction_members(spark, sf):
     return _plan(spark, sf)[0].withColumn("similarity_to_primary", F.round("similarity_to_primary", 6))
 
 
-@query()
+@query(sql("SELECT * REPLACE (round(similarity_to_primary, 6) AS similarity_to_primary) FROM mem", REC, nb(30), TIGHT, cover.MEMBERS2))
 def reduction_members_two_representatives(spark, sf):
     return _plan(spark, sf, 2)[0].withColumn("similarity_to_primary", F.round("similarity_to_primary", 6))
 
 
-@query()
+@query(sql("SELECT * FROM grph", REC, nb(30), TIGHT, cover.MEMBERS, GRP))
 def reduction_groups(spark, sf):
     found, _, _, own = _plan(spark, sf)
     return reduction.reduction_groups(found, own)
 
 
-@query()
+@query(sql(f"SELECT *, {cover.REASONS} FROM sr", REC, nb(30), TIGHT, cover.MEMBERS, cover.RECOMMENDED))
 def reduction_recommendations(spark, sf):
     found, protected, near, own = _plan(spark, sf)
     touched = near.select("record_idx").union(near.select(F.col("neighbor_idx").alias("record_idx"))).distinct()
-    return reduction.reduction_recommendations(found, protected, touched, own).drop("bbox")
+    return reduction.reduction_recommendations(found, protected, touched, own).drop("bbox").withColumn("area_pct", F.round("area_pct", 6))
 
 
-@query()
+@query(sql("SELECT * FROM ip", REC, nb(30), TIGHT, cover.MEMBERS, cover.RECOMMENDED, IMAGE_PLAN))
 def reduction_image_plan(spark, sf):
     return reduction.image_plan(reduction_recommendations(spark, sf))
 
 
-@query()
+@query(sql("SELECT class_name, unnest(list_transform(t, lambda x: x.i)) AS record_idx, unnest(range(1, len(t) + 1))::INT AS pick FROM t5", REC, cover.FARTHEST))
 def representatives_farthest_first(spark, sf):
     return groups.representatives(records(spark, sf), "class_name", 5)
 
@@ -207,8 +209,8 @@ def _standin(spark, sf):
     return reco, reduction.image_plan(reco)
 
 
-STANDIN = """sr AS (SELECT m.*, r.class_name, r.image_path, r.label_path, r.file_name, r.annotation_line FROM mem m JOIN rec r USING (record_idx)),
-ip AS (SELECT image_path, min(label_path) AS label_path, any_value(file_name) AS file_name, CASE WHEN bool_and(action LIKE 'DROP%') THEN 'DROP_IMAGE_CANDIDATE' ELSE 'KEEP_IMAGE' END AS image_action, CASE WHEN bool_and(action LIKE 'DROP%') THEN 'SAFE_ONLY_IN_FULL_PLAN' ELSE 'KEEP_OR_REVIEW' END AS drop_safety, count(*) AS planned_records, count(*) FILTER (action LIKE 'DROP%') AS drop_record_candidates, string_agg(DISTINCT action, ', ' ORDER BY action) AS actions, string_agg(DISTINCT class_name, ', ' ORDER BY class_name) AS classes FROM sr GROUP BY 1),
+STANDIN = f"""sr AS (SELECT m.*, r.class_name, r.image_path, r.label_path, r.file_name, r.annotation_line FROM mem m JOIN rec r USING (record_idx)),
+{IMAGE_PLAN},
 ov AS (SELECT *, action AS original_action, (record_idx % 5 = 1 AND action LIKE 'DROP%') AS is_user_keep_override FROM sr),
 oi AS (SELECT DISTINCT image_path AS p FROM ov WHERE is_user_keep_override),
 io AS (SELECT image_path, label_path, file_name, CASE WHEN p IS NULL THEN image_action ELSE 'KEEP_IMAGE_USER_OVERRIDE' END AS image_action, CASE WHEN p IS NULL THEN drop_safety ELSE 'USER_OVERRIDE_KEEP' END AS drop_safety, planned_records, drop_record_candidates, CASE WHEN p IS NULL THEN actions ELSE actions || ', KEEP_USER_OVERRIDE' END AS actions, classes FROM ip LEFT JOIN oi ON p = image_path)"""
@@ -276,8 +278,22 @@ def calibration_classes(spark, sf):
     return calibration.classes(_detail(spark, sf))
 
 
+def _ivf(spark, sf, nprobe: int, rerank_k: int):
+    rows = full(spark, sf)
+    return ivf.build(rows, nlist=8, m=8, train=2_000).search(rows.where("record_idx % 10 = 0"), 10, nprobe, rerank_k)
+
+
 @query()
 def ivf_topk(spark, sf):
-    rows = full(spark, sf)
-    index, centers, _ = ivf.build(rows, nlist=8, m=8, train=2_000)
-    return ivf.search(index, centers, rows.where("record_idx % 10 = 0"), 10, 4, 200)
+    return _ivf(spark, sf, 4, 200)
+
+
+@query(sql(f"SELECT a.record_idx, b.record_idx AS neighbor_idx, round({_COS}, 6) AS similarity, row_number() OVER (PARTITION BY a.record_idx ORDER BY {_COS} DESC, b.record_idx) AS rank FROM (SELECT vec_id AS record_idx, embedding::DOUBLE[] AS f FROM embeddings WHERE vec_id % 10 = 0) a JOIN (SELECT vec_id AS record_idx, embedding::DOUBLE[] AS f FROM embeddings) b ON a.record_idx <> b.record_idx QUALIFY rank <= 10"))
+def ivf_topk_all_cells(spark, sf):
+    """The index with all cells probed and all candidates reranked is exact; it is saved and opened again on the way."""
+    from cropmill.storage import fresh_path
+
+    rows, path = full(spark, sf), fresh_path(spark, "index")
+    ivf.build(rows, nlist=8, m=8, train=2_000).save(path)
+    found = ivf.open_index(spark, path).search(rows.where("record_idx % 10 = 0"), 10, 8, 1 << 30)
+    return found.select("record_idx", "neighbor_idx", sim(), "rank")

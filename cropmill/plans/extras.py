@@ -73,15 +73,15 @@ def overlap_focus(spark, sf):
     return review.focus(points, "class_3").select("record_idx")
 
 
-@query("SELECT event_id, CASE WHEN length(props) > 8 THEN props[1:5] || '...' ELSE props END AS short FROM events WHERE event_id < 300")
+@query("SELECT event_id, CASE WHEN length(props) > 8 THEN props[1:5] || '...' ELSE props END AS short FROM events")
 def ellipsized(spark, sf):
-    return table(spark, sf, "events").where("event_id < 300").select("event_id", text.ellipsis(F.col("props"), 8).alias("short"))
+    return table(spark, sf, "events").select("event_id", text.ellipsis(F.col("props"), 8).alias("short"))
 
 
-@query("SELECT event_id, CASE WHEN event_id = 0 THEN 'encode | elapsed 7s' ELSE 'encode | ' || printf('%5.1f', event_id / 10.0::DOUBLE) || '% | elapsed 7s | ETA ' || (SELECT CASE WHEN s >= 3600 THEN printf('%dh %02dm %02ds', s // 3600, s % 3600 // 60, s % 60) WHEN s >= 60 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%ds', s) END FROM (SELECT trunc((1000 - event_id) / (greatest(event_id, 1) / 7.0::DOUBLE))::BIGINT AS s)) END AS said FROM events WHERE event_id < 100")
+@query("SELECT event_id, CASE WHEN event_id % 1000 = 0 THEN 'encode | elapsed 7s' ELSE 'encode | ' || printf('%5.1f', event_id % 1000 / 10.0::DOUBLE) || '% | elapsed 7s | ETA ' || (SELECT CASE WHEN s >= 3600 THEN printf('%dh %02dm %02ds', s // 3600, s % 3600 // 60, s % 60) WHEN s >= 60 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%ds', s) END FROM (SELECT trunc((1000 - event_id % 1000) / (greatest(event_id % 1000, 1) / 7.0::DOUBLE))::BIGINT AS s)) END AS said FROM events")
 def progress_eta_text(spark, sf):
-    said = logs.progress_text(F.col("event_id"), F.lit(1000), F.lit("encode"), F.lit(7.0))
-    return table(spark, sf, "events").where("event_id < 100").select("event_id", said.alias("said"))
+    said = logs.progress_text(F.col("event_id") % 1000, F.lit(1000), F.lit("encode"), F.lit(7.0))
+    return table(spark, sf, "events").select("event_id", said.alias("said"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 1 THEN event_type || ' / ' || CASE WHEN value < 50 THEN 'small' ELSE 'large' END ELSE 'All crops' END AS grouped FROM events")
@@ -95,17 +95,33 @@ def _detector_rows(spark, sf):
     i = F.col("event_id")
     g = F.floor(i / 4)
     x, y = (g * 37 % 600).cast("double"), (g * 53 % 440).cast("double")
-    return table(spark, sf, "events").where("event_id < 2000").select(F.floor(i / 20).alias("frame_index"), i.alias("row_id"), (x - 5).alias("x1"), (y - 5).alias("y1"), (x + 60 + i % 40).alias("x2"), (y + 60 + i % 30).alias("y2"), ((i * 7 % 100) / 100.0).alias("confidence"), (i % 3).cast("int").alias("class_id"), F.lit(640).alias("image_width"), F.lit(480).alias("image_height"))
+    return table(spark, sf, "events").select(F.floor(i / 20).alias("frame_index"), i.alias("row_id"), (x - 5).alias("x1"), (y - 5).alias("y1"), (x + 60 + i % 40).alias("x2"), (y + 60 + i % 30).alias("y2"), ((i * 7 % 100) / 100.0).alias("confidence"), (i % 3).cast("int").alias("class_id"), F.lit(640).alias("image_width"), F.lit(480).alias("image_height"))
 
 
-@query("WITH d AS (SELECT event_id AS row_id, event_id // 20 AS frame_index, (event_id // 4 * 37 % 600)::DOUBLE AS x, (event_id // 4 * 53 % 440)::DOUBLE AS y, event_id AS i FROM events WHERE event_id < 2000 AND (event_id * 7 % 100) / 100.0::DOUBLE >= 0.25) SELECT row_id, frame_index, greatest(0, x - 5)::INT AS x1, greatest(0, y - 5)::INT AS y1, least(640, x + 60 + i % 40)::INT AS x2, least(480, y + 60 + i % 30)::INT AS y2 FROM d")
+_DET = """dt AS (SELECT event_id AS row_id, event_id // 20 AS frame_index, (event_id // 4 * 37 % 600)::DOUBLE AS x, (event_id // 4 * 53 % 440)::DOUBLE AS y, event_id AS i, (event_id * 7 % 100) / 100.0::DOUBLE AS confidence FROM events),
+d AS (SELECT row_id, frame_index, greatest(0, x - 5)::INT AS x1, greatest(0, y - 5)::INT AS y1, least(640, x + 60 + i % 40)::INT AS x2, least(480, y + 60 + i % 30)::INT AS y2, confidence, i % 3 AS class_id FROM dt WHERE confidence >= 0.25)"""
+
+#: Detections of a frame by falling confidence; each is kept unless it overlaps a kept one of its class by more than 0.45.
+_NMS = """dk AS (SELECT *, row_number() OVER (PARTITION BY frame_index ORDER BY confidence DESC, row_id) AS k, (x2 - x1) * (y2 - y1) AS area FROM d),
+kp(frame_index, k, kept) AS (
+  SELECT DISTINCT frame_index, 0::BIGINT, []::STRUCT(row_id BIGINT, x1 INT, y1 INT, x2 INT, y2 INT, area INT, class_id BIGINT)[] FROM dk
+  UNION ALL
+  SELECT frame_index, dk.k, CASE WHEN len(list_filter(kept, lambda b: b.class_id = dk.class_id AND greatest(0, least(b.x2, dk.x2) - greatest(b.x1, dk.x1)) * greatest(0, least(b.y2, dk.y2) - greatest(b.y1, dk.y1))
+    / (b.area + dk.area - greatest(0, least(b.x2, dk.x2) - greatest(b.x1, dk.x1)) * greatest(0, least(b.y2, dk.y2) - greatest(b.y1, dk.y1)))::DOUBLE > 0.45)) = 0
+    THEN list_append(kept, {'row_id': row_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'area': area, 'class_id': class_id}) ELSE kept END
+  FROM kp JOIN dk USING (frame_index) WHERE dk.k = kp.k + 1),
+nms AS (SELECT unnest(list_transform(arg_max(kept, k), lambda b: b.row_id)) AS row_id FROM kp GROUP BY frame_index)"""
+_BOX = "row_id, frame_index, x1, y1, x2, y2"
+
+
+@query(sql(f"SELECT {_BOX} FROM d", _DET))
 def detector_rows(spark, sf):
     return media.detections(_detector_rows(spark, sf)).select("row_id", "frame_index", "x1", "y1", "x2", "y2")
 
 
-@query()
+@query(sql(f"SELECT {_BOX} FROM d JOIN nms USING (row_id)", _DET, _NMS))
 def suppressed_detections(spark, sf):
-    return media.suppressed(media.detections(_detector_rows(spark, sf)))
+    return media.suppressed(media.detections(_detector_rows(spark, sf)), order_col="row_id").select("row_id", "frame_index", "x1", "y1", "x2", "y2")
 
 
 def _toy_encoder():
@@ -142,9 +158,9 @@ def streamed_frame_counts(spark, sf):
     return spark.read.schema(schema).parquet(at).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query(sql("SELECT true AS labelled, count(*) AS records FROM rec WHERE class_id < 3", REC))
+@query()
 def feature_cluster_report(spark, sf):
-    """Filter, sample, project, cluster, summarise."""
+    """Filter, sample, project, cluster, summarise: the clusters of a bounded sample (the sample is the feature; see ``clustering``)."""
     own = records(spark, sf).where("class_id < 3")
     rows = clustering.cluster(clustering.projection(clustering.sampled(own, 5_000, 1), 3), "bisecting", 4)
-    return clustering.summarize(rows).agg(F.bool_and(F.col("dominant_class").isNotNull()).alias("labelled"), F.sum("count").alias("records"))
+    return clustering.summarize(rows)

@@ -102,9 +102,9 @@ def class_counts(spark, sf):
     return records(spark, sf).groupBy(F.concat_ws(": ", F.col("class_id").cast("string"), "class_name").alias("class_key")).agg(F.count("*").alias("n"))
 
 
-@query(sql("SELECT b AS size_bucket, count(record_idx) AS n FROM (SELECT unnest(['tiny', 'small', 'medium', 'large', 'huge']) AS b) LEFT JOIN (SELECT * FROM rec WHERE class_id = 1 AND record_idx < 100 AND size_bucket <> 'huge') ON size_bucket = b GROUP BY 1", REC))
+@query(sql("SELECT b AS size_bucket, count(record_idx) AS n FROM (SELECT unnest(['tiny', 'small', 'medium', 'large', 'huge']) AS b) LEFT JOIN (SELECT * FROM rec WHERE class_id = 1 AND size_bucket <> 'huge') ON size_bucket = b GROUP BY 1", REC))
 def size_counts_zero_filled(spark, sf):
-    own = records(spark, sf).where("class_id = 1 and record_idx < 100 and size_bucket <> 'huge'").groupBy("size_bucket").agg(F.count("*").alias("n"))
+    own = records(spark, sf).where("class_id = 1 and size_bucket <> 'huge'").groupBy("size_bucket").agg(F.count("*").alias("n"))
     every = spark.createDataFrame([(s,) for s in geometry.SIZES], "size_bucket string")
     return every.join(own, "size_bucket", "left").select("size_bucket", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
@@ -145,10 +145,10 @@ def shard_config_mismatch(spark, sf):
 def _logs(spark, sf):
     i = F.col("event_id")
     line = F.when(i % 5 == 0, F.lit("loading records=1,200")).otherwise(F.format_string("%s%% | encode %d/%d crops | elapsed=%dm %ds eta=%dh %dm %ds", F.format_number((i % 1000) / 10.0, 1), i, F.lit(10000), i % 60, i % 59, i % 3, i % 47, i % 31))
-    return table(spark, sf, "events").where("event_id < 1000").select((i % 4).alias("shard"), i.alias("line_no"), line.alias("line"))
+    return table(spark, sf, "events").select((i % 4).alias("shard"), i.alias("line_no"), line.alias("line"))
 
 
-_LOG = """lg AS (SELECT event_id % 4 AS shard, event_id AS line_no, event_id AS i FROM events WHERE event_id < 1000 AND event_id % 5 <> 0),
+_LOG = """lg AS (SELECT event_id % 4 AS shard, event_id AS line_no, event_id AS i FROM events WHERE event_id % 5 <> 0),
 pr AS (SELECT shard, line_no, round((i % 1000) / 10.0::DOUBLE, 1) AS pct, 'encode ' || i || '/10000 crops' AS message, i AS done, 10000::BIGINT AS total, (i % 60) || 'm ' || (i % 59) || 's' AS elapsed, (i % 3) || 'h ' || (i % 47) || 'm ' || (i % 31) || 's' AS eta, (i % 3) * 3600 + (i % 47) * 60 + i % 31 AS eta_seconds FROM lg)"""
 
 
@@ -162,7 +162,7 @@ def progress_last(spark, sf):
     return logs.last_progress(_logs(spark, sf))
 
 
-@query("SELECT event_id % 4 AS shard, 1200::BIGINT AS value FROM events WHERE event_id < 1000 AND event_id % 5 = 0 GROUP BY 1")
+@query("SELECT event_id % 4 AS shard, 1200::BIGINT AS value FROM events WHERE event_id % 5 = 0 GROUP BY 1")
 def progress_last_number(spark, sf):
     return logs.last_number(_logs(spark, sf), r"records=([\d,]+)")
 
@@ -172,10 +172,10 @@ def build_progress_rollup(spark, sf):
     return logs.build_summary(logs.last_progress(_logs(spark, sf)).withColumn("exit_code", F.lit(None).cast("int")))
 
 
-@query("WITH d AS (SELECT event_id, event_id * 37 % 20000 AS s FROM events WHERE event_id < 500) SELECT event_id, CASE WHEN s >= 3600 THEN printf('%dh %02dm %02ds', s // 3600, s % 3600 // 60, s % 60) WHEN s >= 60 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%ds', s) END AS said, s AS back FROM d")
+@query("WITH d AS (SELECT event_id, event_id * 37 % 20000 AS s FROM events) SELECT event_id, CASE WHEN s >= 3600 THEN printf('%dh %02dm %02ds', s // 3600, s % 3600 // 60, s % 60) WHEN s >= 60 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%ds', s) END AS said, s AS back FROM d")
 def duration_round_trip(spark, sf):
     said = text.duration_text(F.col("event_id") * 37 % 20000)
-    return table(spark, sf, "events").where("event_id < 500").select("event_id", said.alias("said"), text.duration_seconds(said).alias("back"))
+    return table(spark, sf, "events").select("event_id", said.alias("said"), text.duration_seconds(said).alias("back"))
 
 
 @query("WITH c AS (SELECT 'config_rows' AS item UNION ALL SELECT 'record_rows' UNION ALL SELECT 'dimension' UNION ALL SELECT 'vectors_present') SELECT item, 'PASS' AS status, printf('records=%d features=%d', (SELECT count(*) FROM embeddings), (SELECT count(*) FROM embeddings)) AS detail FROM c")
@@ -212,9 +212,9 @@ def box_text_round_trip(spark, sf):
     return rows.select("record_idx", "said", *[F.col("n")[i].alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))])
 
 
-@query("WITH c AS (SELECT o_custkey AS name, 'v' || o_orderkey AS settings, o_orderkey AS w FROM orders WHERE o_custkey < 50) SELECT name::VARCHAR AS name, arg_max(settings, w) AS settings, min(w) AS created_at, max(w) AS updated_at, name::VARCHAR AS slug FROM c GROUP BY 1")
+@query("WITH c AS (SELECT o_custkey AS name, 'v' || o_orderkey AS settings, o_orderkey AS w FROM orders) SELECT name::VARCHAR AS name, arg_max(settings, w) AS settings, min(w) AS created_at, max(w) AS updated_at, name::VARCHAR AS slug FROM c GROUP BY 1")
 def catalog_upsert(spark, sf):
-    rows = table(spark, sf, "orders").where("o_custkey < 50").select(F.col("o_custkey").cast("string").alias("name"), F.concat(F.lit("v"), F.col("o_orderkey").cast("string")).alias("settings"), F.col("o_orderkey").alias("at"))
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("name"), F.concat(F.lit("v"), F.col("o_orderkey").cast("string")).alias("settings"), F.col("o_orderkey").alias("at"))
     empty = rows.where("false").select("name", "settings", F.col("at").alias("created_at"), F.col("at").alias("updated_at"))
     return catalog.upsert(empty, rows)
 
@@ -414,6 +414,6 @@ def overlap_class_pairs(spark, sf):
     return points.groupBy("class_name", "other_class").agg(F.count("*").alias("count"), F.round(F.avg("distance"), 5).alias("mean_distance"))
 
 
-@query()
+@query(sql("SELECT record_idx, class_name FROM rec ORDER BY md5(record_idx || ':7'), record_idx LIMIT 50", REC))
 def hash_ordered_sample(spark, sf):
     return curation.sample_rows(records(spark, sf), 50, 7).select("record_idx", "class_name")

@@ -96,11 +96,12 @@ def suppress(boxes: np.ndarray, scores: np.ndarray, classes: np.ndarray, overlap
     return kept
 
 
-def suppressed(rows: DataFrame, frame_col: str = "frame_index", overlap: float = 0.45) -> DataFrame:
-    """Detections left after suppression within each frame."""
+def suppressed(rows: DataFrame, frame_col: str = "frame_index", overlap: float = 0.45, order_col: str | None = None) -> DataFrame:
+    """Detections left after suppression within each frame; equal confidences are settled by ``order_col``, or by the boxes."""
+    ties = [order_col] if order_col else ["x1", "y1", "x2", "y2", "class_id"]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.reset_index(drop=True)
+        frame = frame.sort_values(ties, kind="stable").reset_index(drop=True)
         return frame.iloc[suppress(frame[["x1", "y1", "x2", "y2"]].to_numpy(float), frame["confidence"].to_numpy(), frame["class_id"].to_numpy(), overlap)]
 
     return rows.groupBy(frame_col).applyInPandas(run, rows.schema)

@@ -81,14 +81,18 @@ def test_higher_threshold_gives_fewer_edges(spark, sf):
     assert few < many
 
 
-def test_ivf_recall(spark, sf):
+def test_ivf_recall(spark, sf, tmp_path):
     rows = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("record_idx"), F.col("embedding").cast("array<double>").alias("feature"))
-    index, centers, books = ivf.build(rows, nlist=4, m=8, train=1_000)
-    assert index.count() == rows.count() and len(books) == 8
-    queries = rows.where("record_idx % 25 = 0")
-    want = {(r.record_idx, r.neighbor_idx) for r in knn.knn_join(queries, rows, 10).collect()}
-    got = {(r.record_idx, r.neighbor_idx) for r in ivf.search(index, centers, queries, 10, 3, 200).collect()}
-    assert len(want & got) / len(want) > 0.8
+    index = ivf.build(rows, nlist=16, m=8, train=1_000)
+    assert index.rows.count() == rows.count() and len(index.books) == 8 and all(len(b) <= 256 for b in index.books)
+    index.save(f"{tmp_path}/index")
+    queries = rows.where("record_idx % 10 = 0")
+    want = {(r.record_idx, r.neighbor_idx) for r in knn.knn_join(queries, rows, 10, metric="cosine").collect()}
+    found = ivf.open_index(spark, f"{tmp_path}/index").search(queries, 10, 10, 100, block_rows=64).collect()
+    assert len(found) == len(want)
+    assert len(want & {(r.record_idx, r.neighbor_idx) for r in found}) / len(want) >= 0.9
+    few = rows.where("record_idx < 3").unionByName(spark.createDataFrame([(99, None)], "record_idx long, feature array<double>"))
+    assert {(r.record_idx, r.rank) for r in ivf.build(few, 2, 8, 10).search(few, 5, 4, 9).collect()} == {(i, k) for i in range(3) for k in (1, 2)}
     assert ivf.plan(500)["type"] == "flat" and ivf.plan(1_000_000)["m"] == 64
 
 
