@@ -80,3 +80,28 @@ def cell_range(lo: Column, hi: Column, ratio: Column, pad: Column, tensor: int,
 def largest_divisor(dim: int, most: int) -> int:
     """The largest divisor of ``dim`` up to ``most``: a product quantiser's number of subspaces."""
     return max(d for d in range(1, max(1, min(dim, most)) + 1) if dim % d == 0)
+
+
+def crop_box(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column) -> Column:
+    """The pixels of a crop: corners rounded half to even and clamped to the image, the first ones to its last pixel."""
+    low = [clamp(F.bround(c).cast("int"), 0, most - 1) for c, most in ((x1, width), (y1, height))]
+    high = [clamp(F.bround(c).cast("int"), 0, most) for c, most in ((x2, width), (y2, height))]
+    return F.struct(low[0].alias("x1"), low[1].alias("y1"), high[0].alias("x2"), high[1].alias("y2"))
+
+
+def detection_size(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column) -> Column:
+    """Sizes of a detection; an image that is smaller than the box (or unknown) counts as large as the box reaches."""
+    x1, y1, x2, y2 = (c.cast("int") for c in (x1, y1, x2, y2))
+    w, h = F.greatest(F.lit(1), x2 - x1), F.greatest(F.lit(1), y2 - y1)
+    image = F.greatest(F.lit(1), F.coalesce(width, F.lit(0)), x2, w) * F.greatest(F.lit(1), F.coalesce(height, F.lit(0)), y2, h)
+    ratio = (w * h) / image
+    return F.struct(w.alias("bbox_width"), h.alias("bbox_height"), ratio.alias("area_ratio"), (ratio * 100.0).alias("area_pct"), size_bucket(ratio).alias("size_bucket"))
+
+
+def detection_group(mode: str, class_name: Column, bucket: Column) -> Column:
+    """The group of a detection on a video page: ``Class``, ``Size``, ``Class + Size``, or one group of all."""
+    if mode == "Class":
+        return class_name
+    if mode == "Size":
+        return bucket
+    return F.concat_ws(" / ", class_name, bucket) if mode == "Class + Size" else F.lit("All crops")

@@ -103,3 +103,16 @@ def action_group(action: Column) -> Column:
     """Review group of an action, by the first of these marks that its name holds."""
     up = F.upper(action)
     return F.when(up.contains("USER_OVERRIDE"), "User keep").when(up.startswith("DROP"), "Drop candidate").when(up.contains("REPRESENTATIVE"), "Representative").when(up.contains("PROTECTED"), "Protected").otherwise("Keep")
+
+
+# Colours of actions (red, green, blue), by the first mark that holds.
+ACTION_COLORS = {"USER_OVERRIDE": (34, 197, 94), "DROP": (248, 113, 113), "PROTECT": (251, 191, 36), "REPRESENTATIVE": (52, 211, 153), "": (125, 211, 252)}
+
+
+def action_color(action: Column) -> Column:
+    """The colour of an action as ``#rrggbb``; ``DROP`` must stand first, other marks anywhere."""
+    up = F.upper(F.coalesce(action, F.lit("")))
+    out = F.lit("#%02x%02x%02x" % ACTION_COLORS[""])
+    for mark, rgb in reversed([x for x in ACTION_COLORS.items() if x[0]]):
+        out = F.when(up.startswith(mark) if mark == "DROP" else up.contains(mark), F.lit("#%02x%02x%02x" % rgb)).otherwise(out)
+    return out

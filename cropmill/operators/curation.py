@@ -78,14 +78,18 @@ def group_summary(records: DataFrame, rare_max: int = 5, boundary_count: int = 2
     return out.select(*keys, "count", "representative_idx", id_list(F.coalesce("b", F.array().cast("array<bigint>"))).alias("boundary_indices"), (F.col("count") <= rare_max).alias("is_rare_group"))
 
 
-def curation_recommendations(records: DataFrame, neighbors: DataFrame, near_threshold: float = 0.98, cross_threshold: float = 0.90, rare_max: int = 5, boundary_count: int = 2) -> DataFrame:
-    """An action and its reasons for every record: review, rare, representative, boundary, near duplicate, keep, in this order of weight."""
+def curation_recommendations(records: DataFrame, neighbors: DataFrame, near_threshold: float = 0.98, cross_threshold: float = 0.90, rare_max: int = 5, boundary_count: int = 2, known: DataFrame | None = None) -> DataFrame:
+    """An action and its reasons for every record: review, rare, representative, boundary, near duplicate, keep, in this order of weight.
+
+    ``known`` has the records that neighbours may be, where ``records`` are a sample of them.
+    """
+    known = records if known is None else known
     keys = ["class_id", "class_name", "size_bucket"]
     neighbors = settle(neighbors, "neighbors")  # read three times below; the search is what costs
-    near = near_duplicate_edges(neighbors, records, near_threshold)
-    cross = cross_class_edges(neighbors, records, cross_threshold)
+    near = near_duplicate_edges(neighbors, known, near_threshold)
+    cross = cross_class_edges(neighbors, known, cross_threshold)
     review = cross.select("record_idx").unionByName(cross.select(F.col("neighbor_idx").alias("record_idx"))).distinct().withColumn("review", F.lit(True))
-    dups = duplicate_groups(near, records).select("record_idx", F.lit(True).alias("dup"), "is_representative")
+    dups = duplicate_groups(near, known).select("record_idx", F.lit(True).alias("dup"), "is_representative")
     counts = records.groupBy(*keys).agg(F.count("*").alias("group_count"))
     medoid = medoids(records, keys).select(F.col("representative_idx").alias("record_idx"), F.lit(True).alias("medoid")).distinct()
     edge = boundaries(records, keys, boundary_count).select("record_idx", F.lit(True).alias("edge")).distinct()
@@ -94,7 +98,7 @@ def curation_recommendations(records: DataFrame, neighbors: DataFrame, near_thre
     rare, head = F.col("group_count") <= rare_max, is_("medoid") | is_("is_representative")
     action = F.when(is_("review"), "REVIEW_CROSS_CLASS").when(rare, "KEEP_RARE").when(head, "KEEP_REPRESENTATIVE").when(is_("edge"), "KEEP_BOUNDARY").when(is_("dup"), "DROP_NEAR_DUPLICATE").otherwise("KEEP")
     reason = F.concat_ws("; ", F.when(is_("review"), "high similarity to another class"), F.when(rare, "rare class/size group"), F.when(head, "group representative"), F.when(is_("edge"), "feature boundary sample"), F.when(action == "DROP_NEAR_DUPLICATE", "same-class same-size duplicate"))
-    return flags.select(*[c for c in ROW_BASE if c in records.columns], action.alias("action"), reason.alias("reason")).join(neighbor_summary(neighbors, records), "record_idx", "left")
+    return flags.select(*[c for c in ROW_BASE if c in records.columns], action.alias("action"), reason.alias("reason")).join(neighbor_summary(neighbors, known), "record_idx", "left")
 
 
 def image_rollup(recommendations: DataFrame, kind: str = "report", partial: bool = False) -> DataFrame:
@@ -122,7 +126,12 @@ def action_summary(recommendations: DataFrame) -> DataFrame:
 
 def sample_rows(rows: DataFrame, n: int, seed: int, id_col: str = "record_idx") -> DataFrame:
     """A bounded uniform sample without replacement: the ``n`` smallest MD5 sums of ``id:seed``. Sampling is the feature here."""
-    return rows.orderBy(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))), id_col).limit(n) if n > 0 else rows
+    return rows.orderBy(random_order(id_col, seed), id_col).limit(n) if n > 0 else rows
+
+
+def random_order(id_col: str, seed: int) -> Column:
+    """A sort key that shuffles rows, the same each time for one seed."""
+    return F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
 
 
 def is_drop(action: Column) -> Column:

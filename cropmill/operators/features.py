@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cropmill.functions.geometry import letterbox_shape
+from cropmill.operators.knn import knn_join
 
 #: Vector lengths of the named encoders that a caller may plug in.
 DIMENSIONS = {"resnet18": 512, "resnet50": 2048, "dinov2_vits14": 384, "detector_p3_p5": 1792}
@@ -48,9 +49,10 @@ def encode_records(records: DataFrame, make_encoder: Callable[[], Callable[[str,
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = make_encoder()
-        for frame in frames:
+
+        def done(rows: pd.DataFrame) -> pd.DataFrame:
             out = []
-            for path, group in frame.groupby("image_path", sort=False):
+            for path, group in rows.groupby("image_path", sort=False):
                 vectors = [None] * len(group)
                 for _ in range(attempts):
                     try:
@@ -59,7 +61,32 @@ def encode_records(records: DataFrame, make_encoder: Callable[[], Callable[[str,
                     except OSError:
                         continue
                 out.append(pd.DataFrame({"record_idx": group["record_idx"], "feature": vectors}))
-            if out:
-                yield pd.concat(out)
+            return pd.concat(out) if out else pd.DataFrame({"record_idx": [], "feature": []})
+
+        held = None
+        for frame in frames:
+            rows = frame if held is None else pd.concat([held, frame])
+            last = rows["image_path"] == rows["image_path"].iloc[-1] if len(rows) else rows["image_path"] == ""
+            held = rows[last]  # the last image may go on in the next batch
+            if not last.all():
+                yield done(rows[~last])
+        if held is not None and len(held):
+            yield done(held)
 
     return dealt.mapInPandas(run, "record_idx long, feature array<double>")
+
+
+def search_box(spark: SparkSession, base: DataFrame, make_encoder: Callable[[], Callable[[str, list[tuple]], list[np.ndarray]]], image_path: str, size: tuple[int, int], box: tuple | None = None, k: int = 10) -> DataFrame:
+    """``(neighbor_idx, similarity, rank)``: records of ``base`` most like a box of an image, or the whole image (a crop) without a box."""
+    x1, y1, x2, y2 = box or (0, 0, *size)
+    row = [(-1, image_path, (int(x1), int(y1), int(x2), int(y2)), size[0], size[1])]
+    ask = spark.createDataFrame(row, "record_idx long, image_path string, bbox struct<x1:int,y1:int,x2:int,y2:int>, image_width int, image_height int")
+    return knn_join(encode_records(ask, make_encoder), base, k, exclude_self=False).select("neighbor_idx", "similarity", "rank")
+
+
+def batch_size(memory_gb: float | None) -> int:
+    """Images that an accelerator of so much memory encodes at once; without one, one."""
+    if memory_gb is None:
+        return 1
+    # Least memory and batch.
+    return next((n for least, n in ((23, 8), (15, 6), (10, 4)) if memory_gb >= least), 2)

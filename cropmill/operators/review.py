@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cropmill.operators.curation import random_order
+
 from cropmill.functions.text import action_group
 
 # The review states.
@@ -78,7 +80,7 @@ def explore(frame: DataFrame, class_name: str | None = None, action: str | None
         q = text_query.strip()
         found = [F.lower(c).contains(q.lower()) for c in ("file_name", "image_path", "class_name", "action")] + [F.col(c).cast("string").contains(q) for c in ("reduction_group_id", "record_idx")]
         frame = frame.where(any_of(found))
-    order = [F.xxhash64(F.col("record_idx"), F.lit(seed)).asc()] if sort == "Random" else [F.desc(c) if down else F.asc(c) for c, down in EXPLORER_SORTS[sort]]
+    order = [random_order("record_idx", seed).asc()] if sort == "Random" else [F.desc(c) if down else F.asc(c) for c, down in EXPLORER_SORTS[sort]]
     return frame.withColumn("place", F.row_number().over(Window.orderBy(*order, F.asc("record_idx"))))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,16 +23,29 @@ def read_labels(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(root).select(F.col("_metadata.file_path").alias("label_path"), F.col("value").alias("content"))
 
 
-def label_pairs(root: str) -> list[tuple[str, str]]:
-    """(images, labels) folders below ``root``: any folder with ``labels`` beside ``JPEGImages`` or ``images``; those are not entered."""
-    out = []
-    for at, folders, _ in os.walk(root):
-        images = next((x for x in ("JPEGImages", "images") if x in folders), None)
-        if images and "labels" in folders:
-            out.append((os.path.join(at, images), os.path.join(at, "labels")))
-            folders[:] = [x for x in folders if x not in ("JPEGImages", "images", "labels")]
-        folders.sort()
-    return sorted(out)
+def label_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """``(images_root, labels_root)``: folders below ``root`` that hold ``labels`` beside ``JPEGImages`` or ``images``.
+
+    Folders come from Spark's own listing of files, on any file system it knows. Pairs inside such payload folders don't count.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    payload = r"^(.*)/(JPEGImages|images|labels)/"
+    # The first payload folder of a path is greedy-free: what stands before it holds none.
+    head = F.regexp_extract("path", r"^(.*?)/(?:JPEGImages|images|labels)/", 1)
+    kind = F.regexp_extract("path", r"^.*?/(JPEGImages|images|labels)/", 1)
+    found = files.where(F.col("path").rlike(payload)).select(head.alias("head"), kind.alias("kind")).distinct()
+    labels = found.where("kind = 'labels'").select("head")
+    pairs = found.where("kind <> 'labels'").join(labels, "head")
+    return pairs.select(F.concat_ws("/", "head", "kind").alias("images_root"), F.concat_ws("/", "head", F.lit("labels")).alias("labels_root"))
+
+
+def image_label_sources(spark: SparkSession, images_root: str, labels_root: str = "", layout: str = "single") -> DataFrame:
+    """``(image_path, images_root, labels_root)`` of a dataset: one pair of folders, or with layout ``nested`` every pair below ``images_root``."""
+    if layout != "nested":
+        return find_images(spark, images_root).select("image_path", F.lit(images_root).alias("images_root"), F.lit(labels_root).alias("labels_root"))
+    pairs = label_pairs(spark, images_root)
+    images = find_images(spark, images_root).select("image_path", F.regexp_extract("image_path", r"^(.*?/(?:JPEGImages|images))/", 1).alias("images_root"))
+    return images.join(pairs, "images_root").select("image_path", "images_root", "labels_root")
 
 
 def stem_key(path: F.Column, root: str) -> list[F.Column]:
@@ -43,12 +54,31 @@ def stem_key(path: F.Column, root: str) -> list[F.Column]:
     return [F.regexp_replace(rel, r"(^|/)[^/]*$", "").alias("rel_dir"), F.lower(F.regexp_extract(rel, r"([^/]*)$", 1)).alias("stem")]
 
 
-def match_images(labels: DataFrame, images: DataFrame, labels_root: str = "labels", images_root: str = "images") -> DataFrame:
-    """Label rows with their ``image_path``: same relative folder and stem in any case; of several the first lower-case name wins. Null if none."""
+def match_images(labels: DataFrame, images: DataFrame, labels_root: str = "labels", images_root: str = "images", others: DataFrame | None = None) -> DataFrame:
+    """Label rows with their ``image_path``: same relative folder and stem in any case; of several the first lower-case name wins. Null if none.
+
+    ``others`` (``image_path``) are files that the listing of images left out, links or late arrivals say; a label without an image takes
+    the one of its very stem whose suffix comes first in ``SUFFIXES``.
+    """
     key = ["rel_dir", "stem"]
     found = images.select("image_path", *stem_key(F.col("image_path"), images_root))
-    first = found.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(F.lower("image_path"), "image_path"))).where("r = 1").drop("r")
-    return labels.select("*", *stem_key(F.col("label_path"), labels_root)).join(first, key, "left").drop(*key)
+    first = found.groupBy(*key).agg(F.min_by("image_path", F.struct(F.lower("image_path"), "image_path")).alias("image_path"))
+    out = labels.select("*", *stem_key(F.col("label_path"), labels_root)).join(first, key, "left")
+    if others is not None:
+        own = ["rel_dir", "name"]
+        name = lambda c: F.regexp_extract(c, r"([^/]*)\.[^./]*$", 1).alias("name")
+        suffix = F.lower(F.concat(F.lit("."), F.regexp_extract("image_path", r"\.([^./]*)$", 1)))
+        more = others.select("image_path", *stem_key(F.col("image_path"), images_root)[:1], name("image_path"), F.array_position(F.lit(list(SUFFIXES)), suffix).alias("place")).where("place > 0")
+        more = more.groupBy(*own).agg(F.min_by("image_path", F.struct("place", "image_path")).alias("fallback"))
+        out = out.withColumn("name", name("label_path")).join(more, own, "left").withColumn("image_path", F.coalesce("image_path", "fallback")).drop("name", "fallback")
+    return out.drop(*key)
+
+
+def depth_first(path: F.Column) -> F.Column:
+    """A sort key that lists a folder's files before its subfolders, both by name, as a walk from the top does."""
+    parts = F.split(path, "/")
+    folders = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.concat(F.lit("1"), p))
+    return F.concat(folders, F.array(F.concat(F.lit("0"), F.element_at(parts, -1))))
 
 
 def label_path_for_image(path: F.Column, images_root: str = "images", labels_root: str = "labels") -> F.Column:
@@ -66,14 +96,15 @@ def parse_labels(files: DataFrame, class_filter: list[int] | None = None) -> Dat
 
 
 def records(parsed: DataFrame, class_names: DataFrame | None = None, expand: float = 0.0, least: int = 2, max_records: int = 0) -> DataFrame:
-    """Records of parsed labels with ``image_width`` and ``image_height``: pixel boxes, small ones left out, ids dense in path and line order."""
+    """Records of parsed labels with ``image_width`` and ``image_height``: pixel boxes, small ones left out, ids dense in the order of a walk from the top, then of lines."""
     box = box_from_center(F.col("cx"), F.col("cy"), F.col("w"), F.col("h"), F.col("image_width"), F.col("image_height"), expand)
     rows = parsed.where("image_path is not null and image_width is not null").withColumn("bbox", box).where(large_enough(F.col("bbox"), least)).drop("cx", "cy", "w", "h")
     if class_names is not None:
-        rows = rows.join(F.broadcast(class_names), "class_id", "left").withColumn("class_name", F.coalesce("class_name", F.col("class_id").cast("string")))
+        rows = rows.join(class_names, "class_id", "left").withColumn("class_name", F.coalesce("class_name", F.col("class_id").cast("string")))
     else:
         rows = rows.withColumn("class_name", F.col("class_id").cast("string"))
-    return dense_ids(rows, ["label_path", "annotation_line"], "record_id", max_records)
+    ordered = dense_ids(rows.withColumn("walk_", depth_first(F.col("label_path"))), ["walk_", "annotation_line"], "record_id", max_records)
+    return ordered.drop("walk_")
 
 
 def dense_ids(rows: DataFrame, order: list[str], out: str, most: int = 0) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cropmill.sources.labels import dense_ids
+
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Records of a ``.jsonl`` file (one object a line), a ``.json`` array, or a Parquet table; boxes become structs."""
@@ -58,13 +60,33 @@ def joined_index(records: DataFrame, features: DataFrame) -> DataFrame:
     return records.join(features, "record_idx")
 
 
-def sample_frames(detections: DataFrame, stride: int, max_frames: int = 0, max_detections: int = 0, frame_col: str = "frame_index") -> DataFrame:
-    """Detections of every ``stride``-th frame, of the first frames and detections only if bounded; ``det_id`` counts from 0 in frame order."""
+def sample_frames(detections: DataFrame, stride: int, max_frames: int = 0, max_detections: int = 0, frame_col: str = "frame_index", order_cols: tuple[str, ...] = ()) -> DataFrame:
+    """Detections of every ``stride``-th frame, of the first frames and detections only if bounded; ``det_id`` counts from 0 in frame order.
+
+    Detections of one frame are ordered by ``order_cols``, or by all other columns. Numbers come from a range sort, not from one task.
+    """
     rows = detections.where(F.pmod(F.col(frame_col), F.lit(stride)) == 0)
     if max_frames:
         rows = rows.where(F.col(frame_col) < max_frames * stride)
-    rows = rows.withColumn("det_id", F.row_number().over(Window.orderBy(frame_col)) - 1) if max_detections == 0 else rows.orderBy(frame_col).limit(max_detections).withColumn("det_id", F.row_number().over(Window.orderBy(frame_col)) - 1)
-    return rows
+    order = [frame_col, *(order_cols or [c for c in detections.columns if c != frame_col])]
+    return dense_ids(rows, order, "det_id", max_detections)
+
+
+def read_frame(frames: DataFrame, video: str, frame_index: int) -> DataFrame:
+    """The one row of a table of frames (``video``, ``frame_index``, ``content``) that a seek would read; none if it is out of range."""
+    return frames.where((F.col("video") == video) & (F.col("frame_index") == frame_index)).limit(1)
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """The summary or metadata object of a report: one row of a JSON file; an empty table if there is none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.option("multiLine", True).json(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "summary string")
 
 
 def read_report(spark: SparkSession, path: str, schema: str, rows: int = 0) -> DataFrame:
@@ -74,10 +96,13 @@ def read_report(spark: SparkSession, path: str, schema: str, rows: int = 0) -> D
 
 
 def write_reports(tables: dict[str, DataFrame], path: str) -> None:
-    """Each table as CSV with a header below ``path``."""
+    """Each table as CSV with a header below ``path``; the summary as JSON."""
     for name, table in tables.items():
         flat = table.select([F.to_json(c).alias(c) if kind.startswith(("struct", "array", "map")) else F.col(c) for c, kind in table.dtypes])
-        flat.write.csv(f"{path}/{name}", header=True, escape='"')
+        if name == "summary":
+            table.coalesce(1).write.json(f"{path}/{name}")
+        else:
+            flat.write.csv(f"{path}/{name}", header=True, escape='"')
 
 
 def latest(listing: DataFrame, path_col: str = "path", time_col: str = "mtime") -> DataFrame:

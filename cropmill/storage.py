@@ -75,6 +75,14 @@ def purge(spark: SparkSession) -> None:
     _delete(spark, own_folder(spark))
 
 
+def write_small(spark: SparkSession, name: str, text: str) -> None:
+    """Write one small text file from the driver, on any file system that Spark knows; a file of that name is replaced."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Let Arrow batches end at ``most`` bytes, so that long texts don't make long batches. A lower limit that is set stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

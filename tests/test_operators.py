@@ -7,11 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from cropmill.functions import text
-from cropmill.operators import clustering, curation, ivf, knn, reduction
+from cropmill import cli
+from cropmill.operators import clustering, curation, features, ivf, knn, reduction
 from cropmill.operators.graph import connected_components
 from cropmill.operators.groups import farthest_first
 from cropmill.plans import views
-from cropmill.sources import labels, records
+from cropmill.sources import export, labels, records
 from cropmill.streaming import frames
 
 
@@ -104,6 +105,89 @@ def test_density_and_tree_clusters():
     assert len(set(clustering.birch(x[:120], 0.5, 3))) == 3
 
 
+@pytest.mark.parametrize("method", ["kmeans", "birch", "hdbscan"])
+def test_scoped_clusters(spark, method):
+    rng = np.random.default_rng(1)
+    spots = {"a": [(0, 0), (5, 5)], "b": [(0, 0), (9, 0)]}
+    rows = [(i, name, at, (np.array(spots[name][at]) + rng.normal(0, 0.1, 2)).tolist()) for i, (name, at) in enumerate((n, a) for n in spots for a in (0, 1) for _ in range(40))]
+    df = spark.createDataFrame(rows, "record_idx long, class_name string, spot int, feature array<double>").repartition(5)
+    got = clustering.cluster(df, method, 4 if method == "hdbscan" else 2, "per_class", most=50).select("class_name", "spot", "cluster_label").collect()
+    assert len(got) == len(rows)
+    found = {(r.class_name, r.spot): set() for r in got}
+    for r in got:
+        found[r.class_name, r.spot].add(r.cluster_label)
+    if method == "hdbscan":
+        found = {k: v - {"a / noise", "b / noise"} for k, v in found.items()}
+    assert all(len(x) == 1 for x in found.values()) and len(set.union(*found.values())) == 4
+    assert clustering.cluster(df.where("false"), method, 2, "per_class").collect() == []
+
+
+def test_kmeans_and_components_against_numpy(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.4, (60, 3)) for c in ((0, 0, 0), (4, 0, 0), (0, 4, 1))]) * (3, 2, 1)
+    df = spark.createDataFrame([(i, "c", v.tolist()) for i, v in enumerate(x)], "record_idx long, class_name string, feature array<double>")
+    for scope in ("global", "per_class"):
+        labels_ = {r.record_idx: r.cluster_id for r in clustering.cluster(df, "kmeans", 3, scope).collect()}
+        own = np.array([labels_[i] for i in range(len(x))])
+        inertia = sum(((x[own == c] - x[own == c].mean(axis=0)) ** 2).sum() for c in set(own))
+        truth = np.repeat([0, 1, 2], 60)
+        assert inertia <= 1.05 * sum(((x[truth == c] - x[truth == c].mean(axis=0)) ** 2).sum() for c in range(3))
+    got = np.array([r.pc for r in clustering.projection(df, 3).orderBy("record_idx").collect()])
+    _, _, vt = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    vt *= np.sign(vt[range(3), np.abs(vt).argmax(axis=1)])[:, None]
+    assert np.allclose(got, (x - x.mean(axis=0)) @ vt.T, atol=1e-8)
+
+
+def test_large_trees_and_densities_are_feasible():
+    x = np.random.default_rng(3).normal(size=(4_000, 16))
+    assert len(set(clustering.birch(x, 0.5, 4))) == 4
+    assert len(clustering.hdbscan(x, 50, 5)) == 4_000
+
+
+def test_label_sources_and_export(spark, tmp_path):
+    root = tmp_path / "set"
+    for folder in ("a/JPEGImages", "a/labels", "b/c/images", "b/c/labels", "lone/images"):
+        (root / folder).mkdir(parents=True)
+        (root / folder / ("x.txt" if folder.endswith("labels") else "x.jpg")).write_bytes(b"0 .5 .5 .1 .1\n")
+    pairs = {(r.images_root.split("set/")[1], r.labels_root.split("set/")[1]) for r in labels.label_pairs(spark, str(root)).collect()}
+    assert pairs == {("a/JPEGImages", "a/labels"), ("b/c/images", "b/c/labels")}
+    assert labels.image_label_sources(spark, str(root), layout="nested").count() == 2
+    assert labels.image_label_sources(spark, str(root)).count() == 3
+    walk = spark.createDataFrame([("r/b/x",), ("r/z",), ("r/a",), ("r/a/q",)], "p string").orderBy(labels.depth_first(F.col("p"))).collect()
+    assert [r.p for r in walk] == ["r/a", "r/z", "r/a/q", "r/b/x"]
+    image, label = f"{root}/a/JPEGImages/x.jpg", f"{root}/a/labels/x.txt"
+    plan = [(image, label, "KEEP_IMAGE", "KEEP_OR_REVIEW"), (f"{root}/gone.jpg", f"{root}/gone.txt", "KEEP_IMAGE", "KEEP_OR_REVIEW"), ("d.jpg", "d.txt", "DROP_IMAGE_CANDIDATE", "SAFE_ONLY_IN_FULL_PLAN")]
+    images = spark.createDataFrame(plan, "image_path string, label_path string, image_action string, drop_safety string")
+    (tmp_path / "data.yaml").write_text("names: [cat, it's]\n")
+    row = export.export_reduced(spark, images, f"{tmp_path}/out", str(root), str(root), f"{tmp_path}/data.yaml", "copy").first()
+    assert (row.kept_images, row.drop_image_candidates, row.copied_images, row.missing_images, row.copied_labels, row.missing_labels) == (2, 1, 1, 1, 1, 1)
+    assert (tmp_path / "out/images/a/JPEGImages/x.jpg").exists() and (tmp_path / "out/labels/a/labels/x.txt").exists()
+    assert "it''s" in "".join(r.value for r in spark.read.text(f"{tmp_path}/out/reduced_data.yaml").collect())
+    assert records.read_summary(spark, f"{tmp_path}/out/reduced_dataset_summary.json").first()["mode"] == "copy"
+    assert records.read_summary(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_search_by_box_and_frames(spark):
+    make = lambda: lambda path, boxes: [np.array([1.0, b[2] - b[0]]) for b in boxes]
+    base = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0])], "record_idx long, feature array<double>")
+    assert [r.neighbor_idx for r in features.search_box(spark, base, make, "p", (640, 480), (0, 0, 3, 3), 2).orderBy("rank").collect()] == [1, 2]
+    assert features.search_box(spark, base, make, "p", (640, 480), None, 1).first().similarity == 640.0
+    assert [features.batch_size(g) for g in (None, 4, 10, 16, 80)] == [1, 2, 4, 6, 8]
+    frames_ = spark.createDataFrame([("v", 1, b"a"), ("v", 2, b"b")], "video string, frame_index long, content binary")
+    assert records.read_frame(frames_, "v", 2).first().content == bytearray(b"b") and records.read_frame(frames_, "v", 9).count() == 0
+
+
+def test_command_line(spark, sf, tmp_path):
+    rows = views.records(spark, sf)
+    rows.drop("feature", "embedding").write.parquet(f"{tmp_path}/records")
+    rows.select("record_idx", "feature").write.parquet(f"{tmp_path}/features")
+    for command, more, tables in (("curate", ["--max-records", "40"], 12), ("reduce", [], 8), ("calibrate", ["--class-filter", "class_3"], 4), ("search", ["--record", "7"], 1)):
+        cli.main([command, "--records", f"{tmp_path}/records", "--features", f"{tmp_path}/features", "--out", f"{tmp_path}/{command}", "--top-k", "5", *more])
+        assert len(list((tmp_path / command).iterdir())) == tables
+    row = spark.read.json(f"{tmp_path}/curate/summary").first()
+    assert (row.total_records, row.sampled_records, row.partial_report) == (rows.count(), 40, True)
+
+
 def test_farthest_first():
     x = np.array([[1.0, 0], [0.9, 0.1], [0, 1.0], [-1.0, 0]])
     taken = farthest_first(x, [10, 11, 12, 13], 3)
