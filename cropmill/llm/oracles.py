@@ -22,7 +22,10 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, l
   CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(h.s, 0.0::DOUBLE) END AS score, coalesce(h.n, 0) AS n_blocks
 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN h USING (doc_id)"""
 
-REPEATS = """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+REPEATS = f"""WITH pw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+ph AS (SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 50], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS i FROM pw WHERE len(w) >= 50)),
+pn AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 50)) AS k FROM ph WHERE h IN (SELECT h FROM ph GROUP BY h HAVING count(DISTINCT doc_id) > 1)) GROUP BY 1),
+d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
 p AS (SELECT doc_id, b, unnest(range(0, octet_length(b) - 399)) AS i FROM d),
 k AS (SELECT doc_id, i, md5(b[i + 1 : i + 400]) AS h FROM p),
 r AS (SELECT doc_id, i FROM k WHERE h IN (SELECT h FROM k GROUP BY h HAVING count(*) > 1)),
@@ -32,8 +35,8 @@ s AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS z FROM n GROUP BY 1, 2),
 c AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
 e AS (SELECT doc_id, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed, max(z) AS tail FROM s GROUP BY 1),
 o AS (SELECT doc_id, string_agg(hex(b[before + 1 : a]), '' ORDER BY a) AS x FROM c JOIN d USING (doc_id) GROUP BY 1)
-SELECT d.doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN n_spans IS NULL THEN b ELSE unhex(o.x || hex(b[tail + 1 :])) END) AS kept_sha256
-FROM d LEFT JOIN e USING (doc_id) LEFT JOIN o USING (doc_id)"""
+SELECT d.doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN n_spans IS NULL THEN b ELSE unhex(o.x || hex(b[tail + 1 :])) END) AS kept_sha256, coalesce(pn.n, 0) AS n_passage_words
+FROM d LEFT JOIN e USING (doc_id) LEFT JOIN o USING (doc_id) LEFT JOIN pn USING (doc_id)"""
 
 WARC = """WITH q AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS first FROM q WHERE payload_bytes >= 100 GROUP BY 1)

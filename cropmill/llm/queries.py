@@ -24,7 +24,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.without_repeats(table(spark, sf_dir, "documents"), span=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"), span=400, passage_words=50).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words")
 
 
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

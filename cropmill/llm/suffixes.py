@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cropmill.llm.wordhash import POWERS, mix, prefix_sums
+from cropmill.llm.passages import repeated_passages
+from cropmill.llm.wordhash import FOLD, POWERS, mix, prefix_sums
 from cropmill.storage import settle, small_batches
 
 #: Bytes of an anchor's gram.
@@ -448,11 +449,12 @@ def repeated_starts(texts: DataFrame, span: int = 400) -> DataFrame:
     return _merged(_runs(single.join(lists, ["k1", "k2"]), parts, span), parts, span)
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400) -> DataFrame:
-    """One row per document: ``id_col``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``kept`` (bytes, where any are removed), ``spans``.
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400, passage_words: int = 50) -> DataFrame:
+    """One row per document: ``id_col``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``kept`` (bytes, where any are removed), ``spans``, ``n_passage_words``.
 
     Bytes covered by a string of ``span`` bytes that starts anywhere else too (in any document, this one included) are removed; all
-    strings are judged on the input. ``spans`` is a flat array of start, end of the maximal removed runs. Null texts are empty. Texts
+    strings are judged on the input. ``n_passage_words`` counts the words in runs of ``passage_words`` words that another document has too,
+    whatever their bytes; they are reported, not removed (0: not counted). ``spans`` is a flat array of start, end of the maximal removed runs. Null texts are empty. Texts
     shorter than ``span`` stay whole. Repeated rows are copies of each other, of equal or null ids too. An empty table gives an empty
     table; other columns are ignored.
     """
@@ -460,40 +462,49 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     keyed = docs.select(F.col(id_col).alias("id"), body.alias("body")).select("id", "body", F.xxhash64("body").alias("k1"), F.xxhash64(F.lit(1), "body").alias("k2"))
     ranges_ = repeated_starts(keyed, span)
-    copies = keyed.where(F.octet_length("body") >= span).groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2", F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("last"))
+    least = min(span, 2 * passage_words - 1) if passage_words else span
+    copies = keyed.where(F.octet_length("body") >= least).groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2", F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("last"))
     mark = F.struct("first", "last")
     marks = ranges_.unionByName(copies).groupBy("k1", "k2").agg(F.collect_set(mark).alias("marks"), F.min("last").alias("least"))
     # A repeated text needs no ranges: all of it goes, and its rows may be many.
     marks = settle(marks.select("k1", "k2", F.when(F.col("least") < 0, F.array(F.struct(F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("last")))).otherwise(F.col("marks")).alias("marks")), "marks")
+    if passage_words:
+        passages = repeated_passages(keyed, passage_words)
+        marks = marks.join(passages, ["k1", "k2"], "full")
+    else:
+        marks = marks.withColumn("n_passage_words", F.lit(0).cast("long"))
     kind = docs.schema[id_col].dataType
 
     # Of a text that its task has met before, all is removed; its bytes need not be moved.
     def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            bodies, sizes, digests = [], [], []
+            bodies, sizes, digests, words = [], [], [], []
             for k1, k2, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(1), strict=True):
                 x = x.as_py()
                 sizes.append(len(x))
                 short = len(x) < span
                 digests.append(hashlib.sha256(x).hexdigest())
+                words.append(len(x.translate(FOLD).split()) if passage_words else 0)
                 bodies.append(None if short or (k1, k2) in seen else x)
                 if not short:
                     seen.add((k1, k2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary()), batch.column(2), batch.column(3), pa.array(sizes, pa.int64()), pa.array(digests)], names=["id", "body", "k1", "k2", "size", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary()), batch.column(2), batch.column(3), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(words, pa.int64())], names=["id", "body", "k1", "k2", "size", "digest", "words"])
 
-    rows = keyed.mapInArrow(light, T.StructType([T.StructField("id", kind), T.StructField("body", T.BinaryType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("size", T.LongType()), T.StructField("digest", T.StringType())]))
-    joined = rows.join(marks, ["k1", "k2"], "left").select("id", "body", "size", "digest", "marks")
+    rows = keyed.mapInArrow(light, T.StructType([T.StructField("id", kind), T.StructField("body", T.BinaryType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("size", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("words", T.LongType())]))
+    joined = rows.join(marks, ["k1", "k2"], "left").select("id", "body", "size", "digest", "marks", "words", "n_passage_words")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = hashlib.sha256(b"").hexdigest()
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for x, size, digest, marks in zip(*(batch.column(c) for c in range(1, 5)), strict=True):
-                size, marks = size.as_py(), marks.as_py()
+            cols: list[list] = [[] for _ in range(7)]
+            for x, size, digest, marks, words, passages in zip(*(batch.column(c) for c in range(1, 7)), strict=True):
+                size, marks, words = size.as_py(), marks.as_py(), words.as_py()
+                many = bool(marks) and any(m["last"] < 0 for m in marks)
+                passages = (words if words >= passage_words else 0) if many else passages.as_py() or 0
                 if not marks or size < span:
                     row = (size, 0, 0, digest.as_py(), None, [])
-                elif any(m["last"] < 0 for m in marks):
+                elif many:
                     row = (size, size, 1, empty, b"", [0, size])
                 else:
                     runs: list[list[int]] = []
@@ -508,9 +519,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         at = b
                     kept = b"".join([*kept, text[at:]])
                     row = (size, size - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept, [v for r in runs for v in r])
-                for c, v in zip(cols, row, strict=True):
+                for c, v in zip(cols, (*row, passages), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64())), strict=True))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.int64()), strict=True))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans", "n_passage_words"])
 
-    schema = T.StructType([T.StructField(id_col, kind), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField(id_col, kind), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("n_passage_words", T.LongType())])
     return joined.mapInArrow(cut, schema)

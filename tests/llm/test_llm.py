@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cropmill.llm import chat, licenses, nearcopies, packing, quality, secretscan, simhash, suffixes, vptree, warc, winnowing
+from cropmill.llm import chat, licenses, nearcopies, packing, passages, quality, secretscan, simhash, suffixes, vptree, warc, winnowing
 from cropmill.llm.queries import ORACLE_SQL, QUERIES, table, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -148,6 +148,40 @@ def test_repeats_against_brute_force(spark, monkeypatch, hot):
     assert got == brute_repeats(texts)
 
 
+def test_passages_across_documents(spark, monkeypatch):
+    monkeypatch.setattr(passages, "MOST_ANCHORS", 20)
+    rng = random.Random(31)
+    fresh = lambda n: [f"{rng.getrandbits(rng.choice((4, 24))):x}" for _ in range(n)]
+    shared = [fresh(n) for n in (49, 50, 51, 60, 130)]
+    texts = [None, "", " ".join(fresh(40)), " ".join(shared[3]), " ".join(shared[3]), "la " * 49, "la " * 60, "La-" * 200, "x " * 50]
+    for s in shared * 2:
+        texts.append(" ".join(fresh(rng.randint(0, 60)) + s + fresh(rng.randint(0, 60))).upper())
+    texts.append(" ".join(shared[4][20:90] + fresh(1) + shared[4][100:] + shared[2]))
+    found = [words(t) for t in texts]
+    seen = {}
+    for i, w in enumerate(found):
+        for at in range(len(w) - 49):
+            seen.setdefault(tuple(w[at : at + 50]), set()).add(i)
+    want = [len({k for at in range(len(w) - 49) if len(seen[tuple(w[at : at + 50])]) > 1 for k in range(at, at + 50)}) for w in found]
+    got = {r.doc_id: r for r in suffixes.without_repeats(docs(spark, texts).repartition(4)).collect()}
+    assert [got[i].n_passage_words for i in range(len(texts))] == want and sum(n > 0 for n in want) >= 10
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.values()) == brute_repeats(texts)
+
+
+def test_repeats_in_very_long_texts(spark):
+    rng = random.Random(32)
+    long = rng.randbytes(3 << 20).hex()[: (5 << 20) + 77]
+    at = (2 << 20) - 200  # across the place where pieces are cut
+    other = "é" + long[at : at + 1_000] + "tail" + long[(4 << 20) - 1 : (4 << 20) + 399]
+    rows = docs(spark, [long, other, long[:399], None, None, "b" * 400], [1, 2, 3, None, 4, None])
+    got = {r.doc_id: r for r in suffixes.without_repeats(rows).where("doc_id is not null").collect()}
+    kept = long[:at] + long[at + 1_000 : (4 << 20) - 1] + long[(4 << 20) + 399 :]
+    assert (got[1].n_bytes, got[1].n_removed, got[1].n_spans) == (len(long), 1_400, 2)
+    assert got[1].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
+    assert (got[2].n_removed, got[2].n_spans, got[2].kept_sha256) == (1_400, 2, hashlib.sha256("étail".encode()).hexdigest())
+    assert (got[3].n_removed, got[4].n_bytes, got[4].n_removed) == (0, 0, 0)
+
+
 def test_repeats_of_nothing(spark):
     assert suffixes.without_repeats(docs(spark, []).where("false")).collect() == []
 
