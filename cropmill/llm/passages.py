@@ -108,10 +108,11 @@ def repeated_passages(texts: DataFrame, words: int = 50) -> DataFrame:
     held = parts[0]
     for p in parts[1:]:
         held = held.unionByName(p)
-    again = held.groupBy("h").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("h")
+    # Written first, so that the join meets plain exchanges, whose large partitions (a window that very many texts have) Spark can split.
+    again = settle(held.groupBy("h").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("h"), "repeated-windows")
     places = held.join(again, "h").groupBy("k1", "k2").agg(F.array_sort(F.collect_set("at")).alias("at"))
     # Starts ascend: a window adds the words up to the next one's start, and all of its own if that is beyond.
     covered = bound(F.col("at"), lambda at: F.aggregate(F.transform(at, lambda s, i: F.least(F.lit(words).cast("long"), F.coalesce(F.get(at, i + 1) - s, F.lit(words).cast("long")))), F.lit(0).cast("long"), lambda a, n: a + n))
     out = settle(places.select("k1", "k2", covered.alias("n_passage_words")), "passages")
-    release(shared, *parts)
+    release(shared, again, *parts)
     return out

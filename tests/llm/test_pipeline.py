@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -99,3 +100,45 @@ def test_packing_holds_every_token(stages):
     for p in after:
         got[p.doc_id] = got.get(p.doc_id, 0) + p.length
     assert got == want
+
+
+EDGE = [
+    (1, None, "en", "web", 0),
+    (None, "a small text without an id", None, None, None),
+    (None, "a small text without an id", None, None, None),
+    (2, "", None, "web", 0),
+    (3, "plain words " * 30_000, "en", None, None),
+    (4, "plain words " * 30_000, "en", None, None),
+    (5, "the door: password=hunter2hunter2 is here", "en", "web", 41),
+    (5, "the door: password=hunter2hunter2 is here", "en", "web", 41),
+    (6, "\x00\uffff é 漢字 \t\r\n", "xx", "web", 9),
+]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_edge_cases(spark, tmp_path, name):
+    sf, stage = "/root/testdata/sf0.001", dict(corpus_pipeline.STAGES)[name]
+    plain = spark.createDataFrame(EDGE, "doc_id long, text string, lang string, source string, n_chars long")
+    rows = plain
+    for c in ("clean", "secret_spans", "quality_score", "row", "rank", "body", "id", "node", "runs"):
+        rows = rows.withColumn(c, F.lit("clash"))
+    rows.repartition(3).write.parquet(f"{tmp_path}/in")
+    docs = spark.read.parquet(f"{tmp_path}/in")
+    out = stage(spark, docs, sf).collect()
+    none = stage(spark, docs.where("false"), sf)
+    assert none.collect() == []
+    if name == "packing":
+        ids = {r.doc_id for r in out}
+        assert ids == {None, 1, 2, 3, 4, 5, 6}
+        return
+    assert none.columns == list(corpus_pipeline.COLUMNS)
+    got = sorted((tuple(r) for r in out), key=repr)
+    if name == "near_duplicates":  # of equal texts (null and empty ones too) and of repeated rows one stays
+        assert got == sorted((EDGE[i] for i in (0, 1, 4, 6, 8)), key=repr)
+    elif name == "decontamination":
+        assert got == sorted(EDGE, key=repr)
+    elif name == "secrets":
+        clean = [(*r[:1], "the door: [SECRET] is here", *r[2:4], 26) if r[0] == 5 else r for r in EDGE]
+        assert got == sorted(clean, key=repr)
+    else:
+        assert set(got) <= set(EDGE) and all(got.count(r) in (0, EDGE.count(r)) for r in EDGE)
