@@ -197,9 +197,10 @@ class Groups:
 
 def link_edges(distinct: DataFrame, bits: int = 4, fp: str = "fp") -> DataFrame:
     """``(src, dst)`` of a table of distinct fingerprints: pairs whose components are those of all links of at most ``bits`` bits."""
-    # Dealt out by number first: the few bytes of fingerprints would else be read by one or two tasks, which make 69 times as much of them.
+    # Dealt out by number first: the few bytes of fingerprints would else be read by one or two tasks, which make 69 times as much of them. (By ``fp``
+    # itself Spark would leave the exchange out.)
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    probes = distinct.select(fp).repartition(parts, fp).select(F.explode(ring_keys(fp, bits)).alias("key"), F.col(fp).alias("fp"))
+    probes = distinct.select(fp).repartition(parts, F.xxhash64(fp)).select(F.explode(ring_keys(fp, bits)).alias("key"), F.col(fp).alias("fp"))
     dealt = probes.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
