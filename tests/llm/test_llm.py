@@ -629,3 +629,21 @@ def test_relaxed_pruning_keeps_recall(spark, sf):
     ask = rows.where("vec_id % 20 = 0")
     exact, loose = ({(r.query_id, r.vec_id) for r in vptree.nearest(rows, ask, k=20, factor=f).collect()} for f in (1.0, 1.1))
     assert len(exact & loose) / len(exact) >= 0.9
+
+
+def test_forest_against_a_plain_traversal():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 7))
+    x[::9, 3] = 0.0
+    y = (x[:, 0] + x[:, 3] * x[:, 1] > 0.2).astype(float)
+    forest = quality.fit(x, y, trees=20)
+    inner = forest.feature.shape[1]
+    for row, got in zip(x, forest.score(x), strict=True):
+        total = forest.base
+        for feature, split, value in zip(forest.feature, forest.split, forest.value, strict=True):
+            at = 0
+            while at < inner:
+                at = 2 * at + (2 if row[feature[at]] > split[at] else 1)
+            total += value[at - inner]
+        assert abs(got - 1 / (1 + math.exp(-total))) < 1e-12
+    assert ((forest.score(x) >= 0.5) == (y == 1)).mean() > 0.95
