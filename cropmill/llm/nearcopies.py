@@ -197,9 +197,9 @@ def similar(pivot: np.ndarray, others: list[np.ndarray], similarity: float) -> n
 class NearCopies:
     """The steps of ``deduplicated`` over one table; every step's rows are written to the shared folder."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, bits: int, block_rows: int, block_bytes: int) -> None:
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, bits: int, block_rows: int, block_bytes: int, block_pairs: int) -> None:
         small_batches(docs.sparkSession)
-        self.shingle, self.similarity, self.bits, self.block_rows, self.block_bytes = shingle, similarity, bits, block_rows, block_bytes
+        self.shingle, self.similarity, self.bits, self.block_rows, self.block_bytes, self.block_pairs = shingle, similarity, bits, block_rows, block_bytes, block_pairs
         # A row is known by two hashes of all that it holds, whichever task reads it; nulls are told apart by their flags.
         whole = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
         ident = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(F.lit(1), *whole).alias("ka"), F.xxhash64(F.lit(2), *whole).alias("kb"))
@@ -283,14 +283,18 @@ class NearCopies:
         """``(src, dst)``: the distinct pairs ``(a, b)`` of nodes whose sets are similar.
 
         The nodes of a component of pairs are dealt into blocks; each two blocks with a pair are a unit of work. So a set is sent once
-        where its component is one block, else once for each block that it is compared with, and memory is two blocks.
+        where its component is one block, else once for each block that it is compared with, and memory is two blocks. Components of many
+        pairs have more blocks, so that their checks spread over tasks too.
         """
         similarity = self.similarity
         pairs = settle(self.possible(pairs.distinct(), nodes), "pairs")
         roots = connected_components(pairs, "a", "b")
         homes = roots.join(nodes.select("node", "rank", "size"), "node")
         sums = homes.groupBy("root").agg(F.count("*").alias("rows"), F.sum(8 * F.col("size")).alias("bytes"))
-        sums = sums.select("root", F.greatest(F.ceil(F.col("rows") / self.block_rows), F.ceil(F.col("bytes") / self.block_bytes)).alias("parts"))
+        asked = pairs.join(roots, pairs["a"] == roots["node"]).groupBy("root").agg(F.count("*").alias("pairs"))
+        # Of k blocks two share some 2 / k ** 2 of the pairs.
+        enough = [F.col("rows") / self.block_rows, F.col("bytes") / self.block_bytes, F.sqrt(2 * F.col("pairs") / self.block_pairs)]
+        sums = sums.join(asked, "root").select("root", F.greatest(*[F.ceil(x) for x in enough]).alias("parts"))
         homes = settle(homes.join(sums, "root").select("node", "rank", "root", F.pmod(F.xxhash64("node"), "parts").alias("part")), "homes")
         of_a = homes.select(F.col("node").alias("a"), "root", F.col("part").alias("x"))
         of_b = homes.select(F.col("node").alias("b"), F.col("part").alias("y"))
@@ -416,14 +420,14 @@ class NearCopies:
         return out
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 4, block_rows: int = 1_000, block_bytes: int = 16 << 20) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 4, block_rows: int = 1_000, block_bytes: int = 16 << 20, block_pairs: int = 2_000) -> DataFrame:
     """The rows of ``docs`` of which no other row of their group has a smaller id: one document of each group stays.
 
     Groups are components over all pairs whose word shingles have at least this Jaccard similarity. Rows of equal shingles are one node.
     Fingerprints within ``bits`` bits, and some partners for each token of a prefix, give the first candidates; then all pairs under a
     token that these links leave in different components are candidates. Every link is checked on whole sets, in blocks of ``block_rows``
-    and ``block_bytes`` on average; results do not depend on block sizes. Null ids count as larger than any; of rows of equal ids, and of
+    and ``block_bytes`` on average, two of which have some ``block_pairs`` pairs; results do not depend on block sizes. Null ids count as larger than any; of rows of equal ids, and of
     equal rows, one stays. Null texts are empty ones, which are copies of each other. An empty table gives an empty table. All columns are
     kept, whatever their names.
     """
-    return NearCopies(docs, id_col, text_col, shingle, similarity, bits, block_rows, block_bytes).stay()
+    return NearCopies(docs, id_col, text_col, shingle, similarity, bits, block_rows, block_bytes, block_pairs).stay()
