@@ -5,7 +5,8 @@ without comment marks, is one block. A block matches a template if it holds at l
 distinct words. Template words are put in one global order, rarest first by the number of documents that hold them; a block of enough
 overlap must hold one of a template's first ``|t| - alpha + 1`` words (prefix filter, ``alpha``: the least overlap), have at least
 ``alpha`` template words (length filter), and, if the first common word of both is the template's i-th and j template words of the
-block remain from it on, reach ``alpha`` with what remains (positional filter). What is left is counted exactly.
+block remain from it on, reach ``alpha`` with what remains (positional filter). What is left is counted exactly. Blocks meet templates
+through an index from prefix words to templates, so a block never looks at a template without a common prefix word.
 
 Texts without any prefix word are told apart by one regular-expression test and never cut into blocks. The templates are a parameter of
 bounded size, so their side is broadcast.
@@ -102,6 +103,15 @@ def _templates(docs: DataFrame, templates: list[tuple[str, str]], threshold: flo
     return out
 
 
+def prefix_index(templates: list[dict], words: int) -> list[list[int]]:
+    """For each word of the global order the places in ``templates`` of those that have it in their prefix."""
+    index: list[list[int]] = [[] for _ in range(words)]
+    for place, t in enumerate(templates):
+        for rank in t["prefix"]:
+            index[rank].append(place)
+    return index
+
+
 def block_matches(text: Column, templates: list[dict], vocabulary: list[str]) -> Column:
     """(label, containment) of each block and template that it holds: the join of a text's blocks with the templates.
 
@@ -109,6 +119,7 @@ def block_matches(text: Column, templates: list[dict], vocabulary: list[str]) ->
     """
     kind = "array<struct<label:string,size:int,alpha:int,prefix:array<int>,ranks:array<int>>>"
     sides = F.from_json(F.lit(json.dumps([{k: t[k] for k in ("label", "size", "alpha", "prefix", "ranks")} for t in templates])), kind)
+    index = F.from_json(F.lit(json.dumps(prefix_index(templates, len(vocabulary)))), "array<array<int>>")
     known = F.lit(vocabulary)
     ranks = F.transform(F.split(text, BLOCK_END, -1), lambda b: F.array_sort(F.transform(F.array_intersect(F.split(lowered(b), rf"{GAP}+", -1), known), lambda w: F.array_position(known, w).cast("int") - 1)))
     least = min(t["alpha"] for t in templates)
@@ -117,9 +128,11 @@ def block_matches(text: Column, templates: list[dict], vocabulary: list[str]) ->
         def possible(t: Column) -> Column:
             common = F.array_min(F.array_intersect(block, t["prefix"]))
             rest = F.least(t["size"] - F.array_position(t["ranks"], common), F.size(block) - F.array_position(block, common))
-            return (F.size(block) >= t["alpha"]) & common.isNotNull() & (1 + rest >= t["alpha"])
+            return (F.size(block) >= t["alpha"]) & (1 + rest >= t["alpha"])
 
-        shared = F.transform(F.filter(sides, possible), lambda t: F.struct(t["label"].alias("label"), F.size(F.array_intersect(block, t["ranks"])).alias("n"), t["alpha"].alias("alpha"), t["size"].alias("size")))
+        met = F.array_sort(F.array_distinct(F.flatten(F.transform(block, lambda rank: F.get(index, rank)))))
+        near = F.filter(F.transform(met, lambda place: F.get(sides, place)), possible)
+        shared = F.transform(near, lambda t: F.struct(t["label"].alias("label"), F.size(F.array_intersect(block, t["ranks"])).alias("n"), t["alpha"].alias("alpha"), t["size"].alias("size")))
         return F.transform(F.filter(shared, lambda t: t["n"] >= t["alpha"]), lambda t: F.struct(t["label"].alias("label"), (t["n"] / t["size"]).alias("score")))
 
     return F.flatten(F.transform(F.filter(ranks, lambda r: F.size(r) >= least), join))

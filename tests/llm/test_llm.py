@@ -80,6 +80,11 @@ def test_license_join_is_exact(spark):
         assert got[i].n_blocks == n, text
 
 
+def test_license_index_holds_all_prefixes():
+    templates = [{"prefix": [0, 2]}, {"prefix": [2]}, {"prefix": [1]}]
+    assert licenses.prefix_index(templates, 4) == [[0], [2], [0, 1], []]
+
+
 #: Notices as they stand in source files.
 WRAPPED = {
     "mit": "/*\n * Permission is hereby granted, free of charge, to any person obtaining a\n * copy of this software and associated\n * documentation files (the \"Software\"), to deal\n */",
@@ -268,8 +273,8 @@ def test_appended_and_replaced_blocks_are_near_copies(spark, tmp_path):
     assert kept == {*range(0, 2 * pairs, 2), 2 * pairs}
 
 
-@pytest.mark.parametrize("rows_a_block", [4_000, 5])
-def test_a_large_group_keeps_all_its_links(spark, tmp_path, rows_a_block):
+@pytest.mark.parametrize(("rows_a_block", "pairs_between"), [(4_000, 2_000), (5, 2_000), (4_000, 3)])
+def test_a_large_group_keeps_all_its_links(spark, tmp_path, rows_a_block, pairs_between):
     rng = random.Random(13)
     base = [f"{rng.getrandbits(40):x}" for _ in range(404)]
     texts = []
@@ -278,7 +283,7 @@ def test_a_large_group_keeps_all_its_links(spark, tmp_path, rows_a_block):
         w[at : at + 30] = [f"{rng.getrandbits(40):x}" for _ in range(30)]
         texts.append(" ".join(w))
     docs(spark, [" ".join(base), *texts], [30, *range(30), *range(31, 61)]).write.parquet(f"{tmp_path}/d")
-    kept = {r.doc_id for r in nearcopies.deduplicated(spark.read.parquet(f"{tmp_path}/d"), block_rows=rows_a_block).collect()}
+    kept = {r.doc_id for r in nearcopies.deduplicated(spark.read.parquet(f"{tmp_path}/d"), block_rows=rows_a_block, block_pairs=pairs_between).collect()}
     assert kept == {0}
 
 
