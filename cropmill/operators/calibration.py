@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cropmill.operators.curation import with_sides
+from cropmill.functions.text import matches_class
+from cropmill.operators.curation import sample_rows, with_sides
+from cropmill.operators.knn import knn_join
 
 # The thresholds reported.
 THRESHOLDS = (0.70, 0.75, 0.80, 0.85, 0.88, 0.90, 0.92, 0.95, 0.97, 0.98)
@@ -27,6 +29,12 @@ def detail(neighbors: DataFrame, records: DataFrame, width: float = 0.02) -> Dat
     return rows.select("record_idx", "class_id", "class_name", "file_name", "t.*", "topk_same_class_ratio", "m.topk_majority_class", (F.col("m.majority_count") / F.col("topk")).alias("topk_majority_ratio"), "topk", start.alias("similarity_bin_start"), F.format_string("%.3f-%.3f", start, start + w).alias("similarity_bin"))
 
 
+def sampled_detail(records: DataFrame, most: int, seed: int, class_filter: str = "", k: int = 10, width: float = 0.02) -> DataFrame:
+    """``detail`` for a sample of at most ``most`` records (0: all) of a class, searched among all records."""
+    own = records.where(matches_class(class_filter, F.col("class_id"), F.col("class_name")))
+    return detail(knn_join(sample_rows(own, most, seed), records, k), records, width)
+
+
 def _pct(x) -> F.Column:
     return F.round(F.avg(x) * 100.0, 2)
 

@@ -341,11 +341,18 @@ def nearest_other_class(neighbors: DataFrame, rows: DataFrame) -> DataFrame:
     return sided.groupBy("record_idx").agg(F.min_by(F.struct(F.col("neighbor_idx").alias("other_idx"), "distance"), "rank").alias("n")).select("record_idx", "n.*")
 
 
-def overlap(near: DataFrame, percentile: float) -> tuple[DataFrame, DataFrame]:
-    """Records within the percentile of distances to another class with their partners, and the pairs, each once."""
+def overlap(near: DataFrame, percentile: float, max_points: int = 0, max_pairs: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Records within the percentile of distances to another class with their partners, and the pairs, each once.
+
+    A report asks for the nearest ``max_points`` records and ``max_pairs`` pairs, by distances of five places, then by ids.
+    """
     bound = near.agg(F.expr(f"percentile(distance, {percentile / 100})").alias("bound"))
     seeds = near.join(F.broadcast(bound)).where("distance <= bound").drop("bound")
     ids = seeds.select("record_idx").union(seeds.select(F.col("other_idx").alias("record_idx"))).distinct()
     points = near.join(ids, "record_idx", "left_semi")
     pairs = seeds.groupBy(F.least("record_idx", "other_idx").alias("a"), F.greatest("record_idx", "other_idx").alias("b")).agg(F.round(F.min("distance"), 5).alias("distance"))
+    if max_points:
+        points = points.orderBy(F.round("distance", 5), "record_idx").limit(max_points)
+    if max_pairs:
+        pairs = pairs.orderBy("distance", "a", "b").limit(max_pairs)
     return points, pairs

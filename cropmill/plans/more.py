@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cropmill.functions import geometry, text
-from cropmill.operators import curation, galleries, outputs
+from cropmill.operators import calibration, clustering, curation, galleries, outputs
 from cropmill.operators.knn import knn_join
 from cropmill.plans import cover
-from cropmill.plans.core import CAL, IMAGE_PLAN, TIGHT, _detail
+from cropmill.plans.core import CAL, IMAGE_PLAN, TIGHT, W, _detail
 from cropmill.plans.extras import _detector_rows
-from cropmill.plans.reports import _CL, _clustered, _groups, _images, _label_files
+from cropmill.plans.reports import _CL, _OV, _clustered, _groups, _images, _label_files, _near3
 from cropmill.plans.views import BOUNDARY, CROSS, GRP, MEM, NEAR, RARE, REC, medoid, members, nb, neighbors, records, sql
 from cropmill.sources import labels
 
@@ -165,3 +165,24 @@ def reduction_keep_drop(spark, sf):
 {NEAR}::DOUBLE AS tight_threshold, {CROSS}::DOUBLE AS protect_cross_class_threshold, true AS same_class_only, true AS same_size_only, false AS partial_plan""", *_RED, IMAGE_PLAN))
 def reduction_summary(spark, sf):
     return _reduced(spark, sf)["summary"]
+
+
+_CAL_SAMPLE = "qs AS (SELECT record_idx FROM rec WHERE class_id = 3 ORDER BY md5(record_idx || ':7'), record_idx LIMIT 20)"
+_CAL_NB = nb(10).replace("nb AS (", "nb0 AS (", 1) + ",\nnb AS (SELECT * FROM nb0 WHERE record_idx IN (SELECT record_idx FROM qs))"
+
+
+@query(sql("SELECT record_idx, top1_record_idx, topk_majority_class, similarity_bin FROM cald", REC, _CAL_SAMPLE, _CAL_NB, CAL))
+def calibration_of_a_class(spark, sf):
+    """A sample of one class (the sample is the feature) against all records."""
+    rows = calibration.sampled_detail(records(spark, sf), 20, 7, "3: class_3", 10, W)
+    return rows.select("record_idx", "top1_record_idx", "topk_majority_class", "similarity_bin")
+
+
+@query(sql("SELECT record_idx, round(distance, 5) AS distance FROM no WHERE record_idx IN (SELECT record_idx FROM sd UNION SELECT other_idx FROM sd) ORDER BY round(distance, 5), record_idx LIMIT 25", REC, _OV))
+def overlap_nearest_points(spark, sf):
+    return clustering.overlap(_near3(spark, sf), 20, max_points=25)[0].select("record_idx", F.round("distance", 5).alias("distance"))
+
+
+@query(sql("SELECT least(record_idx, other_idx) AS a, greatest(record_idx, other_idx) AS b, round(min(distance), 5) AS distance FROM sd GROUP BY 1, 2 ORDER BY 3, 1, 2 LIMIT 30", REC, _OV))
+def overlap_nearest_pairs(spark, sf):
+    return clustering.overlap(_near3(spark, sf), 20, max_pairs=30)[1]
