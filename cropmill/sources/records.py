@@ -21,6 +21,21 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def open_store(spark: SparkSession, path: str) -> DataFrame:
+    """The records of an index folder: of ``records.parquet``, ``records.json`` and ``records.jsonl`` the first that is there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name in ("records.parquet", "records.json", "records.jsonl"):
+        if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, name)):
+            return read_records(spark, f"{path.rstrip('/')}/{name}")
+    raise FileNotFoundError(f"no records in {path}")
+
+
+def fetch(store: DataFrame, *ids: int) -> DataFrame:
+    """The records of some ids; on Parquet the filter reaches the scan, which skips row groups."""
+    return store.where(F.col("record_idx").isin(*ids))
+
+
 def write_records(rows: DataFrame, path: str, kind: str = "parquet") -> None:
     """Parquet, or JSON lines with boxes as arrays of four."""
     if kind == "json":

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cropmill.functions import text
 from cropmill import cli
-from cropmill.operators import clustering, curation, features, ivf, knn, reduction
+from cropmill.operators import calibration, clustering, curation, features, ivf, knn, outputs, reduction
 from cropmill.operators.graph import connected_components
 from cropmill.operators.groups import farthest_first
 from cropmill.plans import views
@@ -235,3 +235,28 @@ def test_stream(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert len(got) == 15
+
+
+def test_record_store(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        records.open_store(spark, str(tmp_path))
+    (tmp_path / "records.jsonl").write_text('{"record_idx": 0, "class_id": 9, "bbox_xyxy": [1, 2, 3, 4]}\n')
+    assert [r.class_id for r in records.open_store(spark, str(tmp_path)).collect()] == [9]
+    (tmp_path / "records.json").write_text('[{"record_idx": 0, "class_id": 1, "bbox_xyxy": [1, 2, 3, 4]}, {"record_idx": 7, "class_id": 2, "bbox_xyxy": [0, 0, 5, 6]}]')
+    rows = records.open_store(spark, str(tmp_path))  # the array comes before the lines
+    assert [(r.class_id, tuple(r.bbox)) for r in records.fetch(rows, 7, 8).collect()] == [(2, (0, 0, 5, 6))]
+
+
+def test_no_records_give_empty_results(spark, sf):
+    none = views.records(spark, sf).where("record_idx < 0")
+    near = knn.knn_join(none, none, 5)
+    assert near.count() == 0
+    for tables in (outputs.curation_outputs(none, none, near, 0.9, 0.9, 5, 2, False), outputs.reduction_outputs(none, none, near, 0.9, 0.9, 1, False)):
+        assert {name: t.count() for name, t in tables.items() if name != "summary" and t.count()} == {}
+        assert tables["summary"].count() == 1
+    detail = calibration.detail(near, none)
+    assert detail.count() == 0 and calibration.bins(detail).count() == 0 and calibration.thresholds(detail).count() == 0
+    assert calibration.sampled_detail(none, 5, 1).count() == 0
+    for method in ("kmeans", "bisecting", "birch", "hdbscan"):
+        done = clustering.cluster(clustering.projection(none, 3), method, 4)
+        assert done.count() == 0 and clustering.summarize(done).count() == 0
