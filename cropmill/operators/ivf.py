@@ -2,7 +2,8 @@
 
 A query is compared with the codes of the rows of its nearest cells: the inner product is that with the cell's centre and, for each
 subspace, that with the row's code word, looked up in a table of the query. Blocks of a cell's rows meet blocks of the queries that probe
-it; the best by codes are scored exactly where both vectors are, so no vector is joined to a candidate.
+it; the best by codes are scored exactly where both vectors are, so no vector is joined to a candidate. Where all rows are to be reranked,
+codes decide nothing, and each pair of blocks gives a query's best by exact scores at once.
 """
 
 from __future__ import annotations
@@ -58,13 +59,34 @@ def code_books(residual: np.ndarray, m: int, seed: int, words: int = 256, rounds
     return books
 
 
+def best_pairs(q: np.ndarray, b: np.ndarray, qi: np.ndarray, bi: np.ndarray, k: int, most: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids of both and cosines: for each row of ``q`` the ``k`` best other rows of ``b``, ties to smaller ids; ``most`` scores are held at once."""
+    q, b = (x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12) for x in (q, b))
+    m, step = min(k, len(b)), max(1, most // len(b))
+    for start in range(0, len(q), step):
+        own, ids = q[start : start + step], qi[start : start + step]
+        s = own @ b.T
+        s[np.isnan(s)] = np.inf  # as a descending order has them
+        s[ids[:, None] == bi[None, :]] = -np.inf
+        edge = np.partition(s, len(b) - m, axis=1)[:, len(b) - m]
+        # Ties with the last, and what rounding might have put below it, are kept for the exact order.
+        row, col = np.nonzero((s >= edge[:, None] - 1e-9) & (s > -np.inf))
+        cosine = np.empty(len(row))
+        for a in range(0, len(row), 100_000):
+            cosine[a : a + 100_000] = np.cumsum(own[row[a : a + 100_000]] * b[col[a : a + 100_000]], axis=1)[:, -1]
+        order = np.lexsort((bi[col], -np.where(np.isnan(cosine), np.inf, cosine), row))
+        order = order[np.arange(len(row)) - np.searchsorted(row, row) < k]  # rows are sorted, before and after
+        yield ids[row[order]], bi[col[order]], cosine[order]
+
+
 @dataclass
 class Index:
-    """``rows`` has (id, cell, codes as bytes, v); centres and books are what search needs besides."""
+    """``rows`` has (id, cell, codes as bytes, v), ``size`` of them; centres and books are what search needs besides."""
 
     rows: DataFrame
     centers: np.ndarray
     books: list[np.ndarray]
+    size: int
     id_col: str = "record_idx"
 
     def save(self, path: str) -> None:
@@ -80,12 +102,13 @@ class Index:
     def search(self, queries: DataFrame, k: int, nprobe: int = 32, rerank_k: int = 500, vector_col: str = "feature", block_rows: int = 4_096) -> DataFrame:
         """``(record_idx, neighbor_idx, similarity, rank)``: of the ``nprobe`` nearest cells' rows the ``rerank_k`` best by codes, then the ``k`` best by cosine.
 
-        A row is not its own neighbour; ties go to smaller ids; null vectors take no part.
+        A row is not its own neighbour; ties go to smaller ids; null vectors take no part. From each pair of blocks ``rerank_k`` rows a query
+        are shuffled, or only ``k`` if ``rerank_k`` takes in the whole index.
         """
         width, books, centers = max(k, rerank_k), self.books, self.centers
         shared = queries.sparkSession.sparkContext.broadcast((centers, books))
         asked = queries.select(F.col(self.id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
-        probes = min(nprobe, len(centers))
+        probes, every = min(nprobe, len(centers)), width >= self.size
 
         def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             centers = shared.value[0]
@@ -106,6 +129,10 @@ class Index:
                 for r in batch.to_pylist():
                     q, b = np.frombuffer(r["q_vectors"]).reshape(r["q_n"], -1), np.frombuffer(r["vectors"]).reshape(r["n"], -1)
                     qi, bi = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
+                    if every:
+                        for x, y, cosine in best_pairs(q, b, qi, bi, k):
+                            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(cosine)], names=["record_idx", "neighbor_idx", "similarity"])
+                        continue
                     codes = np.frombuffer(r["codes"], np.uint8).reshape(r["n"], len(books))
                     s = np.repeat((q @ centers[r["cell"]])[:, None], r["n"], axis=1)
                     for part, book, own in zip(np.split(q, len(books), axis=1), books, codes.T, strict=True):
@@ -120,9 +147,10 @@ class Index:
                         cosine = np.cumsum(q[x] * b[y], axis=1)[:, -1]
                         yield pa.RecordBatch.from_arrays([pa.array(qi[x]), pa.array(bi[y]), pa.array(s[x, y]), pa.array(cosine)], names=["record_idx", "neighbor_idx", "coded", "similarity"])
 
-        found = met.mapInArrow(run, "record_idx long, neighbor_idx long, coded double, similarity double")
-        by_code = Window.partitionBy("record_idx").orderBy(F.desc("coded"), "neighbor_idx")
-        best = found.withColumn("place", F.row_number().over(by_code)).where(F.col("place") <= width)
+        best = met.mapInArrow(run, "record_idx long, neighbor_idx long" + ", coded double" * (not every) + ", similarity double")
+        if not every:
+            by_code = Window.partitionBy("record_idx").orderBy(F.desc("coded"), "neighbor_idx")
+            best = best.withColumn("place", F.row_number().over(by_code)).where(F.col("place") <= width)
         order = Window.partitionBy("record_idx").orderBy(F.desc("similarity"), "neighbor_idx")
         return best.select("record_idx", "neighbor_idx", "similarity", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
 
@@ -157,7 +185,8 @@ def open_index(spark: SparkSession, path: str) -> Index:
     config = json.loads(spark.read.text(f"{path}/config").first()[0])
     words = spark.read.parquet(f"{path}/quantisers").orderBy("part", "place").collect()
     own = {p: np.array([w.word for w in words if w.part == p]) for p in range(-1, config["m"])}
-    return Index(spark.read.parquet(f"{path}/rows"), own[-1], [own[p] for p in range(config["m"])], config["id_col"])
+    rows = spark.read.parquet(f"{path}/rows")
+    return Index(rows, own[-1], [own[p] for p in range(config["m"])], rows.count(), config["id_col"])
 
 
 def build(base: DataFrame, nlist: int, m: int = 8, train: int = 200_000, seed: int = 42, id_col: str = "record_idx", vector_col: str = "feature") -> Index:
@@ -183,7 +212,7 @@ def build(base: DataFrame, nlist: int, m: int = 8, train: int = 200_000, seed: i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(1)], names=[id_col, "cell", "codes", "v"])
 
     index = rows.mapInArrow(encode, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, cell int, codes binary, v array<double>")
-    return Index(index, centers, books, id_col)
+    return Index(index, centers, books, rows.count(), id_col)
 
 
 def two_phase(queries: DataFrame, base: DataFrame, k: int, rerank_k: int, kind: str = "flat", **options) -> DataFrame:

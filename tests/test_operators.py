@@ -97,6 +97,44 @@ def test_ivf_recall(spark, sf, tmp_path):
     assert ivf.plan(500)["type"] == "flat" and ivf.plan(1_000_000)["m"] == 64
 
 
+def arrow_rows(plan):
+    """Rows that each MapInArrow of an executed plan gave."""
+    name = plan.getClass().getSimpleName()
+    below = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = [plan.metrics().apply("pythonNumRowsReceived").value()] if name == "MapInArrowExec" else []
+    return own + [n for p in below for n in arrow_rows(p)]
+
+
+def test_ivf_of_all_rows_gives_few_pairs(spark, sf, tmp_path):
+    rows = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("record_idx"), F.col("embedding").cast("array<double>").alias("feature"))
+    rows = rows.union(rows.select(F.col("record_idx") + 1_000, "feature")).union(rows.where("record_idx = 20").select(F.explode(F.sequence(F.lit(2_000), F.lit(2_099))), "feature")).coalesce(1)
+    queries = rows.where("record_idx % 10 = 0").coalesce(1)
+    ivf.build(rows, nlist=2, m=8, train=500).save(f"{tmp_path}/index")
+    index = ivf.open_index(spark, f"{tmp_path}/index")
+    want = {(r.record_idx, r.neighbor_idx, r.rank) for r in knn.knn_join(queries, rows, 3, metric="cosine").collect()}
+    assert index.size == 1_100 and len(want) == 3 * 110
+    for rerank_k in (1_100, 1 << 30):
+        found = index.search(queries, 3, 2, rerank_k)
+        assert {(r.record_idx, r.neighbor_idx, r.rank) for r in found.collect()} == want
+        assert max(arrow_rows(found._jdf.queryExecution().executedPlan())) <= 3 * 110 * 2 * 4
+
+
+def test_best_pairs_against_all_pairs():
+    rng = np.random.default_rng(3)
+    b = rng.normal(size=(40, 4))
+    b[20:30], b[39, 1] = b[0], np.nan
+    ids = rng.permutation(40)
+    unit = b / np.sqrt((b * b).sum(axis=1, keepdims=True))
+    for k in (1, 5, 50):
+        got = [(int(x), int(y)) for part in ivf.best_pairs(b, b, ids, ids, k, most=70) for x, y in zip(*part[:2], strict=True)]
+        want = []
+        for i in range(40):
+            cosine = np.cumsum(unit[i] * unit, axis=1)[:, -1]
+            others = sorted((j for j in range(40) if j != i), key=lambda j: (-np.inf if np.isnan(cosine[j]) else -cosine[j], ids[j]))
+            want += [(int(ids[i]), int(ids[j])) for j in others[:k]]
+        assert got == want
+
+
 def test_density_and_tree_clusters():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(c, 0.05, (40, 2)) for c in ((0, 0), (3, 3), (0, 4))] + [np.array([[9.0, 9.0]])])
