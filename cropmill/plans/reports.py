@@ -169,7 +169,7 @@ def progress_last_number(spark, sf):
 
 @query(sql("SELECT count(*) AS shards, sum(done)::BIGINT AS done, sum(total)::BIGINT AS total, max(eta_seconds) AS eta_seconds, 'Encoding features' AS stage, round(sum(done) / sum(total), 6) AS pct FROM (SELECT shard, arg_max(done, line_no) AS done, arg_max(total, line_no) AS total, arg_max(eta_seconds, line_no) AS eta_seconds FROM pr GROUP BY 1)", _LOG))
 def build_progress_rollup(spark, sf):
-    return logs.build_summary(logs.last_progress(_logs(spark, sf)).withColumn("exit_code", F.lit(None).cast("int")))
+    return logs.build_summary(logs.last_progress(_logs(spark, sf)).withColumn("exit_code", F.lit(None).cast("int")), bounded=False)
 
 
 @query("WITH d AS (SELECT event_id, event_id * 37 % 20000 AS s FROM events) SELECT event_id, CASE WHEN s >= 3600 THEN printf('%dh %02dm %02ds', s // 3600, s % 3600 // 60, s % 60) WHEN s >= 60 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%ds', s) END AS said, s AS back FROM d")

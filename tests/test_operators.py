@@ -12,7 +12,7 @@ from cropmill.operators import calibration, clustering, curation, features, ivf,
 from cropmill.operators.graph import connected_components
 from cropmill.operators.groups import farthest_first
 from cropmill.plans import views
-from cropmill.sources import export, labels, records
+from cropmill.sources import export, labels, logs, records
 from cropmill.streaming import frames
 
 
@@ -298,3 +298,25 @@ def test_no_records_give_empty_results(spark, sf):
     for method in ("kmeans", "bisecting", "birch", "hdbscan"):
         done = clustering.cluster(clustering.projection(none, 3), method, 4)
         assert done.count() == 0 and clustering.summarize(done).count() == 0
+
+
+def test_build_summary_of_more_than_the_total(spark):
+    def summary(rows, **options):
+        return tuple(logs.build_summary(spark.createDataFrame(rows, "done long, total long, eta_seconds long, exit_code int"), **options).first())
+
+    over = [(30, 10, 5, None), (10, 10, 7, None)]
+    assert summary(over) == (2, 40, 20, 7, "Encoding features", 1.0) and summary(over, bounded=False) == (2, 40, 20, 7, "Encoding features", 2.0)
+    assert summary([(10, 10, 0, 0)], bounded=False) == (1, 10, 10, 0, "Encoding features", 1.0)
+    assert summary([(5, 10, 3, 1)])[4:] == ("Failed", 0.5) and summary([])[:5] == (0, 0, 0, None, "Not started")
+
+
+def test_build_progress_rollup_of_more_events(spark):
+    import duckdb
+
+    from cropmill.plans import ORACLE_SQL, QUERIES
+
+    c = duckdb.connect()
+    c.sql("create view events as select * from '/root/testdata/sf0.1/events.parquet'")
+    df = QUERIES["build_progress_rollup"](spark, "/root/testdata/sf0.1")
+    rel = c.sql(ORACLE_SQL["build_progress_rollup"])
+    assert rel.columns == df.columns and rel.fetchall() == [tuple(r) for r in df.collect()]
