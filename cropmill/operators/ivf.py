@@ -59,6 +59,18 @@ def code_books(residual: np.ndarray, m: int, seed: int, words: int = 256, rounds
     return books
 
 
+def packed_vectors(v: np.ndarray) -> list[bytes]:
+    """Each row's bytes: as single precision where that loses nothing, else as double."""
+    with np.errstate(over="ignore"):
+        short = v.astype(np.float32)
+    return [(x if same else y).tobytes() for x, y, same in zip(short, v, (short == v).all(axis=1), strict=True)]
+
+
+def unpacked(data: bytes, n: int, dim: int) -> np.ndarray:
+    """``n`` vectors of one precision, as doubles."""
+    return np.frombuffer(data, np.float32 if len(data) == 4 * n * dim else np.float64).astype(np.float64).reshape(n, dim)
+
+
 def best_pairs(q: np.ndarray, b: np.ndarray, qi: np.ndarray, bi: np.ndarray, k: int, most: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Ids of both and cosines: for each row of ``q`` the ``k`` best other rows of ``b``, ties to smaller ids; ``most`` scores are held at once."""
     q, b = (x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12) for x in (q, b))
@@ -74,14 +86,42 @@ def best_pairs(q: np.ndarray, b: np.ndarray, qi: np.ndarray, bi: np.ndarray, k:
         cosine = np.empty(len(row))
         for a in range(0, len(row), 100_000):
             cosine[a : a + 100_000] = np.cumsum(own[row[a : a + 100_000]] * b[col[a : a + 100_000]], axis=1)[:, -1]
-        order = np.lexsort((bi[col], -np.where(np.isnan(cosine), np.inf, cosine), row))
-        order = order[np.arange(len(row)) - np.searchsorted(row, row) < k]  # rows are sorted, before and after
-        yield ids[row[order]], bi[col[order]], cosine[order]
+        yield first(ids[row], bi[col], cosine, k)
+
+
+def first(query: np.ndarray, row: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's ``k`` best of these pairs, ties to smaller ids; sorted by query."""
+    order = np.lexsort((row, -np.where(np.isnan(cosine), np.inf, cosine), query))
+    query, row, cosine = query[order], row[order], cosine[order]
+    best = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[best], row[best], cosine[best]
+
+
+def merged(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The pairs of a task's blocks, each query's ``k`` best as far as ``most`` pairs are held at once."""
+    held, n = [], 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        x, y, cosine = held[0]
+        for a in range(0, len(x), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in (x, y, cosine)], names=["record_idx", "neighbor_idx", "similarity"])
+
+    for pairs in found:
+        held.append(pairs)
+        n += len(pairs[0])
+        if n > most:
+            held = [first(*map(np.concatenate, zip(*held, strict=True)), k)]
+            if (n := len(held[0][0])) > most // 2:  # too many queries for one table
+                yield from out()
+                held, n = [], 0
+    if held:
+        held = [first(*map(np.concatenate, zip(*held, strict=True)), k)]
+        yield from out()
 
 
 @dataclass
 class Index:
-    """``rows`` has (id, cell, codes as bytes, v), ``size`` of them; centres and books are what search needs besides."""
+    """``rows`` has (id, cell, codes and v as bytes), ``size`` of them; centres and books are what search needs besides."""
 
     rows: DataFrame
     centers: np.ndarray
@@ -103,7 +143,7 @@ class Index:
         """``(record_idx, neighbor_idx, similarity, rank)``: of the ``nprobe`` nearest cells' rows the ``rerank_k`` best by codes, then the ``k`` best by cosine.
 
         A row is not its own neighbour; ties go to smaller ids; null vectors take no part. From each pair of blocks ``rerank_k`` rows a query
-        are shuffled, or only ``k`` if ``rerank_k`` takes in the whole index.
+        are shuffled; if ``rerank_k`` takes in the whole index, only ``k``, and these from all blocks of a task where they fit.
         """
         width, books, centers = max(k, rerank_k), self.books, self.centers
         shared = queries.sparkSession.sparkContext.broadcast((centers, books))
@@ -117,22 +157,27 @@ class Index:
                 v = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, centers.shape[1])
                 cells = np.argpartition(half - v @ centers.T, probes - 1, axis=1)[:, :probes]
                 at = np.repeat(np.arange(batch.num_rows), probes)
-                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel().astype(np.int32)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["cell", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel().astype(np.int32)), batch.column(0).take(pa.array(at)), pa.array(packed_vectors(v), pa.binary()).take(pa.array(at))], names=["cell", "id", "v"])
 
-        left = packed(asked.mapInArrow(probed, "cell int, id long, v array<double>"), block_rows)
+        left = packed(asked.mapInArrow(probed, "cell int, id long, v binary"), block_rows)
         right = packed(self.rows.select("cell", F.col(self.id_col).cast("long").alias("id"), "v", "codes"), block_rows)
         met = right.join(left.select("cell", *[F.col(c).alias(f"q_{c}") for c in ("n", "ids", "vectors")]), "cell")
 
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            dim = shared.value[0].shape[1]
+            for batch in batches:
+                for r in batch.to_pylist():
+                    yield from best_pairs(unpacked(r["q_vectors"], r["q_n"], dim), unpacked(r["vectors"], r["n"], dim), np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64), k)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             centers, books = shared.value
+            if every:
+                yield from merged(best(batches), k)
+                return
             for batch in batches:
                 for r in batch.to_pylist():
-                    q, b = np.frombuffer(r["q_vectors"]).reshape(r["q_n"], -1), np.frombuffer(r["vectors"]).reshape(r["n"], -1)
+                    q, b = (unpacked(data, n, centers.shape[1]) for data, n in ((r["q_vectors"], r["q_n"]), (r["vectors"], r["n"])))
                     qi, bi = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                    if every:
-                        for x, y, cosine in best_pairs(q, b, qi, bi, k):
-                            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(cosine)], names=["record_idx", "neighbor_idx", "similarity"])
-                        continue
                     codes = np.frombuffer(r["codes"], np.uint8).reshape(r["n"], len(books))
                     s = np.repeat((q @ centers[r["cell"]])[:, None], r["n"], axis=1)
                     for part, book, own in zip(np.split(q, len(books), axis=1), books, codes.T, strict=True):
@@ -147,12 +192,12 @@ class Index:
                         cosine = np.cumsum(q[x] * b[y], axis=1)[:, -1]
                         yield pa.RecordBatch.from_arrays([pa.array(qi[x]), pa.array(bi[y]), pa.array(s[x, y]), pa.array(cosine)], names=["record_idx", "neighbor_idx", "coded", "similarity"])
 
-        best = met.mapInArrow(run, "record_idx long, neighbor_idx long" + ", coded double" * (not every) + ", similarity double")
+        chosen = met.mapInArrow(run, "record_idx long, neighbor_idx long" + ", coded double" * (not every) + ", similarity double")
         if not every:
             by_code = Window.partitionBy("record_idx").orderBy(F.desc("coded"), "neighbor_idx")
-            best = best.withColumn("place", F.row_number().over(by_code)).where(F.col("place") <= width)
+            chosen = chosen.withColumn("place", F.row_number().over(by_code)).where(F.col("place") <= width)
         order = Window.partitionBy("record_idx").orderBy(F.desc("similarity"), "neighbor_idx")
-        return best.select("record_idx", "neighbor_idx", "similarity", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
+        return chosen.select("record_idx", "neighbor_idx", "similarity", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
 
 
 def packed(rows: DataFrame, most: int) -> DataFrame:
@@ -165,7 +210,10 @@ def packed(rows: DataFrame, most: int) -> DataFrame:
 
         def out(cell: int) -> pa.RecordBatch:
             ids, vectors, codes = zip(*held.pop(cell), strict=True)
-            body = [pa.array([np.array(ids, np.int64).tobytes()]), pa.array([np.array(vectors, np.float64).tobytes()]), pa.array([b"".join(codes) if coded else None], pa.binary())]
+            vectors = [v if isinstance(v, bytes) else np.array(v, np.float64).tobytes() for v in vectors]  # lists in indexes of earlier versions
+            if len(widths := set(map(len, vectors))) > 1:
+                vectors = [unpacked(x, 1, max(widths) // 8).tobytes() for x in vectors]
+            body = [pa.array([np.array(ids, np.int64).tobytes()]), pa.array([b"".join(vectors)], pa.binary()), pa.array([b"".join(codes) if coded else None], pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([len(ids)], pa.int64()), *body], names=["cell", "n", "ids", "vectors", "codes"])
 
         for batch in batches:
@@ -209,9 +257,9 @@ def build(base: DataFrame, nlist: int, m: int = 8, train: int = 200_000, seed: i
             cell = nearest_rows(v, centers)
             parts = np.split(v - centers[cell], len(books), axis=1)
             codes = np.stack([nearest_rows(p, b) for p, b in zip(parts, books, strict=True)], axis=1).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(1)], names=[id_col, "cell", "codes", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(packed_vectors(v), pa.binary())], names=[id_col, "cell", "codes", "v"])
 
-    index = rows.mapInArrow(encode, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, cell int, codes binary, v array<double>")
+    index = rows.mapInArrow(encode, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, cell int, codes binary, v binary")
     return Index(index, centers, books, rows.count(), id_col)
 
 

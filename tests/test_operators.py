@@ -133,6 +133,31 @@ def test_best_pairs_against_all_pairs():
             others = sorted((j for j in range(40) if j != i), key=lambda j: (-np.inf if np.isnan(cosine[j]) else -cosine[j], ids[j]))
             want += [(int(ids[i]), int(ids[j])) for j in others[:k]]
         assert got == want
+        every = [part for a in range(0, 40, 7) for part in ivf.best_pairs(b, b[a : a + 7], ids, ids[a : a + 7], k)]
+        for most in (20, 500, 10**6):  # emitted early, merged again and again, merged once
+            held = [x.to_pydict().values() for x in ivf.merged(iter(every), k, most)]
+            own = ivf.first(*(np.concatenate(c) for c in zip(*held, strict=True)), k)
+            assert sorted(zip(*own[:2], strict=True)) == sorted(want) and (most < 10**6 or sum(len([*h][0]) for h in held) == len(want))
+
+
+def test_ivf_vectors_keep_every_bit(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 4)).astype(np.float32).astype(float)
+    x[::3] += 1e-12  # these need double precision
+    x[5, 0] = 1e300
+    for v in (x, x[1::3]):
+        assert [ivf.unpacked(b, 1, 4)[0].tolist() for b in ivf.packed_vectors(v)] == v.tolist()
+    assert {len(b) for b in ivf.packed_vectors(x)} == {16, 32}
+    assert ivf.unpacked(b"".join(ivf.packed_vectors(x[1:2])) * 3, 3, 4).tolist() == [x[1].tolist()] * 3
+    x[5, 0] = 1.5
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "record_idx long, feature array<double>").coalesce(1)
+    want = {tuple(r) for r in knn.knn_join(rows, rows, 4, metric="cosine").select("record_idx", "neighbor_idx", "similarity", "rank").collect()}
+    index = ivf.build(rows, 2, 2, 60)
+    assert all(len(r.v) == (32 if r.record_idx % 3 == 0 else 16) for r in index.rows.collect())
+    old = ivf.Index(index.rows.drop("v").join(rows.withColumnRenamed("feature", "v"), "record_idx"), index.centers, index.books, index.size)
+    for own in (index, old):
+        assert {tuple(r) for r in own.search(rows, 4, 2, 60).collect()} == want
+        assert own.search(rows, 4, 1, 4).count() > 0
 
 
 def test_density_and_tree_clusters():
